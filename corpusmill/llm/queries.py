@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, media, mixing, near_dedup, piece_codec, token_counts
+from . import fingerprints, licenses, line_dedup, media, mixing, near_dedup, piece_codec, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,13 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(_documents(spark, sf_dir))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no paths: they stand as files in a directory for each source and language."""
+    part = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-"))
+    path = F.concat_ws("/", part("source"), part("lang"), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(".txt")))
+    return licenses.scan_licenses(_documents(spark, sf_dir), path)
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_digest(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -48,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_dedup": op2_near_dedup,
         "op3_fingerprints": op3_fingerprints,
         "op4_media_columns": op4_media_columns,
+        "op6_licenses": op6_licenses,
         "op7_piece_codec": op7_piece_codec,
         "op8_token_counts": op8_token_counts,
         "op10_line_dedup": op10_line_dedup,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, line_dedup, media, mixing, near_dedup, piece_codec, token_counts
+from . import fingerprints, licenses, line_dedup, media, mixing, near_dedup, piece_codec, quality, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +27,18 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_documents(spark, sf_dir))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(_documents(spark, sf_dir))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents have no paths: they stand as files in a directory for each source and language."""
     part = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-"))
@@ -46,6 +54,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_documents(spark, sf_dir))
 
@@ -56,9 +68,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_dedup": op2_near_dedup,
         "op3_fingerprints": op3_fingerprints,
         "op4_media_columns": op4_media_columns,
+        "op5_quality": op5_quality,
         "op6_licenses": op6_licenses,
         "op7_piece_codec": op7_piece_codec,
         "op8_token_counts": op8_token_counts,
+        "op9_toxicity": op9_toxicity,
         "op10_line_dedup": op10_line_dedup,
     }
 

@@ -18,6 +18,7 @@ empty result.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from corpusmill.plans.scratch import materialize
 HEADER_COSINE = 0.6
 FILE_COSINE = 0.5
 TERM = "[^a-z0-9.]+"
+BEFORE = "(?<![a-z0-9.])"
 
 # Short forms of public licence notices, by SPDX identifier.
 TEMPLATES = {
@@ -74,8 +76,26 @@ def _terms(text: str) -> list[str]:
 
 def terms_of(text: Column) -> Column:
     """The terms of a text as an array, in the form of the templates' terms."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), TERM)
-    return F.filter(F.transform(parts, lambda t: F.regexp_replace(t, "[.]+$", "")), lambda t: t.rlike("[^.]"))
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[.]+(?![a-z0-9.])", " ")
+    return F.array_remove(F.split(bare, TERM), "")
+
+
+def trie_pattern(words: set[str]) -> str:
+    """A regular expression for any of the words that looks at each letter once."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = [re.escape(c) + pattern(node[c]) for c in sorted(node) if c]
+        if not branches:
+            return ""
+        return f"(?:{'|'.join(branches)})" + ("?" if "" in node else "")
+
+    return pattern(tree)
 
 
 def templates(extra: dict[str, str] | None = None) -> list[tuple[str, dict[str, int]]]:
@@ -86,10 +106,13 @@ def templates(extra: dict[str, str] | None = None) -> list[tuple[str, dict[str,
 
 def document_frequencies(docs: DataFrame, text_col: str, forms: list[tuple[str, dict[str, int]]]) -> tuple[int, dict[str, int]]:
     """The number of documents, and in how many each term of the templates occurs: one pass over all documents."""
-    vocabulary = sorted({t for _, terms in forms for t in terms})
-    wanted = F.array(*(F.lit(t) for t in vocabulary))
-    counts = docs.select(F.explode_outer(F.array_intersect(terms_of(F.col(text_col)), wanted)).alias("term")).groupBy("term").count()
-    found = {t: n for t, n in counts.filter("term is not null").collect()}
+    vocabulary = {t for _, terms in forms for t in terms}
+    # whole terms only: no letter, digit or full stop before, and none but closing full stops after
+    whole = f"{BEFORE}({trie_pattern(vocabulary)})(?=[.]*(?:[^a-z0-9.]|$))"
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    seen = F.array_distinct(F.regexp_extract_all(low, F.lit(whole), F.lit(1)))
+    counts = docs.select(F.explode_outer(seen).alias("term")).filter("term is not null").groupBy("term").count()
+    found = {t: n for t, n in counts.collect()}
     return docs.count(), found
 
 
@@ -148,21 +171,24 @@ def scan_licenses(
     total, found = document_frequencies(docs, text_col, forms)
     idf = {t: math.log((1 + total) / (1 + found.get(t, 0))) + 1 for _, terms in forms for t in terms}
     rare = math.log(1 + total) + 1
-    wanted = F.array(*(F.lit(t) for t in sorted(anchors(forms, idf, min(header_cosine, file_cosine)))))
+    needed = anchors(forms, idf, min(header_cosine, file_cosine))
+    wanted = F.array(*(F.lit(t) for t in sorted(needed)))
     rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.xxhash64(text_col).alias("print"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    holding = rows.filter(F.arrays_overlap(terms_of(F.col("text")), wanted))
-    lines = holding.select("doc_id", "path", "print", F.posexplode(F.split("text", "\n")).alias("unit", "line")).withColumn("terms", terms_of(F.col("line"))).filter(F.arrays_overlap("terms", wanted))
-    whole = holding.select("doc_id", "path", "print", F.lit(-1).alias("unit"), F.lit(None).cast("string").alias("line"), terms_of(F.col("text")).alias("terms"))
-    units = lines.select("doc_id", "path", "print", "unit", "terms").union(whole.select("doc_id", "path", "print", "unit", "terms")).distinct()
+    holding = rows.filter(F.lower("text").rlike(BEFORE + trie_pattern(needed)))
+    # unit 0 is the whole text, the others are its lines
+    units = holding.select("doc_id", "path", "print", F.posexplode_outer(F.concat(F.array("text"), F.split("text", "\n"))).alias("unit", "line"))
+    units = units.filter(F.lower("line").rlike(BEFORE + trie_pattern(needed)))
     key = F.xxhash64("doc_id", "path", "print")
-    scored = _dot_and_norm(units.select(key.alias("row"), "unit", "terms"), ["row", "unit"], idf, rare, forms)
-    limit = F.when(F.col("unit") < 0, F.lit(file_cosine)).otherwise(F.lit(header_cosine))
+    units = units.select(key.alias("row"), "unit", terms_of(F.col("line")).alias("terms")).filter(F.arrays_overlap("terms", wanted))
+    units = materialize(units, "units").dropDuplicates(["row", "unit"])
+    scored = _dot_and_norm(units, ["row", "unit"], idf, rare, forms)
+    limit = F.when(F.col("unit") == 0, F.lit(file_cosine)).otherwise(F.lit(header_cosine))
     own = (
         scored.filter(F.col("cosine") >= limit)
         .groupBy("row")
         .agg(
             F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), F.col("licence"), F.col("unit"))).alias("best"),
-            F.min_by(F.struct("licence", "cosine"), F.when(F.col("unit") < 0, F.struct(-F.col("cosine"), F.col("licence")))).alias("as_file"),
+            F.min_by(F.struct("licence", "cosine"), F.when(F.col("unit") == 0, F.struct(-F.col("cosine"), F.col("licence")))).alias("as_file"),
         )
     )
     own = materialize(own, "licences")

@@ -2,7 +2,7 @@
 
 Lines are sorted into the leaves of a tree of fixed depth: first by their
 number of tokens, then by their leading tokens.  Inside a leaf, tokens that
-recur at their place in several different documents are constant; all others
+recur at their place in several lines of different documents or forms are constant; all others
 are variable fields, as are tokens with digits.  A line whose constant share is
 high enough has a template: its leaf and its constant tokens.  Templates that
 recur in several different documents are dropped from all but the first.
@@ -25,13 +25,27 @@ MIN_DOCS = 3
 MIN_CONSTANT = 0.7
 MIN_TOKENS = 3
 SPACE = "[ \\t\\x0B\\f\\r]+"
+NOT_SPACE = "[^ \\t\\x0B\\f\\r\\n]"
 FIELD = "<*>"
 
 
+def masked(text: Column) -> Column:
+    """A text with every token that holds a digit replaced by a field mark."""
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, f"{NOT_SPACE}*[0-9]{NOT_SPACE}*", FIELD)).otherwise(text)
+
+
 def tokens_of(line: Column) -> Column:
-    """The tokens of a line, in order, with those that hold a digit replaced by a field mark."""
-    parts = F.filter(F.split(line, SPACE), lambda t: t != "")
-    return F.transform(parts, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+    """The tokens of a masked line, in order; a blank line has none."""
+    return F.array_remove(F.split(line, SPACE), "")
+
+
+def token_lines(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """(keep, line_no, tokens) of all lines.
+
+    Generators keep the optimiser from computing the tokens once for each use of them.
+    """
+    lines = df.select(*keep, F.posexplode_outer(F.split(masked(F.col(text)), "\n")).alias("line_no", "line"))
+    return lines.select(*keep, "line_no", F.explode_outer(F.array(tokens_of(F.col("line")))).alias("tokens"))
 
 
 def line_decisions(
@@ -46,31 +60,37 @@ def line_decisions(
     """(id, print, line_no, first) of the lines that follow a recurring template; line numbers start at 0.
 
     ``first`` marks the occurrence that stays: the smallest (id, print, line number).  ``print`` is the text's hash.
+    Lines travel as hashes of their tokens; of equal lines one is read again, from the text of its first document.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.md5(text_col).alias("print"), F.col(text_col).alias("text")).filter("text is not null")
-    lines = rows.select("id", "print", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("tokens", tokens_of(F.col("line"))).withColumn("width", F.size("tokens")).filter(F.col("width") >= min_tokens)
-    leaf = F.xxhash64("width", F.slice("tokens", 1, depth))
-    lines = lines.select("id", "print", "line_no", "width", leaf.alias("leaf"), "tokens")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text")).filter("text is not null")
+    lines = token_lines(rows, ["id", "print"], "text").filter(F.size("tokens") >= min_tokens)
+    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
+    lines = materialize(lines.select("id", "print", "line_no", leaf.alias("leaf"), F.xxhash64("tokens").alias("form")), "lines")
 
     # leaves that too few different documents reach cannot hold a recurring template
     reached = lines.groupBy("leaf").agg(F.count_distinct("print").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
-    busy = materialize(lines.join(reached, "leaf").select("id", "print", "line_no", "width", "leaf", F.transform("tokens", lambda t: F.when(t != FIELD, F.xxhash64(t))).alias("codes")), "lines")
-    cells = busy.select("id", "print", "line_no", "width", "leaf", F.posexplode("codes").alias("place", "code")).filter("code is not null")
-    constant = cells.groupBy("leaf", "place", "code").agg(F.count_distinct("print").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf", "place", "code")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "print", "line_no")
+    forms = lines.join(reached, "leaf").groupBy("leaf", "form").agg(F.count_distinct("print").alias("docs"), F.min(place).alias("at"))
+    wanted = forms.groupBy(F.col("at.id").alias("its_id"), F.col("at.print").alias("its_print")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("at.line_no"), F.struct("leaf", "form", "docs")))).alias("wanted")
+    )
+    # the hashed side holds a few numbers for a document, so the texts stream through the join unsorted
+    met = rows.join(wanted.hint("shuffle_hash"), (F.col("print") == F.col("its_print")) & F.col("id").eqNullSafe(F.col("its_id")))
+    read = token_lines(met, ["wanted"], "text").select(F.col("wanted")[F.col("line_no")].alias("it"), "tokens")
+    read = read.filter("it is not null").select("it.leaf", "it.form", "it.docs", "tokens").dropDuplicates(["leaf", "form"])
+    cells = read.select("leaf", "form", "docs", F.size("tokens").alias("width"), F.posexplode("tokens").alias("place", "token")).filter(F.col("token") != FIELD)
+    cells = materialize(cells.select("leaf", "form", "docs", "width", F.xxhash64("leaf", "place", "token").alias("cell")), "cells")
+    constant = cells.groupBy("cell").agg(F.sum("docs").alias("seen")).filter(F.col("seen") >= min_docs).select("cell")
     skeletons = (
-        cells.join(constant, ["leaf", "place", "code"])
-        .groupBy("id", "print", "line_no", "width", "leaf")
-        .agg(F.count(F.lit(1)).alias("constants"), F.bit_xor(F.xxhash64("place", "code")).alias("mark"))
+        cells.join(constant, "cell")
+        .groupBy("leaf", "form", "width")
+        .agg(F.count(F.lit(1)).alias("constants"), F.bit_xor("cell").alias("mark"))
         .filter(F.col("constants") >= F.col("width") * F.lit(min_constant))
-        .select("id", "print", "line_no", F.xxhash64("leaf", "mark").alias("template"))
-    )
-    skeletons = materialize(skeletons, "skeletons")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "print", "line_no")
-    recurring = skeletons.groupBy("template").agg(F.count_distinct("print").alias("docs"), F.min(place).alias("first_place"))
-    return skeletons.join(recurring.filter(F.col("docs") >= min_docs), "template").select(
-        "id", "print", "line_no", (place == F.col("first_place")).alias("first")
+        .select("leaf", "form", F.xxhash64("leaf", "mark").alias("template"))
     )
+    found = materialize(lines.join(skeletons, ["leaf", "form"]).select("id", "print", "line_no", "template"), "templates")
+    recurring = found.groupBy("template").agg(F.count_distinct("print").alias("docs"), F.min(place).alias("first_place"))
+    return found.join(recurring.filter(F.col("docs") >= min_docs), "template").select("id", "print", "line_no", (place == F.col("first_place")).alias("first"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **options) -> DataFrame:
@@ -81,8 +101,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = line_decisions(docs, id_col, text_col, **options).distinct()
     marks = found.groupBy("id", "print").agg(F.count(F.lit(1)).alias("recurring"), F.collect_set(F.when(~F.col("first"), F.col("line_no"))).alias("gone"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("whole"), F.md5(text_col).alias("its_print"), *(F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)))
-    met = rows.join(marks, F.col("its_print").eqNullSafe(F.col("print")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("whole"), F.xxhash64(text_col).alias("its_print"), *(F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)))
+    met = rows.join(marks.hint("shuffle_hash"), (F.col("its_print") == F.col("print")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
     lines = F.split("whole", "\n")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     kept = F.concat_ws("\n", F.filter(lines, lambda _, i: ~F.array_contains(gone, i)))
@@ -122,15 +142,15 @@ tokenised AS (
 lines AS (SELECT *, len(tokens) AS width, tokens[1:{DEPTH}] AS lead FROM tokenised WHERE len(tokens) >= {MIN_TOKENS}),
 reached AS (SELECT width, lead FROM lines GROUP BY ALL HAVING count(DISTINCT text) >= {MIN_DOCS}),
 busy AS (SELECT l.* FROM lines l SEMI JOIN reached r ON l.width = r.width AND l.lead = r.lead),
-cells AS (SELECT * FROM (SELECT doc_id, text, line_no, width, lead, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM busy) WHERE token <> '{FIELD}'),
-constant AS (SELECT width, lead, place, token FROM cells GROUP BY ALL HAVING count(DISTINCT text) >= {MIN_DOCS}),
+cells AS (SELECT * FROM (SELECT doc_id, text, line_no, width, lead, tokens, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM busy) WHERE token <> '{FIELD}'),
+constant AS (SELECT width, lead, place, token FROM cells GROUP BY ALL HAVING count(DISTINCT (text, tokens)) >= {MIN_DOCS}),
 skeletons AS (
   SELECT c.doc_id, c.text, c.line_no, c.width, c.lead, string_agg(c.place || ':' || c.token, ' ' ORDER BY c.place) AS mark
   FROM cells c JOIN constant k ON c.width = k.width AND c.lead = k.lead AND c.place = k.place AND c.token = k.token
   GROUP BY ALL HAVING count(*) >= c.width * {MIN_CONSTANT}),
 recurring AS (SELECT width, lead, mark FROM skeletons GROUP BY ALL HAVING count(DISTINCT text) >= {MIN_DOCS}),
 placed AS (
-  SELECT s.*, row_number() OVER (PARTITION BY s.width, s.lead, s.mark ORDER BY s.doc_id NULLS LAST, md5(s.text), s.line_no) AS turn
+  SELECT s.*, row_number() OVER (PARTITION BY s.width, s.lead, s.mark ORDER BY s.doc_id NULLS LAST, s.text, s.line_no) AS turn
   FROM skeletons s SEMI JOIN recurring r ON s.width = r.width AND s.lead = r.lead AND s.mark = r.mark),
 marks AS (SELECT doc_id, text, count(*) AS recurring, list(line_no) FILTER (turn > 1) AS gone FROM placed GROUP BY ALL)
 SELECT s.doc_id,

@@ -148,7 +148,7 @@ def yes_no(prediction: Column, raw: Column, question_type: Column, binary: str =
 
 def percent(c: Column) -> Column:
     """A share as a percentage with one digit after the point; '--' for null."""
-    return F.coalesce(F.format_string("%.1f", 100 * c), F.lit("--"))
+    return F.when(c.isNull(), F.lit("--")).otherwise(F.format_string("%.1f", 100 * c))
 
 
 def key_from_stem(stem: Column) -> Column:

@@ -92,11 +92,13 @@ ASSIGNED = "figure_id string, panel_id string, assigned_segment_text string, ass
 
 def _solve(panels: pd.DataFrame, segs: pd.DataFrame) -> list[tuple]:
     """(panel, text, similarity, mode) of one figure."""
-    panels, segs = panels.sort_values("panel_id"), segs.sort_values("seg_idx")
-    ids, texts = panels.panel_id.tolist(), segs.text.tolist()
-    if not texts:
+    panels = panels.sort_values("panel_id")
+    ids = panels.panel_id.tolist()
+    if not len(segs):  # a side without rows may come without columns
         return [(i, None, None, "no_candidate_text") for i in ids]
-    sim = np.array(panels.embedding.tolist(), np.float64) @ np.array(segs.embedding.tolist(), np.float64).T
+    segs = segs.sort_values("seg_idx")
+    texts = segs.text.tolist()
+    sim = np.array(panels.embedding.tolist(), np.float64) @ np.array(segs.segment_vector.tolist(), np.float64).T
     if len(texts) == 1:
         return [(i, texts[0], s, "shared_caption") for i, s in zip(ids, sim[:, 0].tolist(), strict=True)]
     if len(texts) >= len(ids):
@@ -126,7 +128,8 @@ def assign(panels: DataFrame, segs: DataFrame, floor: float = MIN_SIMILARITY) ->
         return pd.DataFrame([(figure, *r) for r in rows], columns=["figure_id", "panel_id", "assigned_segment_text", "assigned_similarity", "alignment_mode"])
 
     left = panels.select(F.col("figure_id").cast("string"), F.col("panel_id").cast("string"), "embedding")
-    right = segs.select(F.col("figure_id").cast("string"), "seg_idx", "text", "embedding")
+    # both sides may come from one table, so the vectors need names of their own
+    right = segs.select(F.col("figure_id").cast("string"), "seg_idx", "text", F.col("embedding").alias("segment_vector"))
     out = left.groupBy("figure_id").cogroup(right.groupBy("figure_id")).applyInPandas(group, ASSIGNED)
     return with_floor(out, floor)
 

@@ -66,7 +66,7 @@ def inventory_columns(paths: DataFrame) -> DataFrame:
 
 def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
     """(filename_stem, caption_text) from one text file for each stem."""
-    texts = spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_name").alias("name"), "value")
+    texts = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
     return texts.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("filename_stem"), F.col("value").alias("caption_text"))
 
 

@@ -28,7 +28,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-ROWS_PER_SALT = 4_096
+ROWS_PER_SALT = 1_024
 TOLERANCE = 1e-9
 MAX_ROUNDS = 80
 FINE_ROUNDS = 2

@@ -68,9 +68,11 @@ def line_decisions(
     lines = materialize(lines.select("id", "print", "line_no", leaf.alias("leaf"), F.xxhash64("tokens").alias("form")), "lines")
 
     # leaves that too few different documents reach cannot hold a recurring template
-    reached = lines.groupBy("leaf").agg(F.count_distinct("print").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
+    # equal lines are counted first, so a very frequent one is a single row when its leaf is joined
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "print", "line_no")
-    forms = lines.join(reached, "leaf").groupBy("leaf", "form").agg(F.count_distinct("print").alias("docs"), F.min(place).alias("at"))
+    forms = lines.groupBy("leaf", "form").agg(F.count_distinct("print").alias("docs"), F.min(place).alias("at"))
+    reached = lines.groupBy("leaf").agg(F.count_distinct("print").alias("leaf_docs")).filter(F.col("leaf_docs") >= min_docs).select("leaf")
+    forms = forms.join(reached, "leaf")
     wanted = forms.groupBy(F.col("at.id").alias("its_id"), F.col("at.print").alias("its_print")).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("at.line_no"), F.struct("leaf", "form", "docs")))).alias("wanted")
     )

@@ -211,3 +211,34 @@ def scan_licenses(
         origin.alias("origin"),
         F.col("near.directory").alias("directory"),
     )
+
+
+def scan_sql(path: str = "coalesce(nullif(source, ''), '-') || '/' || coalesce(nullif(lang, ''), '-') || '/' || coalesce(CAST(doc_id AS VARCHAR), '-') || '.txt'") -> str:
+    """DuckDB SQL for :func:`scan_licenses` over ``documents`` with distinct ids and the default parameters."""
+    values = ", ".join(f"({i}, '{name}', '{t}', {n})" for i, (name, terms) in enumerate(templates()) for t, n in terms.items())
+    return f"""
+WITH forms(form, licence, term, n) AS (VALUES {values}),
+docs AS MATERIALIZED (SELECT doc_id, {path} AS path, coalesce(text, '') AS text FROM documents),
+units AS (SELECT doc_id, 0 AS unit, text AS line FROM docs UNION ALL
+  SELECT doc_id, generate_subscripts(parts, 1), unnest(parts) FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM docs)),
+terms AS MATERIALIZED (SELECT doc_id, unit, term, count(*) AS n FROM (
+  SELECT doc_id, unit, unnest(list_transform(regexp_extract_all(lower(line), '[a-z0-9.]+'), lambda t: rtrim(t, '.'))) AS term FROM units) WHERE term <> '' GROUP BY ALL),
+total AS (SELECT count(*) AS d FROM docs),
+seen AS (SELECT term, count(*) AS df FROM terms WHERE unit = 0 GROUP BY 1),
+known AS MATERIALIZED (SELECT v.term, ln((1 + d) / (1 + coalesce(df, 0))::DOUBLE) + 1 AS idf FROM (SELECT DISTINCT term FROM forms) v LEFT JOIN seen USING (term), total),
+weights AS MATERIALIZED (SELECT form, licence, term, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY form)) AS w FROM forms JOIN known USING (term)),
+valued AS MATERIALIZED (SELECT t.doc_id, t.unit, t.term, t.n * coalesce(k.idf, ln((1 + d)::DOUBLE) + 1) AS v FROM terms t LEFT JOIN known k USING (term), total),
+norms AS (SELECT doc_id, unit, sqrt(sum(v * v)) AS norm FROM valued GROUP BY 1, 2),
+scored AS (SELECT doc_id, unit, licence, round(dot / norm, 6) AS cosine FROM (
+  SELECT doc_id, unit, form, licence, sum(v * w) AS dot FROM valued JOIN weights USING (term) GROUP BY ALL) JOIN norms USING (doc_id, unit)),
+hits AS (SELECT * FROM scored WHERE cosine >= CASE WHEN unit = 0 THEN {FILE_COSINE} ELSE {HEADER_COSINE} END),
+best AS (SELECT doc_id, licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence, unit) AS r FROM hits) WHERE r = 1),
+file AS (SELECT doc_id, licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) AS r FROM hits WHERE unit = 0) WHERE r = 1),
+given AS (SELECT directory, licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY cosine DESC, path, doc_id) AS r FROM (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS directory, path, doc_id, f.licence, f.cosine FROM file f JOIN docs USING (doc_id) WHERE contains(path, '/'))) WHERE r = 1),
+above AS (SELECT doc_id, i AS depth, array_to_string(parts[1:i], '/') AS directory FROM (SELECT doc_id, string_split(path, '/') AS parts FROM docs ANTI JOIN best USING (doc_id)), range(1, 100) r(i) WHERE i < len(parts)),
+near AS (SELECT doc_id, g.directory, g.licence, g.cosine FROM (SELECT a.doc_id, max(depth) AS depth FROM above a JOIN given USING (directory) GROUP BY 1) JOIN above a USING (doc_id, depth) JOIN given g ON g.directory = a.directory)
+SELECT d.doc_id, d.path, coalesce(b.licence, n.licence) AS licence, coalesce(b.cosine, n.cosine) AS cosine,
+  CASE WHEN b.licence IS NOT NULL THEN CASE WHEN f.licence = b.licence AND f.cosine >= b.cosine THEN 'file' ELSE 'header' END WHEN n.licence IS NOT NULL THEN 'inherited' END AS origin, n.directory
+FROM docs d LEFT JOIN best b USING (doc_id) LEFT JOIN file f USING (doc_id) LEFT JOIN near n USING (doc_id)
+"""

@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.line_dedup_sql()}
+    return {"op6_licenses": licenses.scan_sql(), "op10_line_dedup": line_dedup.line_dedup_sql()}

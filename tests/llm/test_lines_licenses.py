@@ -1,12 +1,14 @@
+import pytest
+from pyspark.sql import functions as F
 from support import assert_same, duck
 
 from corpusmill.llm import licenses, line_dedup
 from corpusmill.llm.queries import oracle_sql, queries
-from pyspark.sql import functions as F
 
 
-def test_lines_equal_sql(spark, small):
-    assert_same(queries()["op10_line_dedup"](spark, small), duck(small).sql(oracle_sql()["op10_line_dedup"]))
+@pytest.mark.parametrize("name", ["op6_licenses", "op10_line_dedup"])
+def test_equal_sql(spark, small, name):
+    assert_same(queries()[name](spark, small), duck(small).sql(oracle_sql()[name]))
 
 
 def test_templates_generalise_fields(table, prose):

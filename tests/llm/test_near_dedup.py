@@ -23,7 +23,7 @@ def brute_classes(rows):
     groups = {}
     for i, t in rows:
         groups.setdefault(place[t or ""], []).append((i, t or ""))
-    return sorted(sorted(g, key=repr) for g in groups.values())
+    return sorted((sorted(g, key=repr) for g in groups.values()), key=repr)
 
 
 def edited(text, share, rng):
@@ -44,7 +44,7 @@ def check(df):
     for r in got:
         groups.setdefault(r.class_key, []).append((r.doc_id, key[r.text_key]))
         assert r.n_docs >= r.n_texts >= 1
-    assert sorted(sorted(g, key=repr) for g in groups.values()) == brute_classes(rows)
+    assert sorted((sorted(g, key=repr) for g in groups.values()), key=repr) == brute_classes(rows)
     kept = nd.one_of_each(df)
     assert kept.columns == df.columns and kept.count() == len(groups)
 

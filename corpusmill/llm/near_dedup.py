@@ -10,7 +10,8 @@ sparse sets cost little more than their size.
 
 Documents that share a band of coordinates are candidates.  Each connected set
 of candidates is then compared exactly, pair by pair, inside tasks that hold
-one or two blocks of it and emit only links between texts not yet linked.  The
+one or two blocks of it and emit only links between texts not yet linked; in
+large sets, texts that a few hubs have linked are not compared again.  The
 classes are the connected components of those links.
 
 Edge cases: equal texts are one class whatever they hold; null counts as empty;
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.graph import components
@@ -38,7 +39,8 @@ from ._batches import text_chunks
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
-BLOCK_TEXTS, BLOCK_CHARS = 1_024, 8_000_000
+BLOCK_TEXTS, BLOCK_CHARS = 256, 8_000_000
+HUBS = 16
 MAX_MEMO = 400_000
 COLUMNS = 4_096
 
@@ -231,6 +233,64 @@ def _links(threshold: float):
     return rows
 
 
+def _compared(dealt: DataFrame, threshold: float) -> DataFrame:
+    """Links found in groups of (component, x, y): inside block x when x = y, else between x and the other rows."""
+    groups = dealt.select("component", "x", "y", "block", "node", "text").repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
+    return groups.mapInArrow(_links(threshold), "a binary, b binary")
+
+
+def _block_count(n: str, chars: str) -> Column:
+    """Blocks that hold at most about BLOCK_TEXTS texts and BLOCK_CHARS characters each."""
+    return F.greatest(F.ceil(F.col(n) / BLOCK_TEXTS), F.ceil(F.col(chars) / BLOCK_CHARS)).cast("int")
+
+
+def _candidate_links(found: DataFrame, threshold: float) -> DataFrame:
+    """Links that connect what is similar inside each component of (component, node, text).
+
+    In a component of more than one block all texts first meet a few hubs, chosen by hash, which links a group of
+    copies in linear time.  Then pairs of blocks are compared, except for pairs inside the largest class so far: only
+    texts that are not in it meet all the others.
+    """
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    large = sizes.select("component", _block_count("n", "chars").alias("blocks")).filter("blocks > 1")
+    members = found.join(large, "component").withColumn("block", (F.pmod(F.xxhash64("node"), F.col("blocks")) + 1).cast("int"))
+    chosen = _smallest(members)
+    hubs = members.join(chosen, ["component", "node"], "left_semi")
+    others = members.join(chosen, ["component", "node"], "left_anti")
+    spread = hubs.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks")))).withColumns({"x": F.lit(0), "block": F.lit(0)})
+    met = spread.unionByName(others.withColumns({"x": F.lit(0), "y": F.col("block")}))
+    first = materialize(_compared(met, threshold), "hublinks")
+
+    classes = components(first).withColumnRenamed("component", "class_node")
+    named = found.select("component", "node").join(classes, "node", "left").withColumn("class_node", F.coalesce("class_node", "node"))
+    counted = named.groupBy("component", "class_node").agg(F.count(F.lit(1)).alias("n")).join(large.select("component"), "component", "left_semi")
+    largest = counted.groupBy("component").agg(F.max_by("class_node", F.struct("n", "class_node")).alias("main"))
+    sided = named.join(largest, "component", "left").select("node", F.coalesce(F.col("class_node") == F.col("main"), F.lit(False)).alias("linked"))
+    parted = materialize(found.join(sided, "node"), "parted")
+    sums = parted.groupBy("component", "linked").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    blocks = sums.select("component", "linked", _block_count("n", "chars").alias("blocks"))
+    parts = blocks.groupBy("component").agg(*(F.coalesce(F.max(F.when(side, F.col("blocks"))), F.lit(0)).alias(name) for name, side in (("open", ~F.col("linked")), ("closed", F.col("linked")))))
+    dealt = parted.join(parts.filter("open > 0"), "component")
+    # open blocks are numbered from 0, closed ones go on after them
+    own = F.when(F.col("linked"), F.col("open") + F.pmod(F.xxhash64("node"), F.greatest("closed", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.greatest("open", F.lit(1)))).cast("int")
+    last = F.when(F.col("linked"), F.col("open")).otherwise(F.col("open") + F.col("closed")) - 1
+    other = F.col("other")
+    dealt = dealt.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return first.unionByName(_compared(dealt.withColumns({"x": F.least("block", other), "y": F.greatest("block", other)}), threshold))
+
+
+def _smallest(members: DataFrame) -> DataFrame:
+    """(component, node) of the HUBS members with the smallest hashes of each component.
+
+    Each block names its own first, so no task sees all members of a component.
+    """
+    order = F.xxhash64(F.lit(1), "node")
+    for keys in (["component", "block"], ["component"]):
+        turn = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "node"))
+        members = members.select("component", "block", "node").withColumn("turn", turn).filter(F.col("turn") <= HUBS)
+    return members.select("component", "node")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, class_key, text_key, n_docs, n_texts), one row for every row of ``docs``.
 
@@ -253,19 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         on="node",
     ).filter(F.col("doc_id").eqNullSafe(F.col("its_id")))
     found = materialize(found.select("component", "node", "text"), "candidates")
-    blocks = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
-    blocks = blocks.select("component", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
-    own = F.col("block")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(own, other).alias("x"), F.greatest(own, other).alias("y")))
-    dealt = (
-        found.join(blocks, "component")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("pair", F.explode(pairs))
-        .select("component", "pair.x", "pair.y", "block", "node", "text")
-        .repartition("component", "x", "y")
-        .sortWithinPartitions("component", "x", "y")
-    )
-    links = materialize(dealt.mapInArrow(_links(threshold), "a binary, b binary"), "links")
+    links = materialize(_candidate_links(found, threshold), "links")
     linked = components(links).withColumnRenamed("component", "class_node")
     classes = materialize(texts.join(linked, "node", "left").withColumn("class_node", F.coalesce("class_node", "node")), "classes")
     sizes = classes.groupBy("class_node").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"))

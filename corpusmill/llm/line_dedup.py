@@ -92,7 +92,9 @@ def line_decisions(
     )
     found = materialize(lines.join(skeletons, ["leaf", "form"]).select("id", "print", "line_no", "template"), "templates")
     recurring = found.groupBy("template").agg(F.count_distinct("print").alias("docs"), F.min(place).alias("first_place"))
-    return found.join(recurring.filter(F.col("docs") >= min_docs), "template").select("id", "print", "line_no", (place == F.col("first_place")).alias("first"))
+    # written first: a join on the aggregation's own partitioning could not be split for a very frequent template
+    recurring = materialize(recurring.filter(F.col("docs") >= min_docs), "recurring")
+    return found.join(recurring, "template").select("id", "print", "line_no", (place == F.col("first_place")).alias("first"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **options) -> DataFrame:

@@ -66,7 +66,8 @@ SWAPS = {term: row[(i + 1) % len(row)] for row in reversed(IDENTITY_TERMS) for i
 
 
 def _code(name: str) -> int:
-    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little", signed=True)
+    """A 64-bit code whose last two bits are free for the level."""
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little", signed=True) & ~3
 
 
 class _Memo(dict):
@@ -89,21 +90,18 @@ def word_codes(word: str) -> tuple[int, ...]:
 _WORDS = _Memo(word_codes)
 
 
-def leveled(code: int, level: int) -> int:
-    """The code of a feature that occurs at least ``level`` times."""
-    return code if level == 1 else _code(f"{code}/{level}")
-
-
-_LEVELS = _Memo(lambda code: tuple(leveled(code, k) for k in range(2, LEVELS + 1)))
+def word_counts(words: list[str], codes) -> Counter:
+    """How often each feature of ``codes[word]`` occurs."""
+    counts: Counter = Counter()
+    for word, n in Counter(words).items():
+        for code in codes[word]:
+            counts[code] += n
+    return counts
 
 
 def feature_codes(words: list[str]) -> set[int]:
-    counts = Counter(c for w in words for c in _WORDS[w])
-    out = set(counts)
-    for code, n in counts.items():
-        if n > 1:
-            out.update(_LEVELS[code][: n - 1])
-    return out
+    """The features of a text: each code plus 0, 1 or 2 for at least one, two or three occurrences."""
+    return {code + k for code, n in word_counts(words, _WORDS).items() for k in range(min(n, LEVELS))}
 
 
 def swapped_sentences(text: str) -> list[tuple[list[str], list[str]]]:
@@ -163,9 +161,11 @@ class ToxicityModel:
 
     bias: float
     weights: dict[int, float]
+    bases: set[int] = field(init=False, repr=False, compare=False)
     hits: _Memo = field(init=False, repr=False, compare=False)
 
     def __post_init__(self):
+        self.bases = {code & ~3 for code in self.weights}
         self.hits = _Memo(self._hits)
 
     def __getstate__(self):
@@ -176,16 +176,15 @@ class ToxicityModel:
         self.__post_init__()
 
     def _hits(self, word: str) -> tuple[int, ...]:
-        """The word's features that have a weight at some level."""
-        return tuple(c for c in word_codes(word) if any(leveled(c, k) in self.weights for k in range(1, LEVELS + 1)))
+        """The word's codes that have a weight at some level."""
+        return tuple(c for c in word_codes(word) if c in self.bases)
 
     def score(self, text: str) -> float:
-        hits = self.hits
-        counts = Counter(c for w in WORD.findall(text.lower()) for c in hits[w])
+        counts = word_counts(WORD.findall(text.lower()), self.hits)
         total = self.bias
         for code in sorted(counts):
-            for k in range(1, min(counts[code], LEVELS) + 1):
-                total += self.weights.get(leveled(code, k), 0.0)
+            for k in range(min(counts[code], LEVELS)):
+                total += self.weights.get(code + k, 0.0)
         return float(1 / (1 + np.exp(-min(max(total, -40), 40))))
 
 

@@ -122,14 +122,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduped_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with their texts after line dedup, in the columns of ``docs``; those that lose all lines go."""
-    columns = docs.columns
-    out = line_dedup(docs, id_col, text_col, keep=tuple(c for c in columns if c not in (id_col, text_col)), **options)
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text"))
-    out = out.filter("n_dropped = 0 or text <> ''").withColumn("changed_chars", n_chars)
-    names = {id_col: F.col("doc_id"), text_col: F.col("text")}
-    if "n_chars" in columns:
-        names["n_chars"] = F.coalesce("changed_chars", "n_chars").cast(dict(docs.dtypes)["n_chars"])
-    return out.select(*(names.get(c, F.col(f"`{c}`")).alias(c) for c in columns))
+    # the other columns travel as one, so their names clash with nothing
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0), *(F.col(f"`{c}`") for c in rest)).alias("row"))
+    out = line_dedup(packed, keep=("row",), **options).filter("n_dropped = 0 or text <> ''")
+    names = {id_col: F.col("doc_id"), text_col: F.col("text")} | {c: F.col("row").getField(c) for c in rest}
+    if "n_chars" in rest:
+        n_chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(names["n_chars"])
+        names["n_chars"] = n_chars.cast(dict(docs.dtypes)["n_chars"])
+    return out.select(*(names[c].alias(c) for c in docs.columns))
 
 
 def line_dedup_sql() -> str:

@@ -204,13 +204,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that agree in id, text and source are told apart by a number, so each gets the copies of one.  The texts
     are shuffled once, to meet the decisions.
     """
-    columns = docs.columns
     by_hash = Window.partitionBy("mix_hash")
     taken = mix(docs, id_col, text_col, source_col, **options).select(F.col("row_hash").alias("mix_hash"), F.col("copies").alias("mix_copies"))
     taken = taken.withColumn("mix_number", F.row_number().over(by_hash.orderBy(F.desc("mix_copies"))))
-    numbered = docs.withColumn("mix_hash", F.xxhash64(id_col, text_col, source_col)).withColumn("mix_number", F.row_number().over(by_hash.orderBy(F.col(id_col))))
-    return (
-        numbered.join(taken.filter("mix_copies > 0"), ["mix_hash", "mix_number"])
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-        .select(*(F.col(f"`{c}`") for c in columns))
-    )
+    # the row travels as one column, so its names clash with nothing
+    rows = docs.select(F.xxhash64(id_col, text_col, source_col).alias("mix_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    numbered = rows.withColumn("mix_number", F.row_number().over(by_hash.orderBy(F.col("row").getField(id_col))))
+    met = numbered.join(taken.filter("mix_copies > 0"), ["mix_hash", "mix_number"])
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select("row.*")

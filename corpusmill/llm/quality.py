@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusmill.plans.scratch import materialize
 
@@ -244,8 +245,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], names=[*batch.schema.names[1:], "score"])
 
     columns = docs.select(F.col(text_col).alias("scored_text"), F.col(id_col).alias("doc_id"), *(F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in columns.dtypes[1:])
-    return columns.mapInArrow(rows, f"{kinds}, score double").select(
+    schema = StructType([*columns.schema.fields[1:], StructField("score", DoubleType())])
+    return columns.mapInArrow(rows, schema).select(
         "doc_id",
         F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"),
         "score",
@@ -256,6 +257,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that the classifier does not reject, with the columns of ``docs``."""
-    columns = docs.columns
-    scored = quality_scores(docs, labels, id_col, text_col, keep=tuple(columns), **options)
-    return scored.toDF("quality_id", "quality_held", "quality_score", "quality_predicted", *columns).filter("quality_predicted = 1").select(*(F.col(f"`{c}`") for c in columns))
+    # the row travels as one column, so its names clash with nothing
+    packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    scored = quality_scores(packed, labels.withColumnRenamed(id_col, "doc_id"), keep=("row",), **options)
+    return scored.filter("predicted = 1").select("row.*")

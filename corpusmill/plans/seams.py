@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusmill.operators.joins import pending
 
@@ -26,8 +27,7 @@ def score(df: DataFrame, predict: Callable[[pd.DataFrame], list], column: str =
                     answers = [_one(predict, part.iloc[i : i + 1]) for i in range(len(part))]
                 yield part.assign(**{column: answers})
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.mapInPandas(rows, f"{kinds}, `{column}` string")
+    return df.mapInPandas(rows, StructType([*df.schema.fields, StructField(column, StringType())]))
 
 
 def _one(predict, row: pd.DataFrame):

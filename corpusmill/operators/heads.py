@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 MAX_PANELS = 32
 
 
-def collate(sets: list[list[list[float]]]) -> tuple[np.ndarray, np.ndarray]:
+def pad_sets(sets: list[list[list[float]]]) -> tuple[np.ndarray, np.ndarray]:
     """Vectors padded with zeros to the longest set, and a mask that is true where nothing is."""
     most = max((len(s) for s in sets), default=0)
     width = next((len(v) for s in sets for v in s), 0)
@@ -76,7 +76,7 @@ def represent(df: DataFrame, keys: list[str], mode: str = "mean", panels: str =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sets, empty = collate([s or [] for s in batch.column(len(keys)).to_pylist()])
+            sets, empty = pad_sets([s or [] for s in batch.column(len(keys)).to_pylist()])
             asked = np.array(batch.column(len(keys) + 1).to_pylist(), np.float64)
             make = mean_pool if mode == "mean" else SetAttention(sets.shape[2])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(list(make(sets, asked, empty)), pa.list_(pa.float64()))], names=[*keys, "features"])

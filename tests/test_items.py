@@ -125,15 +125,11 @@ def test_reading_order(spark):
 def test_reading_order_equals_greedy_rows(spark):
     rng = np.random.default_rng(2)
     rows = [(float(a), float(b), float(a + 5), float(b + 5), 100.0) for a, b in rng.permutation(400)[:24].reshape(12, 2)]
-    lines: list[list] = []
-    for r in sorted(rows, key=lambda r: (r[1] + r[3]) / 2):
-        yc = (r[1] + r[3]) / 2
-        for line in lines:
-            if abs(yc - np.mean([(x[1] + x[3]) / 2 for x in line])) < 12:
-                line.append(r)
-                break
-        else:
-            lines.append([r])
+    groups: dict[int, list] = {}
+    for box in sorted(rows, key=lambda r: r[1] + r[3]):
+        near = [g for g, held in groups.items() if abs((box[1] + box[3]) / 2 - np.mean([h[1] + h[3] for h in held]) / 2) < 12]
+        groups.setdefault(min(near, default=len(groups)), []).append(box)
+    lines = list(groups.values())
     expected = [(r[0], r[1]) for line in lines for r in sorted(line)]
     assert [(x, y) for x, y, _ in order(spark, rows)] == expected
 

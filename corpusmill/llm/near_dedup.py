@@ -285,9 +285,10 @@ def _smallest(members: DataFrame) -> DataFrame:
     Each block names its own first, so no task sees all members of a component.
     """
     order = F.xxhash64(F.lit(1), "node")
+    members = members.select("component", "block", "node").repartition("component", "block")
     for keys in (["component", "block"], ["component"]):
         turn = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "node"))
-        members = members.select("component", "block", "node").withColumn("turn", turn).filter(F.col("turn") <= HUBS)
+        members = members.withColumn("turn", turn).filter(F.col("turn") <= HUBS)
     return members.select("component", "node")
 
 
@@ -328,11 +329,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The texts are shuffled once more, to meet the decisions; of rows that agree in id and text one stays.
     """
-    columns = docs.columns
     classes = near_duplicates(docs, id_col, text_col, threshold)
     chosen = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("it"))
     chosen = chosen.select(F.col("it.doc_id").alias("near_id"), F.col("it.text_key").alias("near_key"))
-    keyed = docs.withColumn("near_text", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    met = keyed.join(chosen, (F.col("near_text") == F.col("near_key")) & F.col(id_col).eqNullSafe(F.col("near_id")))
-    first = Window.partitionBy("near_text").orderBy(*(F.col(f"`{c}`") for c in columns if c != text_col))
-    return met.withColumn("near_place", F.row_number().over(first)).filter("near_place = 1").select(*(F.col(f"`{c}`") for c in columns))
+    # the row travels as one column, so its names clash with nothing
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(id_col).alias("its_id"), F.struct(*names).alias("row"))
+    met = keyed.join(chosen, (F.col("text_key") == F.col("near_key")) & F.col("its_id").eqNullSafe(F.col("near_id")))
+    first = Window.partitionBy("text_key").orderBy(*(F.col("row").getField(c) for c in docs.columns if c != text_col))
+    return met.withColumn("place", F.row_number().over(first)).filter("place = 1").select("row.*")

@@ -31,6 +31,7 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 MAX_MEMO = 600_000
+STEM = 5  # letters of a word's beginning that are looked up together
 
 
 def _byte_letters() -> dict[int, str]:
@@ -61,13 +62,17 @@ class PrefixCounter:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.rank = {pair: i for i, pair in enumerate(pairs)}
         self.vocab = set(spec["model"]["vocab"])
-        self.longest = max(map(len, self.vocab))
+        # the longest token that ends with given three letters; where there is none, tokens have two at most
+        self.reach: dict[str, int] = {}
+        for token in self.vocab:
+            self.reach[token[-3:]] = max(len(token), self.reach.get(token[-3:], 2))
         special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.letters = _byte_letters()
         self.split = regex.compile(SPLIT)
         self.stays = _Memo(lambda pair: self.encode(pair[0] + pair[1]) == list(pair))
         self.whole = _Memo(lambda token: self.encode(token) == [token])
+        self.stems = _Memo(self._from_nothing)
         self.total = _Memo(lambda word: int(self.word_prefixes(word)[-1]))
 
     def encode(self, word: str) -> list[str]:
@@ -87,20 +92,33 @@ class PrefixCounter:
                 ranks[i] = rank.get((parts[i], parts[i + 1]), none)
         return parts
 
-    def word_prefixes(self, word: str) -> np.ndarray:
-        """Token counts of all byte prefixes of a piece of text that the split pattern keeps whole."""
-        text = "".join(map(self.letters.__getitem__, word.encode()))
-        last = [""] * (len(text) + 1)
-        counts = [0] * (len(text) + 1)
-        vocab, stays = self.vocab, self.stays
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - self.longest), end):
+    def _extend(self, text: str, last: list[str], counts: list[int]) -> None:
+        """Go on with the last tokens and counts of the prefixes of ``text``, which are known up to some length."""
+        vocab, stays, reach = self.vocab, self.stays, self.reach
+        for end in range(len(last), len(text) + 1):
+            longest = reach.get(text[end - 3 : end], 2) if end > 2 else end
+            for start in range(max(0, end - longest), end):
                 token = text[start:end]
                 if token in vocab and (stays[last[start], token] if start else self.whole[token]):
-                    last[end], counts[end] = token, counts[start] + 1
+                    last.append(token)
+                    counts.append(counts[start] + 1)
                     break
             else:
                 raise ValueError(f"no encoding of {text[:end]!r}")
+
+    def _from_nothing(self, text: str) -> tuple[list[str], list[int]]:
+        last, counts = [""], [0]
+        self._extend(text, last, counts)
+        return last, counts
+
+    def word_prefixes(self, word: str) -> np.ndarray:
+        """Token counts of all byte prefixes of a piece of text that the split pattern keeps whole.
+
+        Words that begin alike share the work on their first letters.
+        """
+        text = "".join(map(self.letters.__getitem__, word.encode()))
+        last, counts = map(list, self.stems[text[:STEM]])
+        self._extend(text, last, counts)
         return np.array(counts, np.int32)
 
     def _plain(self, text: str) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Fixed schemas of the tables that readers make."""
 
-ARTICLES = "pmcid string, article_url string, images array<struct<url: string, caption: string, label: string>>"
+ARTICLES = "pmcid string, article_url string, images array<string>"  # each image as JSON text, as some are no objects
+IMAGE = "url string, caption string, label string"
 FIGURES = "pmcid string, article_url string, url string, caption string, label string"
 DOWNLOADS = "type string, ok boolean, pmcid string, url string, label string, image_path string, caption_path string"
 INVENTORY = "path string, label string, pmcid string, filename_stem string"

@@ -24,8 +24,12 @@ def optional_table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def flatten_articles(articles: DataFrame) -> DataFrame:
-    """One row for each image with a url, of articles with a pmcid; ids are stripped, a null caption becomes empty."""
-    each = articles.select(strip(F.col("pmcid")).alias("pmcid"), "article_url", F.explode("images").alias("i"))
+    """One row for each image with a url, of articles with a pmcid; ids are stripped, a null caption becomes empty.
+
+    Images are structs, or JSON texts, of which those that are no objects are left out.
+    """
+    image = F.from_json("i", schemas.IMAGE) if dict(articles.dtypes)["images"] == "array<string>" else F.col("i")
+    each = articles.select(strip(F.col("pmcid")).alias("pmcid"), "article_url", F.explode("images").alias("i")).withColumn("i", image)
     out = each.select("pmcid", "article_url", strip(F.col("i.url")).alias("url"), F.coalesce("i.caption", F.lit("")).alias("caption"), F.col("i.label").alias("label"))
     return out.filter("pmcid <> '' and url <> ''")
 
@@ -33,7 +37,7 @@ def flatten_articles(articles: DataFrame) -> DataFrame:
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """Figures from a nested JSON export (an array of articles); raises ValueError when there is none.
 
-    Images that are no objects become nulls under the fixed schema and are left out with the blank ones.
+    Images that are no objects are left out; the others of their article stay.
     """
     out = flatten_articles(spark.read.schema(schemas.ARTICLES).option("multiLine", True).json(path))
     if out.isEmpty():

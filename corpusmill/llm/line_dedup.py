@@ -5,7 +5,9 @@ number of tokens, then by their leading tokens.  Inside a leaf, tokens that
 recur at their place in several lines of different documents or forms are constant; all others
 are variable fields, as are tokens with digits.  A line whose constant share is
 high enough has a template: its leaf and its constant tokens.  Templates that
-recur in several different documents are dropped from all but the first.
+recur in several different documents are dropped from all but the first.  On
+demand (``min_equal_docs``, as in :func:`deduped_documents`) lines that are equal
+token for token, digits included, recur in fewer documents whatever their template.
 
 Edge cases: a null text stays null with no lines; blank lines are never
 dropped; equal documents count as one, so copies do not make their own lines
@@ -22,6 +24,7 @@ from corpusmill.plans.scratch import materialize
 
 DEPTH = 3
 MIN_DOCS = 3
+MIN_EQUAL_DOCS = 2
 MIN_CONSTANT = 0.7
 MIN_TOKENS = 3
 SPACE = "[ \\t\\x0B\\f\\r]+"
@@ -56,9 +59,12 @@ def line_decisions(
     min_docs: int = MIN_DOCS,
     min_constant: float = MIN_CONSTANT,
     min_tokens: int = MIN_TOKENS,
+    min_equal_docs: int | None = None,
 ) -> DataFrame:
     """(id, print, line_no, first) of the lines that follow a recurring template; line numbers start at 0.
 
+    With ``min_equal_docs``, lines with equal tokens in that many different documents recur as well.
+
     ``first`` marks the occurrence that stays: the smallest (id, print, line number).  ``print`` is the text's hash.
     Lines travel as hashes of their tokens; of equal lines one is read again, from the text of its first document.
     """
@@ -94,7 +100,17 @@ def line_decisions(
     recurring = found.groupBy("template").agg(F.count_distinct("print").alias("docs"), F.min(place).alias("first_place"))
     # written first: a join on the aggregation's own partitioning could not be split for a very frequent template
     recurring = materialize(recurring.filter(F.col("docs") >= min_docs), "recurring")
-    return found.join(recurring, "template").select("id", "print", "line_no", (place == F.col("first_place")).alias("first"))
+    decided = found.join(recurring, "template").select("id", "print", "line_no", (place == F.col("first_place")).alias("first"))
+    if min_equal_docs is None:
+        return decided
+    # equal lines have one template, so the first of a template is also the first of the lines equal to it
+    equal = rows.select("id", "print", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    equal = equal.select("id", "print", "line_no", F.explode(F.array(tokens_of(F.col("line")))).alias("tokens")).filter(F.size("tokens") >= min_tokens)
+    equal = materialize(equal.select("id", "print", "line_no", F.xxhash64("tokens").alias("equal")), "equal-lines")
+    repeated = equal.groupBy("equal").agg(F.count_distinct("print").alias("docs"), F.min(place).alias("first_place"))
+    repeated = materialize(repeated.filter(F.col("docs") >= min_equal_docs).select("equal", "first_place"), "repeated")
+    alike = equal.join(repeated, "equal").select("id", "print", "line_no", (place == F.col("first_place")).alias("first"))
+    return decided.union(alike).groupBy("id", "print", "line_no").agg(F.min("first").alias("first"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **options) -> DataFrame:
@@ -120,12 +136,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def deduped_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with their texts after line dedup, in the columns of ``docs``; those that lose all lines go."""
+def deduped_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_equal_docs: int | None = MIN_EQUAL_DOCS, **options) -> DataFrame:
+    """The documents with their texts after line dedup, in the columns of ``docs``; those that lose all lines go.
+
+    Unlike the query ``op10_line_dedup``, whose SQL asks for three documents, two suffice for equal lines.
+    """
     # the other columns travel as one, so their names clash with nothing
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0), *(F.col(f"`{c}`") for c in rest)).alias("row"))
-    out = line_dedup(packed, keep=("row",), **options).filter("n_dropped = 0 or text <> ''")
+    out = line_dedup(packed, keep=("row",), min_equal_docs=min_equal_docs, **options).filter("n_dropped = 0 or text <> ''")
     names = {id_col: F.col("doc_id"), text_col: F.col("text")} | {c: F.col("row").getField(c) for c in rest}
     if "n_chars" in rest:
         n_chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(names["n_chars"])

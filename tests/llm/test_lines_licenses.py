@@ -35,6 +35,14 @@ def test_long_passage_recurs(table, prose):
     assert kept.columns == table([]).columns and kept.count() == 30 and all(r.n_chars == len(r.text) for r in kept.filter("n_chars > 0").collect())
 
 
+def test_equal_lines_recur_in_two_documents(table, prose):
+    passage, stamp = prose(78, 60), "Posted 12 May 2021 at 10:45"
+    docs = [(1, f"{prose(1, 25)}\n{passage}\n{stamp}", "en", "s", 0), (2, f"{passage}\n{prose(2, 25)}\n{stamp}", "en", "s", 0)]
+    docs += [(3, f"{prose(3, 25)}\nPosted 13 May 2021 at 10:45", "en", "s", 0), (4, docs[0][1], "en", "s", 0), (5, f"{prose(5, 25)}\n{prose(6, 9)}\n{prose(6, 9)}", "en", "s", 0)]
+    got = {r.doc_id: r.text for r in line_dedup.deduped_documents(table(docs)).collect()}
+    assert got[1] == docs[0][1] and got[2] == prose(2, 25) and got[3] == docs[2][1] and got[4] == prose(1, 25) and got[5] == docs[4][1]
+
+
 def test_odd_lines(odd_docs, no_docs):
     rows = line_dedup.line_dedup(odd_docs).collect()
     assert len(rows) == 10 and sorted(repr(r.text) for r in rows) == sorted(repr(r.text) for r in odd_docs.collect())

@@ -9,7 +9,7 @@ rounded to copies: within a count cell by hash order, across a source's cells
 by cumulative rounding, so a source misses its target by at most about half of
 its largest document; two single copies more or less then bring it nearer.
 
-Edge cases: null and empty texts have size 0 and take no words; a null source
+Edge cases: null and empty texts have size 0, take no words and stay once; a null source
 is a source of its own and comes last; sources without words have target 0;
 repeated rows are documents of their own; columns other than those named are
 ignored; an empty table gives an empty result.
@@ -165,12 +165,12 @@ def mix(
     tilts = solve_tilts(cells, targets, cap)
 
     # sums of floating-point numbers depend on the tasks' order in their last digits; rounded rates do not
-    rate = F.when(F.col("size") == 0, F.lit(0.0)).otherwise(F.coalesce(_rate(F.col("tilt"), F.col("size"), cap), F.lit(float(cap))))
+    rate = F.coalesce(_rate(F.col("tilt"), F.col("size"), cap), F.lit(float(cap)))
     up_to = Window.partitionBy("source").orderBy("size")
     plan = (
         cells.join(targets.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its")))
         .join(tilts.withColumnRenamed("source", "tilted"), F.col("source").eqNullSafe(F.col("tilted")), "left")
-        .withColumn("rate", F.round(F.when(F.col("target") > 0, rate).otherwise(F.lit(0.0)), 9))
+        .withColumn("rate", F.round(F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("target") > 0, rate).otherwise(F.lit(0.0)), 9))
         .withColumn("rounded", F.floor(F.sum(F.col("n") * F.col("rate")).over(up_to) + 0.5))
         .withColumn("all_copies", F.col("rounded") - F.coalesce(F.lag("rounded").over(up_to), F.lit(0)))
         .withColumn("all_copies", F.least("all_copies", F.col("n") * cap))

@@ -52,6 +52,15 @@ def test_targets_and_words(table, prose):
     assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in rows)
 
 
+def test_documents_without_words_stay_once(table, prose):
+    docs = [(i, prose(i, 5 + i), "en", "ab"[i % 2], 0) for i in range(40)]
+    blank = [(100, "", "en", "a", 0), (101, None, "en", "b", 0), (102, " \n", "en", "b", 0), (103, "", "en", "c", 0), (104, None, None, None, None)]
+    copies = {r.doc_id: r.copies for r in mixing.mix(table(docs + blank)).collect()}
+    assert {i: n for i, n in copies.items() if i >= 100} == {i: 1 for i in range(100, 105)}
+    assert {i: n for i, n in copies.items() if i < 100} == {r.doc_id: r.copies for r in mixing.mix(table(docs)).collect()}
+    assert sorted(r.doc_id for r in mixing.mixed_documents(table(docs + blank)).collect() if r.doc_id >= 100) == [100, 101, 102, 103, 104]
+
+
 def test_rates_are_the_entropy_solution(spark):
     cells = [("s", n, k) for n, k in ((2, 40), (5, 30), (11, 10), (40, 3))]
     df = spark.createDataFrame(cells, "source string, size long, n long")

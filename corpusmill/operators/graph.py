@@ -2,33 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from corpusmill.plans.scratch import materialize, remove
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """(node, component): the smallest node reachable from every node that has an edge.
 
-    Every round takes the smallest label among the neighbours, then the label of that label, so labels travel twice
-    as far each time.  Labels are written to shared storage after each round; edges inside one component leave.
-    Self-loops and repeated edges do no harm; null ends are ignored.  Nodes without edges are not returned.
+    Self-loops and repeated edges do no harm; null ends are ignored.  Nodes without edges are not returned.  Nodes that
+    are no integers are numbered in their order first, so that all rounds aggregate longs.
     """
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
-    ends = materialize(ends.union(ends.select("v", "u")).distinct(), "edges")
-    first = ends.groupBy("u").agg(F.min("v").alias("m"))
-    labels = materialize(first.select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
-    for _ in range(max_rounds):
-        seen = ends.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        near = labels.join(seen, labels["node"] == seen["u"]).select("node", "label", F.least("label", "near").alias("next"))
-        up = labels.select(F.col("node").alias("next"), F.col("label").alias("further"))
-        after = near.join(up, "next").select("node", F.least("next", "further").alias("after"), "label")
-        after = materialize(after, "labels")
-        remove(labels)
-        moved = not after.filter("after <> label").isEmpty()
-        labels = after.select("node", F.col("after").alias("label"))
-        if not moved:
-            remove(ends)
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"labels still move after {max_rounds} rounds")
+    kind = ends.schema["u"].dataType
+    if isinstance(kind, IntegralType):
+        found = _of_longs(ends.select(F.col("u").cast("long"), F.col("v").cast("long")), max_rounds)
+        return found.select(F.col("node").cast(kind), F.col("component").cast(kind))
+    ends = materialize(ends.distinct(), "ends")
+    # numbers go up along the partitions of the sort, so the smallest number is the smallest name
+    names = ends.select(F.col("u").alias("name")).union(ends.select("v")).distinct().orderBy("name")
+    names = materialize(names.select("name", F.monotonically_increasing_id().alias("id")), "names")
+
+    def joined(table: DataFrame, column: str, name: str, number: str) -> DataFrame:
+        return table.join(names.select(F.col("name").alias(name), F.col("id").alias(number)), column)
+
+    numbered = joined(joined(ends, "u", "u", "x"), "v", "v", "y").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    found = _of_longs(numbered, max_rounds)
+    out = materialize(joined(joined(found, "node", "its", "node"), "component", "smallest", "component").select(F.col("its").alias("node"), F.col("smallest").alias("component")), "components")
+    remove(ends, names, found)
+    return out
+
+
+def _of_longs(ends: DataFrame, max_rounds: int) -> DataFrame:
+    """Components by randomised contraction.
+
+    In every round each node joins the neighbour (or itself) that comes first in an order drawn anew by hash, and then
+    that neighbour's choice.  Edges are rewritten to what their ends joined; repeated ones and those inside one part
+    leave, so the table shrinks by a constant share whatever the graph's shape.  At the end the rounds' choices are
+    followed from the last to the first, each over the few nodes that were left then.
+    """
+
+    def order(column: str) -> Column:
+        return F.xxhash64(F.lit(len(rounds)), F.col(column))
+
+    rounds: list[DataFrame] = []
+    now = materialize(ends.union(ends.select("v", "u")).distinct(), "edges")
+    while not rounds or not now.isEmpty():
+        if len(rounds) == max_rounds:
+            raise RuntimeError(f"edges are left after {max_rounds} rounds")
+        best = now.groupBy("u").agg(F.min_by("v", order("v")).alias("v"), F.min(order("v")).alias("first"))
+        best = best.select(F.col("u").alias("node"), F.when(F.col("first") < order("u"), F.col("v")).otherwise(F.col("u")).alias("to"))
+        further = best.select(F.col("node").alias("to"), F.col("to").alias("label"))
+        choice = materialize(best.join(further, "to").select("node", "label"), "choices")
+        ours = now.join(choice.select(F.col("node").alias("u"), F.col("label").alias("a")), "u")
+        both = ours.join(choice.select(F.col("node").alias("v"), F.col("label").alias("b")), "v")
+        after = materialize(both.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
+        remove(now)
+        rounds.append(choice)
+        now = after
+    # the first round names every node
+    *later, roots = (choice.select("node", F.col("label").alias("root")) for choice in rounds)
+    for i, choice in enumerate(reversed(later)):
+        known = roots.select(F.col("node").alias("via"), F.col("root").alias("end"))
+        roots = choice.join(known, F.col("root") == F.col("via"), "left").select("node", F.coalesce("end", "root").alias("root"))
+        if i % 6 == 5:  # short plans
+            roots = materialize(roots, "roots")
+    smallest = roots.groupBy("root").agg(F.min("node").alias("component"))
+    out = materialize(roots.join(smallest, "root").select("node", "component"), "components")
+    remove(now, *rounds)
+    return out

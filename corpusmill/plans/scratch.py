@@ -2,7 +2,8 @@
 
 Intermediate results are written as Parquet below the folder that the cluster
 names in ``spark.checkpoint.dir``, so every executor and the driver can read
-them again.  Only when that setting is absent (tests) a folder is chosen here.
+them again.  Without that setting a folder of this machine is chosen, but only
+if the executors are threads of this process; on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -18,33 +19,39 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables of this application."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "corpusmill-checkpoints")
     return f"{root.rstrip('/')}/corpusmill-{spark.sparkContext.applicationId}"
 
 
+def _path_and_files(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once to the shared scratch folder and return the reread table.
 
     The lineage is cut, so a lost executor costs a reread and not a recomputation.
-    The folder is removed when the application ends.
+    The folder is removed when the application ends, or before by :func:`remove`.
     """
     spark = df.sparkSession
     base = scratch_dir(spark)
-    path = f"{base}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    base_path = jvm.org.apache.hadoop.fs.Path(base)
-    base_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(base_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`materialize` that is no longer needed."""
-    spark = df.sparkSession
-    base = scratch_dir(spark)
-    jvm = spark.sparkContext._jvm
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if os.path.basename(base) in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    folder = f"{base}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path, files = _path_and_files(spark, base)
+    files.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.scratch_folder = folder
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by :func:`materialize` that nothing will read again."""
+    for table in tables:
+        folder = getattr(table, "scratch_folder", None)
+        if folder:
+            path, files = _path_and_files(table.sparkSession, folder)
+            files.delete(path, True)

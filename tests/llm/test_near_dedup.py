@@ -1,13 +1,21 @@
 import random
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpusmill.llm import near_dedup as nd
 
 
-def brute_classes(rows):
+def shingle_set(text, weighted):
+    words = text.lower().split()
+    found = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+    return {(s, k) for s, n in Counter(found).items() for k in range(n)} if weighted else set(found)
+
+
+def brute_classes(rows, weighted):
     texts = sorted({t or "" for _, t in rows})
-    sets = [nd._shingle_set(t) if nd.words_of(t) else None for t in texts]
+    sets = [shingle_set(t, weighted) if t.split() else None for t in texts]
     parent = list(range(len(texts)))
 
     def root(i):
@@ -33,9 +41,9 @@ def edited(text, share, rng):
     return " ".join(words)
 
 
-def check(df):
+def check(df, weighted=False):
     rows = [(r.doc_id, r.text) for r in df.collect()]
-    got = nd.near_duplicates(df).collect()
+    got = nd.near_duplicates(df, weighted=weighted).collect()
     assert len(got) == len(rows)
     import hashlib
 
@@ -44,8 +52,8 @@ def check(df):
     for r in got:
         groups.setdefault(r.class_key, []).append((r.doc_id, key[r.text_key]))
         assert r.n_docs >= r.n_texts >= 1
-    assert sorted((sorted(g, key=repr) for g in groups.values()), key=repr) == brute_classes(rows)
-    kept = nd.one_of_each(df)
+    assert sorted((sorted(g, key=repr) for g in groups.values()), key=repr) == brute_classes(rows, weighted)
+    kept = nd.one_of_each(df, weighted=weighted)
     assert kept.columns == df.columns and kept.count() == len(groups)
 
 
@@ -66,6 +74,34 @@ def test_hot_group_in_blocks(table, prose, monkeypatch):
     check(table([(i, t, "en", "s", 0) for i, t in enumerate(docs)]))
 
 
+def test_large_closures_go_by_band(table, prose, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 16)
+    monkeypatch.setattr(nd, "GROUP_TEXTS", 40)
+    rng = random.Random(3)
+    docs = []
+    for g in range(2):  # spread around 0.8, so bands connect far more than what is similar
+        base = prose(g, 200)
+        docs += [edited(base, rng.choice([0.005, 0.015, 0.025, 0.04]), rng) for _ in range(120)]
+    check(table([(i, t, "en", "s", 0) for i, t in enumerate(docs + docs[::5])]))
+
+
+def test_weights_count_repeats(table, prose):
+    line = [prose(k, 12) for k in range(6)]
+    docs = [f"{line[0]} {line[1]}", " ".join([line[0]] * 9 + [line[1]]), " ".join([line[0]] * 9 + [line[1], line[1]])]
+    docs += [" ".join(random.Random(k).choices(line, k=20)) for k in range(30)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(docs)]
+    check(table(rows), weighted=True)
+    classes = {r.doc_id: r.class_id for r in nd.near_duplicates(table(rows), weighted=True).collect()}
+    assert classes[0] == 0 and classes[1] == classes[2] == 1
+
+
+def test_columns_without_an_order(table, prose):
+    rows = [(i % 3, prose(i % 3, 30), "en", "s", 0) for i in range(12)]
+    df = table(rows).withColumns({"m": F.create_map(F.lit("a"), F.monotonically_increasing_id()), "deep": F.array(F.struct(F.create_map(F.lit(1), F.lit(2)).alias("x")))})
+    kept = nd.one_of_each(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+
+
 def test_odd_rows(odd_docs, no_docs):
     check(odd_docs)
     assert nd.near_duplicates(no_docs).count() == 0 and nd.one_of_each(no_docs).count() == 0

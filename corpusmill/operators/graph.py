@@ -69,7 +69,8 @@ def _of_longs(ends: DataFrame, max_rounds: int) -> DataFrame:
         roots = choice.join(known, F.col("root") == F.col("via"), "left").select("node", F.coalesce("end", "root").alias("root"))
         if i % 6 == 5:  # short plans
             roots = materialize(roots, "roots")
-    smallest = roots.groupBy("root").agg(F.min("node").alias("component"))
+    # written first: a join on the aggregation's own partitioning could not be split for a large component
+    smallest = materialize(roots.groupBy("root").agg(F.min("node").alias("component")), "smallest")
     out = materialize(roots.join(smallest, "root").select("node", "component"), "components")
-    remove(now, *rounds)
+    remove(now, smallest, *rounds)
     return out

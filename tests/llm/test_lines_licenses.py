@@ -43,6 +43,19 @@ def test_equal_lines_recur_in_two_documents(table, prose):
     assert got[1] == docs[0][1] and got[2] == prose(2, 25) and got[3] == docs[2][1] and got[4] == prose(1, 25) and got[5] == docs[4][1]
 
 
+def test_passages_inside_lines(table, prose):
+    sentences = [prose(200 + k, 14).capitalize() + "." for k in range(4)]
+    passage = " ".join(sentences)
+    docs = [(1, f"{prose(1, 9)} {passage} {prose(2, 9)}\n{prose(3, 9)}", "en", "s", 0), (2, f"{prose(4, 20)} {passage}\n\n{prose(5, 9)}", "en", "s", 0)]
+    docs += [(3, f"{sentences[0]} {sentences[1]}\n{sentences[2]} {sentences[3]}\nOwn words. Yes.", "en", "s", 0), (4, f"Yes. {prose(6, 9)}", "en", "s", 0)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(table(docs)).collect()}
+    assert got[1].text == docs[0][1] and (got[1].n_dropped, got[1].n_cut) == (0, 0)
+    # the first sentence has other words before it, so it differs
+    assert got[2].text == f"{prose(4, 20)} {sentences[0]} \n\n{prose(5, 9)}" and (got[2].n_dropped, got[2].n_cut) == (0, 3)
+    assert got[3].text == f"{sentences[0]} \nOwn words. Yes." and got[4].text == docs[3][1]
+    assert {r.doc_id for r in line_dedup.deduped_documents(table(docs + [(9, passage, "en", "s", 0)])).collect()} == {1, 2, 3, 4, 9}
+
+
 def test_odd_lines(odd_docs, no_docs):
     rows = line_dedup.line_dedup(odd_docs).collect()
     assert len(rows) == 10 and sorted(repr(r.text) for r in rows) == sorted(repr(r.text) for r in odd_docs.collect())

@@ -14,7 +14,7 @@ in a line.  Of such a line only the sentences go; a line without any left goes.
 
 Edge cases: a null text stays null with no lines; blank lines are never
 dropped; equal documents count as one, so copies do not make their own lines
-recur; rows that agree in id and text share one decision; ids may be null; an
+recur and all lose the same; ids may be null; an
 empty table gives an empty result; an empty leaf cannot occur; lines end at
 line feeds, sentences at a full stop, question or exclamation mark and a blank.
 """
@@ -67,6 +67,11 @@ def _counted(table: DataFrame, keys: list[str], place: Column, *more: str) -> Da
     return by_text.groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"), F.min("at").alias("at"), *first)
 
 
+def stays(first: str, *numbers: str) -> Column:
+    """Whether a row is the first place, or the same place in a copy of that text."""
+    return F.col("print").eqNullSafe(F.col(f"{first}.print")) & (F.struct(*(F.col(c) for c in numbers or ("line_no",))) == F.struct(*(F.col(f"{first}.{c}").alias(c) for c in numbers or ("line_no",))))
+
+
 def line_decisions(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -80,7 +85,8 @@ def line_decisions(
 ) -> DataFrame:
     """(id, print, line_no, sentence_no, first) of the lines (sentence -1) and sentences that recur; numbers start at 0.
 
-    ``first`` marks the occurrence that stays: the smallest (id, print, number).  ``print`` is the text's hash.
+    ``first`` marks the occurrence that stays: the smallest (id, print, number), in all copies of its text, so copies
+    stay equal.  ``print`` is the text's hash.
     Lines travel as hashes of their tokens, two for each decision; of equal lines one is read again, from the text of
     its first document.
     """
@@ -119,8 +125,8 @@ def line_decisions(
     # written first: a join on the aggregation's own partitioning could not be split for a very frequent template
     recurring = _counted(found.filter("mark is not null"), ["leaf", "mark"], place).filter(F.col("docs") >= min_docs)
     recurring = materialize(recurring.select("leaf", "mark", F.col("at").alias("first_place")), "recurring")
-    by_template = found.filter("mark is not null").join(recurring, ["leaf", "mark"]).select("id", "print", "line_no", (place == F.col("first_place")).alias("first"))
-    by_form = found.filter("equal_place is not null").select("id", "print", "line_no", (place == F.col("equal_place")).alias("first"))
+    by_template = found.filter("mark is not null").join(recurring, ["leaf", "mark"]).select("id", "print", "line_no", stays("first_place").alias("first"))
+    by_form = found.filter("equal_place is not null").select("id", "print", "line_no", stays("equal_place").alias("first"))
     of_lines = by_template.union(by_form).select("id", "print", "line_no", F.lit(-1).alias("sentence_no"), "first")
 
     # sentences, and whole lines with digits, by the hashes of their tokens as they are
@@ -141,15 +147,16 @@ def line_decisions(
     alike = materialize(units.join(materialize(repeated.select(*key), "repeated"), key), "alike")
     spot = F.struct(F.col("id").isNull().alias("no_id"), "id", "print", "line_no", "sentence_no")
     firsts = materialize(alike.groupBy(*key).agg(F.min(spot).alias("first_spot")), "firsts")
-    of_units = alike.join(firsts, key).select("id", "print", "line_no", "sentence_no", (spot == F.col("first_spot")).alias("first"))
+    of_units = alike.join(firsts, key).select("id", "print", "line_no", "sentence_no", stays("first_spot", "line_no", "sentence_no").alias("first"))
     return of_lines.union(of_units).groupBy("id", "print", "line_no", "sentence_no").agg(F.min("first").alias("first"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **options) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), max_lost: float = 1.0, **options) -> DataFrame:
     """(doc_id, text, n_lines, n_recurring, n_dropped, n_cut) for every row, and the columns in ``keep``.
 
     ``text`` is without the dropped lines and cut sentences; ``n_recurring`` counts recurring lines with their first
-    occurrences, which stay, and ``n_cut`` the sentences that go.  The texts are shuffled once, to meet the decisions,
+    occurrences, which stay, and ``n_cut`` the sentences that go.  A document that would lose more than the share
+    ``max_lost`` of its code points stays whole: it is a copy, which document dedup takes as one.  The texts are shuffled once, to meet the decisions,
     which are a few numbers for each document.
     """
     found = line_decisions(docs, id_col, text_col, **options)
@@ -170,14 +177,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.when(F.trim(rest) != "", rest)
 
     kept = F.transform(lines, lambda x, i: F.when(F.array_contains(gone, i), F.lit(None)).when(F.array_contains(cut_lines, i), without(x, i)).otherwise(x))
-    # an array without its nulls
+    kept = F.when((F.size(gone) > 0) | (F.size(cuts) > 0), F.array_join(kept, "\n"))  # leaves nulls out
+    met = met.select(
+        "*",
+        F.size(gone).alias("n_gone"),
+        F.size(F.filter(cuts, lambda c: ~F.array_contains(gone, F.shiftright(c, 31).cast("int")))).alias("n_parts"),
+        F.explode(F.array(kept)).alias("rest"),
+    )
+    loses = F.col("rest").isNotNull() & (F.length("rest") >= F.length("whole") * F.lit(1 - max_lost))
     return met.select(
         "doc_id",
-        F.when(F.col("whole").isNotNull(), F.when((F.size(gone) > 0) | (F.size(cuts) > 0), F.array_join(kept, "\n")).otherwise(F.col("whole"))).alias("text"),
+        F.when(loses, F.col("rest")).otherwise(F.col("whole")).alias("text"),
         F.when(F.col("whole").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce("recurring", F.lit(0)).cast("long").alias("n_recurring"),
-        F.size(gone).cast("long").alias("n_dropped"),
-        F.size(F.filter(cuts, lambda c: ~F.array_contains(gone, F.shiftright(c, 31).cast("int")))).cast("long").alias("n_cut"),
+        F.when(loses, F.col("n_gone")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(loses, F.col("n_parts")).otherwise(F.lit(0)).cast("long").alias("n_cut"),
         *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)),
     )
 
@@ -218,8 +232,9 @@ skeletons AS (
   GROUP BY ALL HAVING count(*) >= c.width * {MIN_CONSTANT}),
 recurring AS (SELECT width, lead, mark FROM skeletons GROUP BY ALL HAVING count(DISTINCT text) >= {MIN_DOCS}),
 placed AS (
-  SELECT s.*, row_number() OVER (PARTITION BY s.width, s.lead, s.mark ORDER BY s.doc_id NULLS LAST, s.text, s.line_no) AS turn
-  FROM skeletons s SEMI JOIN recurring r ON s.width = r.width AND s.lead = r.lead AND s.mark = r.mark),
+  SELECT s.doc_id, s.text, s.line_no, NOT (s.text = first_value(s.text) OVER w AND s.line_no = first_value(s.line_no) OVER w) AS later
+  FROM skeletons s SEMI JOIN recurring r ON s.width = r.width AND s.lead = r.lead AND s.mark = r.mark
+  WINDOW w AS (PARTITION BY s.width, s.lead, s.mark ORDER BY s.doc_id NULLS LAST, s.text, s.line_no)),
 units AS (
   SELECT doc_id, text, line_no, -1 AS sentence_no, list_filter(regexp_split_to_array(line, '{space}'), lambda t: t <> '') AS raw FROM numbered
   UNION ALL SELECT doc_id, text, line_no, sentence_no, list_filter(regexp_split_to_array(part, '{space}'), lambda t: t <> '') FROM (
@@ -227,11 +242,13 @@ units AS (
       SELECT doc_id, text, line_no, regexp_extract_all(line, '[^\\n]+?(?:[.!?] |\\z)') AS parts FROM numbered))),
 long AS (SELECT *, sentence_no < 0 AS is_line FROM units WHERE len(raw) >= CASE WHEN sentence_no < 0 THEN {MIN_TOKENS} ELSE {MIN_SENTENCE} END),
 alike AS (
-  SELECT doc_id, text, line_no, sentence_no, row_number() OVER (PARTITION BY raw, is_line ORDER BY doc_id NULLS LAST, text, line_no, sentence_no) AS turn
-  FROM long SEMI JOIN (SELECT raw, is_line FROM long GROUP BY ALL HAVING count(DISTINCT text) >= {MIN_EQUAL_DOCS}) r ON long.raw = r.raw AND long.is_line = r.is_line),
+  SELECT doc_id, text, line_no, sentence_no,
+    NOT (text = first_value(text) OVER w AND line_no = first_value(line_no) OVER w AND sentence_no = first_value(sentence_no) OVER w) AS later
+  FROM long SEMI JOIN (SELECT raw, is_line FROM long GROUP BY ALL HAVING count(DISTINCT text) >= {MIN_EQUAL_DOCS}) r ON long.raw = r.raw AND long.is_line = r.is_line
+  WINDOW w AS (PARTITION BY long.raw, long.is_line ORDER BY doc_id NULLS LAST, text, line_no, sentence_no)),
 decided AS (
-  SELECT doc_id, text, line_no, sentence_no, max(turn) > 1 AS gone
-  FROM (SELECT * FROM alike UNION ALL SELECT doc_id, text, line_no, -1, turn FROM placed) GROUP BY 1, 2, 3, 4),
+  SELECT doc_id, text, line_no, sentence_no, bool_or(later) AS gone
+  FROM (SELECT * FROM alike UNION ALL SELECT doc_id, text, line_no, -1, later FROM placed) GROUP BY 1, 2, 3, 4),
 lost AS (SELECT doc_id, text, line_no FROM decided WHERE gone AND sentence_no < 0),
 cuts AS (SELECT doc_id, text, line_no, sentence_no FROM decided WHERE gone AND sentence_no >= 0),
 changed AS (

@@ -19,8 +19,8 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that follow a recurring template go, from all documents but the first."""
-    return line_dedup.deduped_documents(docs)
+    """Lines and sentences that recur go, from all documents but the first; what is mostly a copy is left to the next stage."""
+    return line_dedup.deduped_documents(docs, max_lost=0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,18 +1,23 @@
 """License scans: sparse TF-IDF against templates, then inheritance along directories.
 
-Each line of a text (a header) and each whole text (a licence file) is a sparse
-TF-IDF vector; its cosine to every template decides the licence.  Document
-frequencies are counted over all documents.  Only lines that hold an anchor are
-scored: for every template the anchors are its heaviest terms, as many as leave
-the rest too light to reach the threshold, so no line that could match is left
-out.  A document without a licence of its own takes that of the nearest
-ancestor directory that has a licence file.
+Every line, every paragraph (a header may be wrapped over several lines) and
+the whole of a text is a sparse TF-IDF vector, with 1 + ln(n) for n occurrences;
+its cosine to every template decides the licence.  Document frequencies of all
+terms are counted over all documents.  Only units that could match are scored:
+for every template a unit must hold one of its heaviest terms (as many as leave
+the rest too light to reach the threshold) and as many of its terms as the
+threshold needs at least, so no unit that could match is left out.  A document
+without a licence of its own takes that of the nearest ancestor directory with
+a licence file: one that is named so, or one that is little more than a notice.
+What such a file passes on is its own best licence.
 
 Edge cases: null and empty texts hold no terms; documents without a path have
-no directory and inherit nothing; the best template wins, then the smallest
-name; of several licence files of a directory the best one counts, then the
-smallest path and id; repeated rows give repeated rows; an empty table gives an
-empty result.
+no directory and inherit nothing; the strongest kind of template wins (weak are
+clauses that several licences share, weakest a bare reservation of rights),
+then the best cosine, then the smallest name; of several licence files of a
+directory those named so come first, then the best counts, then the smallest
+path and id; repeated rows give repeated rows; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -23,43 +28,87 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.plans.scratch import materialize
+from corpusmill.plans.scratch import materialize, remove
 
-HEADER_COSINE = 0.6
-FILE_COSINE = 0.5
+UNIT_COSINE = 0.6
+FILE_COSINE = 0.7
+NOTICE_TERMS = 1.5  # times the different terms of a template, for a whole text
 TERM = "[^a-z0-9.]+"
 BEFORE = "(?<![a-z0-9.])"
-
-# Short forms of public licence notices, by SPDX identifier.
-TEMPLATES = {
-    "AGPL-3.0-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0, the Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0, the Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0, the Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
-    "GPL-2.0-only": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
-    "LGPL-3.0-only": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "LicenseRef-all-rights-reserved": "All rights reserved.",
-    "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
-# Short forms that stand for a licence on their own.
-SHORT_FORMS = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-2.0-only": "SPDX-License-Identifier: GPL-2.0-only",
-    "GPL-3.0-only": "SPDX-License-Identifier: GPL-3.0-only",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "SPDX-License-Identifier: MPL-2.0",
-}
+PARAGRAPH = "\\n(?:[^a-zA-Z0-9\\n]*\\n)+"
+FILE_NAME = "(?i)^(un)?licen[cs]e|^copying|^notice"
+
+# Public licence texts, their standard notices and titles, by SPDX identifier.
+MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_CLAUSES = (
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution."
+)
+BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission."
+)
+GNU_NOTICE = (
+    "This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the "
+    "Free Software Foundation{stop} either version {version} of the License, or (at your option) any later version."
+)
+TEMPLATES = (
+    ("AGPL-3.0-only", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0-only", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0-or-later", GNU_NOTICE.format(what="program", mark=":", kind="Affero ", stop=",", version="3")),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-2-Clause", f"{BSD_OPENING} {BSD_CLAUSES}"),
+    ("BSD-3-Clause", f"{BSD_OPENING} {BSD_CLAUSES} {BSD_NAMES}"),
+    ("BSD-3-Clause", BSD_NAMES),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0, the Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0, the Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0, the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0-only", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0-or-later", GNU_NOTICE.format(what="program", mark=";", kind="", stop=";", version="2")),
+    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0-only", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0-or-later", GNU_NOTICE.format(what="program", mark=":", kind="", stop=",", version="3")),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1-or-later", GNU_NOTICE.format(what="library", mark=";", kind="Lesser ", stop=";", version="2.1")),
+    ("LGPL-3.0-only", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0-or-later", GNU_NOTICE.format(what="library", mark=":", kind="Lesser ", stop=",", version="3")),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MIT", "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
+    ("MIT", MIT_GRANT),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+)
+# Weak templates: what several licences share, and what grants nothing.
+SHARED = (("BSD-2-Clause", BSD_OPENING),)
+RESERVED = (("LicenseRef-all-rights-reserved", "All rights reserved."),)
 
 
 def _terms(text: str) -> list[str]:
@@ -98,55 +147,69 @@ def trie_pattern(words: set[str]) -> str:
     return pattern(tree)
 
 
-def templates(extra: dict[str, str] | None = None) -> list[tuple[str, dict[str, int]]]:
-    """(licence, term counts) of all templates."""
-    out = [(name, text) for table in (TEMPLATES, SHORT_FORMS, extra or {}) for name, text in table.items()]
-    return [(name, {t: terms.count(t) for t in terms}) for name, terms in ((n, _terms(x)) for n, x in out)]
+Form = tuple[str, int, dict[str, int]]
+
+
+def templates(extra: dict[str, str] | None = None) -> list[Form]:
+    """(licence, weakness, term counts) of all templates; ``extra`` are further texts by name."""
+    tables = ((TEMPLATES, 0), (tuple((extra or {}).items()), 0), (SHARED, 1), (RESERVED, 2))
+    return [(name, weak, {t: terms.count(t) for t in terms}) for table, weak in tables for name, terms in ((n, _terms(x)) for n, x in table)]
+
+
+def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, df): in how many documents each term occurs, counted over all documents before the shuffle and after."""
+    return docs.select(F.explode(F.array_distinct(terms_of(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def document_frequencies(docs: DataFrame, text_col: str, forms: list[tuple[str, dict[str, int]]]) -> tuple[int, dict[str, int]]:
-    """The number of documents, and in how many each term of the templates occurs: one pass over all documents."""
-    vocabulary = {t for _, terms in forms for t in terms}
-    # whole terms only: no letter, digit or full stop before, and none but closing full stops after
-    whole = f"{BEFORE}({trie_pattern(vocabulary)})(?=[.]*(?:[^a-z0-9.]|$))"
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    seen = F.array_distinct(F.regexp_extract_all(low, F.lit(whole), F.lit(1)))
-    counts = docs.select(F.explode_outer(seen).alias("term")).filter("term is not null").groupBy("term").count()
-    found = {t: n for t, n in counts.collect()}
-    return docs.count(), found
+def _weights(terms: dict[str, int], idf: dict[str, float]) -> dict[str, float]:
+    """A template's unit vector."""
+    values = {t: (1 + math.log(n)) * idf[t] for t, n in terms.items()}
+    norm = math.sqrt(sum(v * v for v in values.values()))
+    return {t: v / norm for t, v in values.items()}
 
 
-def _dot_and_norm(units: DataFrame, keys: list[str], idf: dict[str, float], rare: float, forms: list[tuple[str, dict[str, int]]]) -> DataFrame:
-    """(keys, licence, cosine): every unit's best template.  ``units`` has the keys and ``terms``."""
+def _best(units: DataFrame, keys: list[str], frequencies: DataFrame, total: int, idf: dict[str, float], forms: list[Form], limit: Column) -> DataFrame:
+    """(keys, licence, weak, cosine): every unit's best template at or above its limit.  ``units`` has the keys and ``terms``.
+
+    A whole text (unit 0) must not have many more different terms than the template, else it is more than a notice.
+    """
     spark = units.sparkSession
-    rows = []
-    for i, (name, terms) in enumerate(forms):
-        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in terms.items()))
-        rows += [(i, name, t, n * idf[t] / norm) for t, n in terms.items()]
-    weights = spark.createDataFrame(rows, "form int, licence string, term string, weight double")
-    known = spark.createDataFrame(list(idf.items()), "term string, idf double")
+    rows = [(i, name, weak, int(NOTICE_TERMS * len(terms)), t, w) for i, (name, weak, terms) in enumerate(forms) for t, w in _weights(terms, idf).items()]
+    weights = F.broadcast(spark.createDataFrame(rows, "form int, licence string, weak int, most int, term string, weight double"))
     counted = units.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
-    valued = counted.join(F.broadcast(known), "term", "left").withColumn("value", F.col("n") * F.coalesce("idf", F.lit(rare)))
-    norms = valued.groupBy(*keys).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    dots = valued.join(F.broadcast(weights), "term").groupBy(*keys, "form", "licence").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, keys).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
-    best = F.min_by("licence", F.struct(-F.col("cosine"), F.col("licence"))).alias("licence")
-    return scored.groupBy(*keys).agg(best, F.max("cosine").alias("cosine"))
+    valued = counted.join(frequencies, "term").withColumn("value", (1 + F.log(F.col("n").cast("double"))) * (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1))
+    valued = materialize(valued.select(*keys, "term", "value"), "valued")
+    norms = valued.groupBy(*keys).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.count(F.lit(1)).alias("terms"))
+    dots = valued.join(weights, "term").groupBy(*keys, "form", "licence", "weak", "most").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, keys).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).filter((F.col("cosine") >= limit) & ((F.col("unit") > 0) | (F.col("terms") <= F.col("most"))))
+    best = F.min_by(F.struct("licence", "weak", "cosine"), F.struct("weak", -F.col("cosine"), "licence")).alias("best")
+    out = materialize(scored.groupBy(*keys).agg(best).select(*keys, "best.*"), "scored")
+    remove(valued)
+    return out
 
 
-def anchors(forms: list[tuple[str, dict[str, int]]], idf: dict[str, float], threshold: float) -> set[str]:
+def anchors(forms: list[Form], idf: dict[str, float], threshold: float) -> set[str]:
     """Terms of which a vector must hold one to reach the threshold with any template (by Cauchy-Schwarz)."""
     out: set[str] = set()
-    for _, terms in forms:
-        values = sorted(((n * idf[t]) ** 2, t) for t, n in terms.items())
-        rest, total = 0.0, sum(v for v, _ in values)
-        for v, t in values:
-            rest += v
-            if rest >= total * threshold**2:
+    for _, _, terms in forms:
+        rest = 0.0
+        for t, w in sorted(_weights(terms, idf).items(), key=lambda x: (x[1], x[0])):
+            rest += w * w
+            if rest >= threshold**2 - 1e-9:
                 out.add(t)
     return out
 
 
+def least_terms(terms: dict[str, int], idf: dict[str, float], threshold: float) -> int:
+    """How many of a template's terms a vector must hold at least to reach the threshold."""
+    held = 0.0
+    for n, w in enumerate(sorted(_weights(terms, idf).values(), reverse=True), 1):
+        held += w * w
+        if held >= threshold**2 - 1e-9:
+            return n
+    return len(terms)
+
+
 def parents_of(path: Column) -> Column:
     """All ancestor directories of a path, the nearest last; a path without a separator has none."""
     parts = F.split(path, "/")
@@ -159,50 +222,60 @@ def scan_licenses(
     id_col: str = "doc_id",
     text_col: str = "text",
     extra: dict[str, str] | None = None,
-    header_cosine: float = HEADER_COSINE,
+    unit_cosine: float = UNIT_COSINE,
     file_cosine: float = FILE_COSINE,
 ) -> DataFrame:
     """(doc_id, path, licence, cosine, origin, directory) for every row.
 
     ``origin`` is 'header', 'file' or 'inherited' (null without a licence); ``directory`` is where an inherited licence
-    was found.  Only lines with an anchor, keys and directories are shuffled, never the other text.
+    was found.  Only units that could match, counts of terms, keys and directories are shuffled, never the other text.
+    ``extra`` adds templates by name, such as whole licence texts.
     """
     forms = templates(extra)
-    total, found = document_frequencies(docs, text_col, forms)
-    idf = {t: math.log((1 + total) / (1 + found.get(t, 0))) + 1 for _, terms in forms for t in terms}
-    rare = math.log(1 + total) + 1
-    needed = anchors(forms, idf, min(header_cosine, file_cosine))
-    wanted = F.array(*(F.lit(t) for t in sorted(needed)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.xxhash64(text_col).alias("print"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    holding = rows.filter(F.lower("text").rlike(BEFORE + trie_pattern(needed)))
-    # unit 0 is the whole text, the others are its lines
-    units = holding.select("doc_id", "path", "print", F.posexplode_outer(F.concat(F.array("text"), F.split("text", "\n"))).alias("unit", "line"))
-    units = units.filter(F.lower("line").rlike(BEFORE + trie_pattern(needed)))
-    key = F.xxhash64("doc_id", "path", "print")
-    units = units.select(key.alias("row"), "unit", terms_of(F.col("line")).alias("terms")).filter(F.arrays_overlap("terms", wanted))
-    units = materialize(units, "units").dropDuplicates(["row", "unit"])
-    scored = _dot_and_norm(units, ["row", "unit"], idf, rare, forms)
-    limit = F.when(F.col("unit") == 0, F.lit(file_cosine)).otherwise(F.lit(header_cosine))
-    own = (
-        scored.filter(F.col("cosine") >= limit)
-        .groupBy("row")
-        .agg(
-            F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), F.col("licence"), F.col("unit"))).alias("best"),
-            F.min_by(F.struct("licence", "cosine"), F.when(F.col("unit") == 0, F.struct(-F.col("cosine"), F.col("licence")))).alias("as_file"),
-        )
+    frequencies = materialize(document_frequencies(docs, text_col), "frequencies")
+    total = docs.count()
+    known = sorted({t for _, _, terms in forms for t in terms})
+    spark = docs.sparkSession
+    found = frequencies.join(F.broadcast(spark.createDataFrame([(t,) for t in known], "term string")), "term", "left_semi")
+    df = {r.term: r.df for r in found.collect()}  # one row for each term of the templates at most
+    idf = {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in known}
+    threshold = min(unit_cosine, file_cosine)
+    needed = anchors(forms, idf, threshold)
+    rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    key = F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("path", F.lit("-")), "text"))
+    low = F.lower("text")
+    holding = rows.filter(low.rlike(BEFORE + trie_pattern(needed)))
+    # unit 0 is the whole text, the others are its lines and paragraphs
+    parts = F.concat(F.array("text"), F.split("text", "\n"), F.split("text", PARAGRAPH))
+    units = holding.select(key.alias("row"), F.posexplode(F.array_distinct(parts)).alias("unit", "part")).filter(F.lower("part").rlike(BEFORE + trie_pattern(needed)))
+    units = units.select("row", "unit", F.explode(F.array(terms_of(F.col("part")))).alias("terms"))
+    could = F.lit(False)
+    for least, terms in sorted((least_terms(terms, idf, threshold), sorted(terms)) for _, _, terms in forms):
+        could = could | (F.size(F.array_intersect("terms", F.array(*(F.lit(t) for t in terms)))) >= least)
+    units = materialize(units.filter(could).dropDuplicates(["row", "unit"]), "units")
+    limit = F.when(F.col("unit") == 0, F.lit(file_cosine)).otherwise(F.lit(unit_cosine))
+    scored = _best(units, ["row", "unit"], frequencies, total, idf, forms, limit)
+    own = scored.groupBy("row").agg(
+        F.min_by(F.struct("licence", "cosine", "weak"), F.struct("weak", -F.col("cosine"), "licence", "unit")).alias("best"),
+        F.max(F.col("unit") == 0).alias("is_notice"),
     )
     own = materialize(own, "licences")
-    keyed = materialize(rows.select("doc_id", "path", key.alias("row")), "paths")
-    marked = keyed.join(own, "row", "left")
-
-    files = marked.filter("as_file is not null").withColumn("directory", F.element_at(parents_of(F.col("path")), -1)).filter("directory is not null")
-    place = F.struct(-F.col("as_file.cosine"), F.col("path"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("as_file.licence"))
-    by_directory = files.groupBy("directory").agg(F.min_by("as_file", place).alias("given"))
-    without = marked.filter("best is null").select("row", F.posexplode(parents_of(F.col("path"))).alias("depth", "directory")).distinct()
-    inherited = without.join(by_directory, "directory").groupBy("row").agg(F.max_by(F.struct("given", "directory"), "depth").alias("near"))
-    out = marked.join(inherited, "row", "left")
-    is_file = F.col("as_file").isNotNull() & (F.col("as_file.licence") == F.col("best.licence")) & (F.col("as_file.cosine") >= F.col("best.cosine"))
-    origin = F.when(F.col("best").isNotNull(), F.when(is_file, F.lit("file")).otherwise(F.lit("header"))).when(F.col("near").isNotNull(), F.lit("inherited"))
+    keyed = materialize(rows.select("doc_id", "path", key.alias("row"), F.element_at(parents_of(F.col("path")), -1).alias("directory")), "paths")
+    marked = materialize(keyed.join(own, "row", "left"), "marked")
+    remove(frequencies, units, scored, own, keyed)
+
+    named = F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME)
+    files = marked.filter(F.col("best").isNotNull() & F.col("path").isNotNull() & (named | F.col("is_notice")))
+    place = F.struct(~named, F.col("best.weak"), -F.col("best.cosine"), F.col("path"), F.col("doc_id").isNull(), F.col("doc_id"))
+    given = files.filter("directory is not null").groupBy("directory").agg(F.min_by(F.struct("best.licence", "best.cosine"), place).alias("given"))
+    # every directory looks for its nearest ancestor once, whatever the number of its documents
+    here = marked.filter("best is null and directory is not null").select("directory").distinct()
+    above = here.select(F.col("directory").alias("its_directory"), F.posexplode(F.concat(parents_of(F.col("directory")), F.array("directory"))).alias("depth", "directory"))
+    top = here.filter(~F.col("directory").contains("/")).select(F.col("directory").alias("its_directory"), F.lit(0).alias("depth"), "directory")
+    nearest = above.unionByName(top).join(given, "directory").groupBy("its_directory").agg(F.max_by(F.struct("given", "directory"), "depth").alias("near"))
+    nearest = materialize(nearest, "nearest")
+    out = marked.join(nearest, F.col("best").isNull() & (F.col("directory") == F.col("its_directory")), "left")
+    origin = F.when(F.col("best").isNotNull(), F.when(F.col("is_notice") | F.coalesce(named, F.lit(False)), F.lit("file")).otherwise(F.lit("header"))).when(F.col("near").isNotNull(), F.lit("inherited"))
     return out.select(
         "doc_id",
         "path",
@@ -215,30 +288,38 @@ def scan_licenses(
 
 def scan_sql(path: str = "coalesce(nullif(source, ''), '-') || '/' || coalesce(nullif(lang, ''), '-') || '/' || coalesce(CAST(doc_id AS VARCHAR), '-') || '.txt'") -> str:
     """DuckDB SQL for :func:`scan_licenses` over ``documents`` with distinct ids and the default parameters."""
-    values = ", ".join(f"({i}, '{name}', '{t}', {n})" for i, (name, terms) in enumerate(templates()) for t, n in terms.items())
+    values = ", ".join(f"({i}, '{name}', {weak}, '{t}', {n})" for i, (name, weak, terms) in enumerate(templates()) for t, n in terms.items())
     return f"""
-WITH forms(form, licence, term, n) AS (VALUES {values}),
+WITH forms(form, licence, weak, term, n) AS (VALUES {values}),
 docs AS MATERIALIZED (SELECT doc_id, {path} AS path, coalesce(text, '') AS text FROM documents),
-units AS (SELECT doc_id, 0 AS unit, text AS line FROM docs UNION ALL
-  SELECT doc_id, generate_subscripts(parts, 1), unnest(parts) FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM docs)),
+units AS (SELECT doc_id, unit, line FROM (
+  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS unit FROM (
+    SELECT doc_id, [text] || string_split(text, chr(10)) || regexp_split_to_array(text, '\n([^a-zA-Z0-9\n]*\n)+') AS parts FROM docs))),
 terms AS MATERIALIZED (SELECT doc_id, unit, term, count(*) AS n FROM (
   SELECT doc_id, unit, unnest(list_transform(regexp_extract_all(lower(line), '[a-z0-9.]+'), lambda t: rtrim(t, '.'))) AS term FROM units) WHERE term <> '' GROUP BY ALL),
 total AS (SELECT count(*) AS d FROM docs),
 seen AS (SELECT term, count(*) AS df FROM terms WHERE unit = 0 GROUP BY 1),
-known AS MATERIALIZED (SELECT v.term, ln((1 + d) / (1 + coalesce(df, 0))::DOUBLE) + 1 AS idf FROM (SELECT DISTINCT term FROM forms) v LEFT JOIN seen USING (term), total),
-weights AS MATERIALIZED (SELECT form, licence, term, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY form)) AS w FROM forms JOIN known USING (term)),
-valued AS MATERIALIZED (SELECT t.doc_id, t.unit, t.term, t.n * coalesce(k.idf, ln((1 + d)::DOUBLE) + 1) AS v FROM terms t LEFT JOIN known k USING (term), total),
-norms AS (SELECT doc_id, unit, sqrt(sum(v * v)) AS norm FROM valued GROUP BY 1, 2),
-scored AS (SELECT doc_id, unit, licence, round(dot / norm, 6) AS cosine FROM (
-  SELECT doc_id, unit, form, licence, sum(v * w) AS dot FROM valued JOIN weights USING (term) GROUP BY ALL) JOIN norms USING (doc_id, unit)),
-hits AS (SELECT * FROM scored WHERE cosine >= CASE WHEN unit = 0 THEN {FILE_COSINE} ELSE {HEADER_COSINE} END),
-best AS (SELECT doc_id, licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence, unit) AS r FROM hits) WHERE r = 1),
-file AS (SELECT doc_id, licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) AS r FROM hits WHERE unit = 0) WHERE r = 1),
-given AS (SELECT directory, licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY cosine DESC, path, doc_id) AS r FROM (
-  SELECT regexp_replace(path, '/[^/]*$', '') AS directory, path, doc_id, f.licence, f.cosine FROM file f JOIN docs USING (doc_id) WHERE contains(path, '/'))) WHERE r = 1),
+idfs AS MATERIALIZED (
+  SELECT term, ln((1 + d) / (1 + coalesce(df, 0))::DOUBLE) + 1 AS idf FROM (SELECT DISTINCT term FROM forms UNION SELECT term FROM seen) LEFT JOIN seen USING (term), total),
+weights AS MATERIALIZED (
+  SELECT form, licence, weak, term, v / sqrt(sum(v * v) OVER (PARTITION BY form)) AS w FROM (SELECT *, (1 + ln(n)) * idf AS v FROM forms JOIN idfs USING (term))),
+near_units AS (SELECT DISTINCT doc_id, unit FROM terms JOIN weights USING (term)),
+valued AS MATERIALIZED (SELECT t.doc_id, t.unit, t.term, (1 + ln(t.n)) * idf AS v FROM terms t JOIN idfs USING (term) SEMI JOIN near_units USING (doc_id, unit)),
+norms AS (SELECT doc_id, unit, sqrt(sum(v * v)) AS norm, count(*) AS terms FROM valued GROUP BY 1, 2),
+sizes AS (SELECT form, {NOTICE_TERMS} * count(*) AS most FROM forms GROUP BY 1),
+scored AS (SELECT doc_id, unit, licence, weak, round(dot / norm, 6) AS cosine, unit > 0 OR terms <= most AS fits FROM (
+  SELECT doc_id, unit, form, licence, weak, sum(v * w) AS dot FROM valued JOIN weights USING (term) GROUP BY ALL) JOIN norms USING (doc_id, unit) JOIN sizes USING (form)),
+hits AS (SELECT * FROM scored WHERE fits AND cosine >= CASE WHEN unit = 0 THEN {FILE_COSINE} ELSE {UNIT_COSINE} END),
+best AS (
+  SELECT b.*, f.doc_id IS NOT NULL AS is_notice FROM (
+    SELECT doc_id, licence, cosine, weak FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weak, cosine DESC, licence, unit) AS r FROM hits) WHERE r = 1) b
+  LEFT JOIN (SELECT DISTINCT doc_id FROM hits WHERE unit = 0) f USING (doc_id)),
+named AS (SELECT doc_id, path, regexp_matches(regexp_extract(path, '[^/]*$'), '{FILE_NAME}') AS named FROM docs),
+given AS (SELECT directory, licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY named DESC, weak, cosine DESC, path, doc_id) AS r FROM (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS directory, * FROM best JOIN named USING (doc_id) WHERE contains(path, '/') AND (named OR is_notice))) WHERE r = 1),
 above AS (SELECT doc_id, i AS depth, array_to_string(parts[1:i], '/') AS directory FROM (SELECT doc_id, string_split(path, '/') AS parts FROM docs ANTI JOIN best USING (doc_id)), range(1, 100) r(i) WHERE i < len(parts)),
 near AS (SELECT doc_id, g.directory, g.licence, g.cosine FROM (SELECT a.doc_id, max(depth) AS depth FROM above a JOIN given USING (directory) GROUP BY 1) JOIN above a USING (doc_id, depth) JOIN given g ON g.directory = a.directory)
 SELECT d.doc_id, d.path, coalesce(b.licence, n.licence) AS licence, coalesce(b.cosine, n.cosine) AS cosine,
-  CASE WHEN b.licence IS NOT NULL THEN CASE WHEN f.licence = b.licence AND f.cosine >= b.cosine THEN 'file' ELSE 'header' END WHEN n.licence IS NOT NULL THEN 'inherited' END AS origin, n.directory
-FROM docs d LEFT JOIN best b USING (doc_id) LEFT JOIN file f USING (doc_id) LEFT JOIN near n USING (doc_id)
+  CASE WHEN b.licence IS NOT NULL THEN CASE WHEN b.is_notice OR m.named THEN 'file' ELSE 'header' END WHEN n.licence IS NOT NULL THEN 'inherited' END AS origin, n.directory
+FROM docs d LEFT JOIN best b USING (doc_id) LEFT JOIN named m USING (doc_id) LEFT JOIN near n USING (doc_id)
 """

@@ -93,12 +93,61 @@ def test_licence_edges(table):
 
 def test_anchors_lose_nothing():
     forms = licenses.templates()
-    idf = {t: 1.0 + len(t) % 5 for _, terms in forms for t in terms}
+    idf = {t: 1.0 + len(t) % 5 for _, _, terms in forms for t in terms}
     for limit in (0.3, 0.5, 0.8):
         needed = licenses.anchors(forms, idf, limit)
-        for _, terms in forms:
-            rest = sum((n * idf[t]) ** 2 for t, n in terms.items() if t not in needed)
-            assert rest < limit**2 * sum((n * idf[t]) ** 2 for t, n in terms.items())
+        for _, _, terms in forms:
+            weights = licenses._weights(terms, idf)
+            assert sum(w * w for t, w in weights.items() if t not in needed) < limit**2
+            heavy = sorted((w * w for w in weights.values()), reverse=True)
+            assert sum(heavy[: licenses.least_terms(terms, idf, limit) - 1]) < limit**2
+
+
+# Openings of public licence files and the notices that they ask for.
+MIT_FILE = f"MIT License\n\nCopyright (c) 2020 Some Body\n\n{licenses.MIT_GRANT}\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+ISC_FILE = "Copyright (c) 2020, Some Body\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+GNU = licenses.GNU_NOTICE
+
+
+def commented(text, mark):
+    import textwrap
+
+    return "\n".join(f"{mark} {line}" for line in textwrap.wrap(text, 60))
+
+
+def test_real_licences(table, prose):
+    import os
+
+    bsd = f"Copyright (c) 2020 X. All rights reserved.\n\n{licenses.BSD_OPENING}\n\n{licenses.BSD_CLAUSES}"
+    files = {
+        "MIT": MIT_FILE, "ISC": ISC_FILE, "BSD-2-Clause": bsd, "BSD-3-Clause": f"{bsd}\n\n{licenses.BSD_NAMES}",
+        "Apache-2.0": "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        "GPL-3.0-only": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nEveryone is permitted to copy and distribute verbatim copies",
+        "LGPL-2.1-only": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n\nEveryone is permitted to copy", "MPL-2.0": "Mozilla Public License Version 2.0\n====\n\n1. Definitions",
+        "AGPL-3.0-only": "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\nPreamble",
+    }
+    system = {"GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0"}
+    for name, licence in system.items():
+        if os.path.exists(f"/usr/share/common-licenses/{name}"):
+            files[f"{licence} {name}"] = open(f"/usr/share/common-licenses/{name}").read()
+    headers = {
+        "MIT": licenses.MIT_GRANT, "ISC": ISC_FILE.split("\n\n")[1], "BSD-3-Clause": f"{licenses.BSD_OPENING} {licenses.BSD_CLAUSES} {licenses.BSD_NAMES.replace('copyright holder', 'University')}",
+        "GPL-3.0-or-later": GNU.format(what="program", mark=":", kind="", stop=",", version="3"), "GPL-2.0-or-later": GNU.format(what="program", mark=";", kind="", stop=";", version="2"),
+        "LGPL-2.1-or-later": GNU.format(what="library", mark=";", kind="Lesser ", stop=";", version="2.1"), "AGPL-3.0-or-later": GNU.format(what="program", mark=":", kind="Affero ", stop=",", version="3"),
+        "Apache-2.0": licenses.TEMPLATES[5][1], "MPL-2.0": licenses.TEMPLATES[42][1],
+    }
+    rows = [(i, prose(i, 60), f"own/p{i}.txt") for i in range(300)]
+    names = ("LICENSE", "COPYING", "LICENCE.txt", "NOTICE.md")
+    for k, text in enumerate(files.values()):
+        rows += [(1000 + 2 * k, text, f"f{k}/{names[k % 4]}"), (1001 + 2 * k, prose(k, 50), f"f{k}/src/a.py")]
+    for k, text in enumerate(headers.values()):
+        rows += [(2000 + 2 * k, f"#!/bin/x\n{commented(text, '#*/'[k % 3])}\n\n{prose(k, 80)}", f"h{k}/x.c"), (2001 + 2 * k, prose(k, 50), f"h{k}/y.c")]
+    got = scan(table(rows, SCHEMA))
+    assert {f: got[1000 + 2 * k].licence for k, f in enumerate(files)} == {f: f.split()[0] for f in files}
+    assert [got[1001 + 2 * k].licence for k in range(len(files))] == [f.split()[0] for f in files]
+    assert {h: got[2000 + 2 * k].licence for k, h in enumerate(headers)} == {h: h for h in headers}
+    # a header is no licence file, so its neighbours inherit nothing
+    assert {got[2001 + 2 * k].licence for k in range(len(headers))} == {None} and {got[i].licence for i in range(300)} == {None}
 
 
 def test_terms_agree(spark):

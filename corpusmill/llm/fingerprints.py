@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import map_texts
@@ -31,7 +31,6 @@ BASES = (1_000_003, 998_244_353)
 WIDTH = 12  # code points of the spans in a sketch
 BINS = 128
 EMPTY = 0xFFFFFFFF
-MAX_CELLS = 65_536
 
 
 class _Powers:
@@ -140,54 +139,48 @@ def likeness(a: str, b: str) -> float:
     return float(2 * shared / (1 + shared))
 
 
-def _cell(id_col: str, step: int) -> Column:
-    """The interval of an id; null ids have none."""
-    return F.expr(f"`{id_col}` div {step}")
-
-
-def _blocks(docs: DataFrame, id_col: str, rows_per_block: int, parts: int) -> tuple[int, pd.DataFrame]:
-    """Blocks of consecutive ids with about equal numbers of rows.
-
-    The ids are counted in at most MAX_CELLS equal intervals, whatever their number, so what reaches the driver is
-    bounded.  Returns the interval and (cell, block, first id of the cell).
-    """
-    low, high, rows = docs.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
-    if not rows:
-        return 1, pd.DataFrame({"cell": [], "block": [], "first": []})
-    step = 1 if low is None else max(1, -(-(high - low + 1) // (MAX_CELLS - 2)))
-    cells = docs.groupBy(_cell(id_col, step).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first")).toPandas().sort_values("cell", na_position="first")
-    size = max(1, min(rows_per_block, -(-rows // parts)))
-    before = cells.n.cumsum() - cells.n
-    cells["block"] = (before // size).rank(method="dense").astype("int64") - 1
-    cells["first"] = cells["first"].astype("Int64")
-    cells["cell"] = cells["cell"].astype("Int64")
-    return step, cells[["cell", "block", "first"]].reset_index(drop=True)
+def _cuts(rows: DataFrame, parts: int) -> list[int]:
+    """At most ``parts - 1`` ids that cut the rows into blocks of consecutive ids of about equal numbers, from a quantile sketch."""
+    shares = [k / parts for k in range(1, parts)]
+    if not shares:
+        return []
+    found = rows.agg(F.percentile_approx("doc_id", shares, 20 * parts).alias("cuts")).first().cuts
+    return sorted(set(found or ()))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = 20_000) -> DataFrame:
-    """(block, guest, doc_id, text), partitioned by block and sorted: in each block every row is followed by its successor.
+    """(block, guest, doc_id, text), dealt in ranges of blocks and sorted: in each block every row is followed by its successor.
 
-    Ids are cut into blocks of consecutive ids; the first rows of each block are also sent, as guests, to the end of
-    the block before (of the first block: to the last).  The texts are shuffled once.
+    Ids are cut into blocks of consecutive ids by quantiles, so blocks are alike however the ids are spread; the first
+    rows of each block are also sent, as guests, to the end of the block before (of the first block: to the last).
+    Only the cuts, a few for each task, reach the driver.  The texts are shuffled once.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    step, cells = _blocks(rows, "doc_id", rows_per_block, parts)
-    last = int(cells.block.max()) if len(cells) else 0
-    cells["begins"] = ~cells.block.duplicated()
-    table = [(None if pd.isna(c) else int(c), int(b), None if pd.isna(f) else int(f), bool(x)) for c, b, f, x in cells.itertuples(index=False)]
-    blocks = spark.createDataFrame(table, "cell long, block long, first long, begins boolean")
-    leads = F.col("begins") & F.col("doc_id").eqNullSafe(F.col("first"))
-    before = F.when(F.col("block") == 0, F.lit(last)).otherwise(F.col("block") - 1)
+    ids = rows.select("doc_id")
+    parts = max(1, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), ids.count()))
+    parts = max(parts, -(-ids.count() // rows_per_block) if parts > 1 else 1)
+    cuts = np.array(_cuts(ids, parts), np.int64)
+
+    @F.pandas_udf("long")
+    def block_of(doc_id: pd.Series) -> pd.Series:
+        known = doc_id.notna().to_numpy()
+        out = np.zeros(len(doc_id), np.int64)  # rows without an id are the first
+        out[known] = np.searchsorted(cuts, doc_id[known].to_numpy(dtype=np.int64), side="right")
+        return pd.Series(out)
+
+    placed = rows.withColumn("block", block_of("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
+    heads = sorted((r.block, r["first"].doc_id) for r in ids.withColumn("block", block_of("doc_id")).groupBy("block").agg(first).collect())
+    table = [(b, i, heads[k - 1][0]) for k, (b, i) in enumerate(heads)]
+    heads = spark.createDataFrame(table, "head_block long, head_id long, before long")
     own = F.struct(F.col("block").alias("block"), F.lit(False).alias("guest"))
-    guest = F.struct(before.alias("block"), F.lit(True).alias("guest"))
+    guest = F.struct(F.col("before").alias("block"), F.lit(True).alias("guest"))
     return (
-        rows.withColumn("near", _cell("doc_id", step))
-        .join(F.broadcast(blocks), F.col("near").eqNullSafe(F.col("cell")))
-        .select("doc_id", "text", F.explode(F.when(leads, F.array(own, guest)).otherwise(F.array(own))).alias("place"))
+        placed.join(F.broadcast(heads), F.col("block") == F.col("head_block"))
+        .select("doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("head_id")), F.array(own, guest)).otherwise(F.array(own))).alias("place"))
         .select("place.block", "place.guest", "doc_id", "text")
-        .repartition("block")
+        .repartitionByRange("block")
         .sortWithinPartitions("block", "guest", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     )
 

@@ -48,6 +48,10 @@ def test_edits_equal_brute_force(spark, prose, odd_docs, no_docs, table):
     assert fp.edited_fingerprints(no_docs).count() == 0
     check(table([(7, "alone", None, None, 5)]))
     check(table([(i * 10**15 - 9 * 10**18, prose(i, 30), None, None, 0) for i in range(90)]))
+    spread = [(i, prose(i, 5), None, None, 0) for i in range(400)] + [(2**62, "far", None, None, 0), (-(2**62), "near", None, None, 0)]
+    check(table(spread))
+    sizes = [n for _, n in fp.with_next(table(spread)).groupBy("block").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) < 60  # one far id leaves the blocks as they are
     far = check(table([(i, prose(i, 300), None, None, 0) for i in range(120)]))
     assert all(0.3 < r.near_edited < 0.7 and r.near_next < 0.2 for r in far)
     prints = {r.doc_id: r.fingerprint for r in fp.fingerprints(table([(1, "same", None, None, 0), (2, "same", None, None, 0), (3, "other", None, None, 0)])).collect()}

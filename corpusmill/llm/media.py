@@ -4,11 +4,16 @@ A container is a tree of boxes (32-bit size, four-character type, body).  The
 reader walks the nested boxes, decodes the sample tables (``stsz``, ``stsc``,
 ``stco``/``co64``, ``stts``, ``stss``) and yields codec, duration and the byte
 ranges of the key frames; media payloads are never decoded.  The writer stores
-bytes losslessly as frames of uncompressed 8-bit monochrome video.
+bytes losslessly as frames of uncompressed 8-bit monochrome video and lists one
+frame in KEY_EVERY as a key frame (``stss``), where a reader may enter.
+
+Of several tracks the first one of video is read, else the first.  Files whose
+samples are in fragments (``moof``) are not supported and give nulls, as do
+bytes that are no container or whose tables claim more than the file can hold.
 
 Edge cases: a null payload is an empty one; an empty payload is padded to one
-frame; bytes that are no container give a row of nulls; the container holds no
-clock, name or key, so equal payloads make equal containers.
+frame; the container holds no clock, name or key, so equal payloads make equal
+containers; boxes may be nested to any depth.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ FRAME_SIDE = 24
 FRAME_BYTES = FRAME_SIDE * FRAME_SIDE
 PAD = b"\xff"
 FRAMES_PER_CHUNK = 64
+KEY_EVERY = 12
 TIMESCALE = 25
 
 # Fixed values of the container format: boxes that hold only boxes.
@@ -52,8 +58,11 @@ def padded(data: bytes, unit: int = FRAME_BYTES) -> bytes:
     return data + PAD * (max(unit, -(-len(data) // unit) * unit) - len(data))
 
 
-def write_container(payload: bytes) -> bytes:
-    """An ISO media file whose one video track holds ``payload`` as uncompressed 8-bit frames."""
+def write_container(payload: bytes, key_every: int = KEY_EVERY) -> bytes:
+    """An ISO media file whose one video track holds ``payload`` as uncompressed 8-bit frames.
+
+    With ``key_every`` 1 all frames are key frames and there is no table of them.
+    """
     if not payload or len(payload) % FRAME_BYTES:
         raise ValueError("the payload must be a positive multiple of a frame")
     frames = len(payload) // FRAME_BYTES
@@ -74,6 +83,9 @@ def write_container(payload: bytes) -> bytes:
     if not runs or last != FRAMES_PER_CHUNK:
         runs.append((chunks, last, 1))
 
+    keys = range(1, frames + 1, key_every)
+    sync = [] if key_every == 1 else [_full(b"stss", 0, 0, struct.pack(">I", len(keys)), struct.pack(f">{len(keys)}I", *keys))]
+
     def moov(first: int) -> bytes:
         offsets = [first + i * FRAMES_PER_CHUNK * FRAME_BYTES for i in range(chunks)]
         wide = first + len(payload) >= 2**32
@@ -81,6 +93,7 @@ def write_container(payload: bytes) -> bytes:
             b"stbl",
             _full(b"stsd", 0, 0, struct.pack(">I", 1), entry),
             _full(b"stts", 0, 0, struct.pack(">III", 1, frames, 1)),
+            *sync,
             _full(b"stsc", 0, 0, struct.pack(">I", len(runs)), *(struct.pack(">III", *r) for r in runs)),
             _full(b"stsz", 0, 0, struct.pack(">II", FRAME_BYTES, frames)),
             _full(b"co64" if wide else b"stco", 0, 0, struct.pack(">I", chunks), struct.pack(f">{chunks}{'Q' if wide else 'I'}", *offsets)),
@@ -103,10 +116,14 @@ def write_container(payload: bytes) -> bytes:
     return ftyp + moov(len(ftyp) + size + head) + data
 
 
-def walk(data: bytes, start: int = 0, stop: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body start, body stop) of every box, parents before children."""
-    stop = len(data) if stop is None else stop
-    while start + 8 <= stop:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(the types of the box and up to seven boxes around it, body start, body stop) of every box, parents before children."""
+    # a stack and not recursion: the depth is the file's
+    stack: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while stack:
+        start, stop, path = stack.pop()
+        if start + 8 > stop:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1 and start + 16 <= stop:
@@ -116,11 +133,11 @@ def walk(data: bytes, start: int = 0, stop: int | None = None, path: tuple[bytes
             size = stop - start
         if size < head or start + size > stop:
             raise ValueError("a box does not fit into its parent")
-        here = (*path, kind)
+        here = (*path[-7:], kind)
         yield here, start + head, start + size
+        stack.append((start + size, stop, path))
         if kind in CONTAINERS:
-            yield from walk(data, start + head, start + size, here)
-        start += size
+            stack.append((start + head, start + size, here))
 
 
 def _words(data: bytes, at: int, count: int, kind: str = ">u4") -> np.ndarray:
@@ -130,10 +147,13 @@ def _words(data: bytes, at: int, count: int, kind: str = ">u4") -> np.ndarray:
 
 
 def _sample_places(data: bytes, table: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Offset and size of every sample from the sample tables."""
+    """Offset and size of every sample from the sample tables, after their claims are held against the file's length."""
     at = table[b"stsz"][0]
     same, count = struct.unpack_from(">II", data, at + 4)
-    sizes = np.full(count, same, np.int64) if same else _words(data, at + 12, count)
+    if same * count > len(data):
+        raise ValueError("more sample bytes than the file has")
+    if not same:
+        sizes = _words(data, at + 12, count)
     wide = b"co64" in table
     at = table[b"co64" if wide else b"stco"][0]
     (chunks,) = struct.unpack_from(">I", data, at + 4)
@@ -141,26 +161,42 @@ def _sample_places(data: bytes, table: dict[bytes, tuple[int, int]]) -> tuple[np
     at = table[b"stsc"][0]
     (n,) = struct.unpack_from(">I", data, at + 4)
     runs = _words(data, at + 8, 3 * n).reshape(n, 3)
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], chunks + 1)))
-    if per_chunk.sum() != count:
+    held = np.diff(np.append(runs[:, 0], chunks + 1))
+    if (held < 0).any() or (n and runs[0, 0] != 1) or int(sum(a * b for a, b in zip(held.tolist(), runs[:, 1].tolist(), strict=True))) != count:
         raise ValueError("the sample tables disagree")
+    if same:
+        sizes = np.full(count, same, np.int64)
+    per_chunk = np.repeat(runs[:, 1], held)
     first = np.cumsum(per_chunk) - per_chunk
     before = np.cumsum(sizes) - sizes
-    chunk_of = np.repeat(np.arange(chunks), per_chunk)
+    filled = np.flatnonzero(per_chunk)
+    chunk_of = np.repeat(filled, per_chunk[filled])
     return offsets[chunk_of] + before - before[first[chunk_of]], sizes
 
 
+def _tracks(data: bytes) -> list[dict[bytes, tuple[int, int]]]:
+    """The places of each track's boxes by type; a file with fragments has none that can be read."""
+    tracks: list[dict[bytes, tuple[int, int]]] = []
+    for path, a, b in walk(data):
+        if path[-1] == b"moof":
+            raise ValueError("fragments are not supported")
+        if path[-1] == b"trak":
+            tracks.append({})
+        if tracks and b"trak" in path:
+            tracks[-1][path[-1]] = (a, b)
+    return tracks
+
+
 def read_container(data: bytes | None) -> dict | None:
-    """Codec, geometry, duration and sample places of the first track; None for bytes that are no container."""
+    """Codec, geometry, duration and sample places of the first video track, else of the first; None for what cannot be read."""
+    data = data or b""
     try:
-        tables: dict[bytes, tuple[int, int]] = {}
-        for path, a, b in walk(data or b""):
-            if path[-1] == b"trak" and b"stsz" in tables:
-                break
-            tables[path[-1]] = (a, b)
+        tracks = _tracks(data)
+        video = [t for t in tracks if b"hdlr" in t and data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12] == b"vide"]
+        tables = (video or tracks)[0]
         at = tables[b"stsd"][0] + 8
         _, codec = struct.unpack_from(">I4s", data, at)
-        width, height = struct.unpack_from(">HH", data, at + 32)
+        width, height = struct.unpack_from(">HH", data, at + 32) if video else (None, None)
         at = tables[b"mdhd"][0]
         timescale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] else struct.unpack_from(">II", data, at + 12)
         offsets, sizes = _sample_places(data, tables)
@@ -173,9 +209,11 @@ def read_container(data: bytes | None) -> dict | None:
             at = tables[b"stss"][0]
             (n,) = struct.unpack_from(">I", data, at + 4)
             keys = _words(data, at + 8, n) - 1
+            if n and (keys[0] < 0 or keys[-1] >= len(sizes) or (np.diff(keys) <= 0).any()):
+                raise ValueError("the table of key frames is out of order")
         else:  # without a sync table every sample is one
             keys = np.arange(len(sizes))
-        if len(sizes) and (offsets[keys].min(initial=0) < 0 or (offsets + sizes).max() > len(data)):
+        if len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
             raise ValueError("a sample lies outside the file")
     except (KeyError, ValueError, struct.error, IndexError):
         return None

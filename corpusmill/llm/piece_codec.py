@@ -6,7 +6,9 @@ are encoded once.  In each round every part finds its best-scored pair of
 neighbours (a segmented minimum), all its occurrences merge at once from the
 left, and the arrays are compacted, until no pair remains.  Where a piece that
 extends the merged one scores as well or better, only the leftmost occurrence
-merges in that round, so the order is always that of one merge at a time.
+merges in that round, so the order is always that of one merge at a time; a
+part with many such occurrences is finished pair by pair from a queue, so long
+unbroken runs take little more than linear time.
 
 Edge cases: a null text is an empty one (begin and end ids only); characters
 outside the vocabulary become byte pieces; repeated rows give repeated rows;
@@ -16,6 +18,7 @@ columns other than the two named are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections import Counter
 from functools import lru_cache
 
@@ -32,6 +35,7 @@ UNKNOWN = " ⁇ "  # how the unknown piece reads
 CODES = 0x110000
 NONE = np.int64(2**62)
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+QUEUED = 64  # occurrences of which only the leftmost may merge, from which on a part goes pair by pair
 PROBES = ("", "a", " a", "a  b", "a\tb\n", "Ａé e\u0301", "x" + BLANK + "y", "\x00\x7f", "   ")
 
 
@@ -123,10 +127,46 @@ class PieceCodec:
         self.surface_length = np.array([len(s) for s in surface], np.int64)
         self.surface_start = np.cumsum(self.surface_length) - self.surface_length
         self.powers = _Powers()
+        self.table: dict[int, tuple[int, int]] | None = None
         for probe in PROBES:
             if self.encode([probe])[0].tolist() != library.encode(probe):
                 raise ValueError("the model's normaliser is not the identity with a leading blank")
 
+    def _one_by_one(self, symbols: list[int]) -> list[int]:
+        """The merges of one part in order of rank and place, from a queue over linked symbols."""
+        if self.table is None:
+            self.table = dict(zip(self.pair_keys[:-1].tolist(), zip(self.pair_rank.tolist(), self.pair_piece.tolist(), strict=True), strict=False))
+        table, width, n = self.table, self.size + CODES, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = []
+
+        def offer(i: int, j: int) -> None:
+            found = table.get(symbols[i] * width + symbols[j])
+            if found:
+                queue.append((found[0], i, j, symbols[i], symbols[j], found[1]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        heapq.heapify(queue)
+        push, queue_of = heapq.heappush, queue
+        while queue_of:
+            _, i, j, a, b, piece = heapq.heappop(queue_of)
+            if symbols[i] != a or after[i] != j or symbols[j] != b:
+                continue
+            symbols[i], symbols[j] = piece, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                found = table.get(piece * width + symbols[k])
+                if found:
+                    push(queue_of, (found[0], i, k, piece, symbols[k], found[1]))
+            h = before[i]
+            if h >= 0:
+                found = table.get(symbols[h] * width + piece)
+                if found:
+                    push(queue_of, (found[0], h, i, symbols[h], piece, found[1]))
+        return [s for s in symbols if s >= 0]
+
     def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge rounds over parts given as flat symbols and the parts' lengths; returns the same after the last round."""
         done_symbols: list[np.ndarray] = []
@@ -159,8 +199,22 @@ class PieceCodec:
             else:
                 first = best & 0xFFFFFFFF
             chosen = (rank >> 32) == np.repeat(best >> 32, lengths)
-            only = np.repeat(self.alone[self.pair_piece[at[first]]], lengths)
-            chosen &= ~only
+            alone = self.alone[self.pair_piece[at[first]]]
+            many = alone & (np.add.reduceat(chosen, starts, dtype=np.int64) > QUEUED)
+            if many.any():
+                for p in np.flatnonzero(many).tolist():
+                    done = self._one_by_one(symbols[starts[p] : starts[p] + lengths[p]].tolist())
+                    done_symbols.append(np.array(done, np.int64))
+                    done_lengths.append(np.array([len(done)]))
+                    done_parts.append(parts[p : p + 1])
+                if many.all():
+                    break
+                stays = np.repeat(~many, lengths)
+                moved = np.cumsum(stays) - 1
+                symbols, at, rank, chosen = symbols[stays], at[stays], rank[stays], chosen[stays]
+                first, parts, lengths, alone = moved[first[~many]], parts[~many], lengths[~many], alone[~many]
+                starts = np.cumsum(lengths) - lengths
+            chosen &= ~np.repeat(alone, lengths)
             # of neighbouring occurrences every second one merges, from the left
             places = np.arange(len(symbols))
             run_start = np.maximum.accumulate(np.where(chosen & ~np.append(False, chosen[:-1]), places, 0))

@@ -4,7 +4,9 @@ For a byte string, the last token of the encoding of each prefix follows from
 the shorter prefixes: among the vocabulary tokens that end at the prefix, only
 one forms, with the last token in front of it, a pair that BPE leaves as it is.
 So one left-to-right pass stores the count of every prefix, and truncation and
-budget questions are lookups; nothing is encoded again.
+budget questions are lookups; nothing is encoded again.  The counts are kept
+for each different word, as the split pattern cuts a text into words that are
+encoded apart; a text's own counts are sums of them.
 
 Edge cases: a null text is an empty one with 0 tokens; special strings of the
 tokenizer inside a text are one token each, as the library reads them; repeated
@@ -14,6 +16,7 @@ rows give repeated rows; columns other than the two named are ignored.
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +33,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-MAX_MEMO = 600_000
+MAX_MEMO = 400_000
 STEM = 5  # letters of a word's beginning that are looked up together
 
 
@@ -73,7 +76,7 @@ class PrefixCounter:
         self.stays = _Memo(lambda pair: self.encode(pair[0] + pair[1]) == list(pair))
         self.whole = _Memo(lambda token: self.encode(token) == [token])
         self.stems = _Memo(self._from_nothing)
-        self.total = _Memo(lambda word: int(self.word_prefixes(word)[-1]))
+        self.known = _Memo(self._word)
 
     def encode(self, word: str) -> list[str]:
         """Plain BPE of a string of byte letters: the lowest-ranked pair merges first, the leftmost on ties."""
@@ -111,7 +114,7 @@ class PrefixCounter:
         self._extend(text, last, counts)
         return last, counts
 
-    def word_prefixes(self, word: str) -> np.ndarray:
+    def _word(self, word: str) -> array:
         """Token counts of all byte prefixes of a piece of text that the split pattern keeps whole.
 
         Words that begin alike share the work on their first letters.
@@ -119,7 +122,10 @@ class PrefixCounter:
         text = "".join(map(self.letters.__getitem__, word.encode()))
         last, counts = map(list, self.stems[text[:STEM]])
         self._extend(text, last, counts)
-        return np.array(counts, np.int32)
+        return array("i", counts)
+
+    def word_prefixes(self, word: str) -> np.ndarray:
+        return np.frombuffer(self.known[word], np.int32)
 
     def _plain(self, text: str) -> np.ndarray:
         """Counts at all byte prefixes of a text without special strings."""
@@ -129,12 +135,12 @@ class PrefixCounter:
             counts = self.word_prefixes(word)
             if len(word) == 3 and word[0] == "'" and word[1:].isalpha():  # cut inside 're, 've, 'll: quote and letter
                 counts = np.array([0, 1, 2, counts[-1]], np.int32)
-            step = held + counts[1:]
+            step = held + counts[1:]  # a new array: the known one stays
             if i and out and self.split.fullmatch(word) and word[0] == " " and len(word) > 1 and words[i - 1].isspace():
                 run = words[i - 1] + " "  # a prefix that ends with this blank has the whole run as its last piece
-                step[0] = held - self.total[words[i - 1]] + self.total[run]
+                step[0] = held - int(self.known[words[i - 1]][-1]) + self.known[run][-1]
             elif i and word.isspace() and len(word) == 1 and words[i - 1].isspace():
-                step[-1] = held - self.total[words[i - 1]] + self.total[words[i - 1] + word]
+                step[-1] = held - self.known[words[i - 1]][-1] + self.known[words[i - 1] + word][-1]
                 out.append(step)
                 held += int(counts[-1])
                 continue
@@ -153,21 +159,25 @@ class PrefixCounter:
         out.append(held + self._plain(text[start:])[1:])
         return np.concatenate(out)
 
-    def boundaries(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Code points and token counts at the ends of the text's pieces, both starting with 0."""
-        chars: list[int] = [0]
-        counts: list[int] = [0]
-        start = 0
-        total = self.total
-        for found in self.special.finditer(text) if self.special else ():
-            words = self.split.findall(text[start : found.start()])
-            chars += [*map(len, words), len(found[0])]
-            counts += [*[total[w] for w in words], 1]
-            start = found.end()
-        words = self.split.findall(text[start:] if start else text)
-        chars += map(len, words)
-        counts += [total[w] for w in words]
-        return np.cumsum(chars), np.cumsum(counts)
+    def count(self, text: str, limit: int) -> tuple[int, int]:
+        """The token count of a text, and the length in code points of its longest prefix with at most ``limit`` tokens."""
+        known = self.known
+        if self.special and self.special.search(text):
+            counts = self.prefixes(text)
+            widths = np.array([len(c.encode()) for c in text], np.int64)
+            return int(counts[-1]), int(np.flatnonzero(counts[np.append(0, np.cumsum(widths))] <= limit)[-1])
+        words = self.split.findall(text)
+        totals = np.cumsum([known[w][-1] for w in words]) if words else np.zeros(1, np.int64)
+        if totals[-1] <= limit:
+            return int(totals[-1]), len(text)
+        # words are cut apart, so only prefixes that end in the first word over the limit, or next to it, are in question
+        k = int(np.searchsorted(totals, limit, side="right"))
+        a = max(0, k - 1)
+        window = "".join(words[a : k + 2])
+        counts = self._plain(window) + (totals[a - 1] if a else 0)
+        widths = np.array([len(c.encode()) for c in window], np.int64)
+        fits = np.flatnonzero(counts[np.append(0, np.cumsum(widths))] <= limit)[-1]
+        return int(totals[-1]), sum(map(len, words[:a])) + int(fits)
 
 
 @lru_cache(maxsize=4)
@@ -182,17 +192,16 @@ COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens"
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, fitting_chars) of every whole text.
 
-    ``fitting_chars`` is the longest prefix of whole pieces with at most ``limit`` tokens.  ``vocabulary`` is the
-    path of a tokenizers JSON file that every executor can read.  One pass without a shuffle.
+    ``fitting_chars`` is the length of the longest prefix, cut at any character, with at most ``limit`` tokens.
+    ``vocabulary`` is the path of a tokenizers JSON file that every executor can read.  One pass without a shuffle.
     """
 
     def rows(ids, texts):
         count = counter(vocabulary)
         out: dict[str, list] = {f: [] for f in COUNTS.names}
         for i, text in zip(ids, texts, strict=True):
-            chars, tokens = count.boundaries(text)
-            fits = chars[np.searchsorted(tokens, limit, side="right") - 1]
-            for name, value in zip(COUNTS.names, (i, len(text.encode()), tokens[-1], bool(tokens[-1] > limit), fits), strict=True):
+            tokens, fits = count.count(text, limit)
+            for name, value in zip(COUNTS.names, (i, len(text.encode()), tokens, tokens > limit, fits), strict=True):
                 out[name].append(value)
         return out
 

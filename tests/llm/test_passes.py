@@ -184,7 +184,16 @@ def test_every_character(counting):
     ours, count = counting
     for code in [*range(0x3100), *range(0xA000, 0xD7FF, 13), *range(0x1F300, 0x1F700, 7)]:
         text = f"a{chr(code)} b"
-        assert ours.boundaries(text)[1][-1] == count(text), hex(code)
+        assert ours.count(text, 10**9) == (count(text), len(text)), hex(code)
+
+
+def test_budgets_end_at_any_character(counting):
+    ours, count = counting
+    rng = random.Random(2)
+    for _ in range(600):
+        text = "".join(rng.choices([*LETTERS, "unbelievable", " strengthening", "漢字", "🙂"], k=rng.randint(0, 12)))
+        limit = rng.randint(0, 8)
+        assert ours.count(text, limit) == (count(text), max(i for i in range(len(text) + 1) if count(text[:i]) <= limit)), (text, limit)
 
 
 def test_token_queries(spark, counting, odd_docs, no_docs):
@@ -195,7 +204,7 @@ def test_token_queries(spark, counting, odd_docs, no_docs):
     assert all(r.over_limit == (r.n_tokens > 512) for r in rows)
     long = next(r for r in rows if r.doc_id == 2)
     text = odd_docs.filter("doc_id = 2").first().text
-    assert count(text[: long.fitting_chars]) <= 512 < count(text[: long.fitting_chars + 30])
+    assert count(text[: long.fitting_chars]) <= 512 < min(count(text[: long.fitting_chars + k]) for k in range(1, 30))
     assert token_counts.token_counts(no_docs, BPE).count() == 0
     held = token_counts.prefix_counts(odd_docs.filter("doc_id = 3"), BPE).first()
     assert held.counts[0] == 0 and len(held.counts) > 30

@@ -1,10 +1,14 @@
 """Toxicity: a linear classifier with counterfactual regularisation.
 
 Features are words and word beginnings with how often they occur (once, twice,
-three times).  Their counts by label are summed over the labelled sample; the
-most telling ones are kept.  The fit is a logistic regression that also
-penalises score changes when identity terms in labelled sentences are swapped
-for others, so naming a group does not move a score.
+three times).  Their counts by label are summed over the labelled sample; all
+that are significantly more frequent in toxic documents are kept.  The fit is a
+logistic regression that also penalises score changes between counterfactuals:
+a labelled sentence that names a group, against the same with every other term
+of that row; and a sentence of each labelled document that names none, with
+each term of a row added.  So naming a group, or which, does not move a score,
+also where the labelled texts name none.  The squared changes are a quadratic
+form of the weights, so only its sums travel, whatever the number of pairs.
 
 Edge cases: a null text is an empty one and gets the base score; without any
 usable label every score is 0; repeated rows give repeated rows; columns other
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,18 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.plans.scratch import materialize
+from corpusmill.plans.scratch import materialize, remove
 
-from ._batches import text_chunks
+from ._batches import chunks_of
 from ._labels import fold_of, labelled_sample
 
 MAX_LABELLED = 20_000  # labelled rows that a fit uses at most
-VOCABULARY = 4_096
 MIN_DOCS = 5
+MIN_RATIO = 3.84  # likelihood ratio of a feature: one in twenty by chance
 LEVELS = 3
 STEMS = range(3, 9)
 RIDGE = 5e-4
-SWAP_PENALTY = 1.0
+SWAP_PENALTY = 10.0
 STEPS, RATE = 300, 0.05
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
@@ -43,7 +48,7 @@ MAX_MEMO = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 
-# Terms that name groups of people; each is swapped for the next of its row.
+# Terms that name groups of people; each is swapped for all others of its row.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "transgender", "nonbinary"),
     ("woman", "man", "girl", "boy"),
@@ -62,7 +67,7 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres", "chicas", "chicos"),
     ("musulmanes", "cristianos", "judíos", "hindúes", "budistas"),
 )
-SWAPS = {term: row[(i + 1) % len(row)] for row in reversed(IDENTITY_TERMS) for i, term in enumerate(row)}
+PLACES = {term: (row, i) for row in reversed(IDENTITY_TERMS) for i, term in enumerate(row)}
 
 
 def _code(name: str) -> int:
@@ -104,15 +109,34 @@ def feature_codes(words: list[str]) -> set[int]:
     return {code + k for code, n in word_counts(words, _WORDS).items() for k in range(min(n, LEVELS))}
 
 
-def swapped_sentences(text: str) -> list[tuple[list[str], list[str]]]:
-    """(words, words with identity terms swapped) of the sentences that name a group."""
-    out = []
-    for sentence in SENTENCE.findall(text.lower()):
-        words = WORD.findall(sentence)
-        other = [SWAPS.get(w, w) for w in words]
-        if other != words:
-            out.append((words, other))
-    return out
+def swapped_sentences(words: list[str]) -> list[list[str]]:
+    """The versions of a sentence in which every identity term is the one so many places on in its row, for all distances."""
+    rows = [PLACES[w][0] for w in words if w in PLACES]
+
+    def moved(word: str, by: int) -> str:
+        row, i = PLACES.get(word, ((word,), 0))
+        return row[(i + by) % len(row)]
+
+    return [[moved(w, by) for w in words] for by in range(1, max(map(len, rows), default=1))]
+
+
+def counterfactuals(text: str) -> Iterator[tuple[set[int], set[int]]]:
+    """The features of both sides of each pair of sentences that should have equal scores."""
+    carrier, least = None, None
+    for sentence in SENTENCE.finditer(text.lower()):
+        words = WORD.findall(sentence[0])
+        versions = swapped_sentences(words)
+        if versions:
+            own = feature_codes(words)
+            yield from ((own, feature_codes(v)) for v in versions)
+        elif words:
+            mark = zlib.crc32(" ".join(words).encode())
+            if least is None or mark < least:
+                carrier, least = words, mark
+    if carrier:
+        row = IDENTITY_TERMS[least % len(IDENTITY_TERMS)]
+        held = [feature_codes([*carrier, term]) for term in row]
+        yield from ((held[0], other) for other in held[1:])
 
 
 COUNTS = pa.schema([("code", pa.int64()), ("toxic", pa.int64()), ("fine", pa.int64())])
@@ -121,18 +145,17 @@ COUNTS = pa.schema([("code", pa.int64()), ("toxic", pa.int64()), ("fine", pa.int
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each label that hold a feature, summed for each chunk of texts."""
     for batch in batches:
-        labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in text_chunks([len(t) for t in texts], 4_000_000):
+        for part, texts in chunks_of(batch, 1, 4_000_000):
             tallies: tuple[Counter, Counter] = (Counter(), Counter())
-            for label, text in zip(labels[a:b], texts[a:b], strict=True):
+            for label, text in zip(part.column(0).to_pylist(), texts, strict=True):
                 tallies[label].update(feature_codes(WORD.findall(text.lower())))
             fine, toxic = tallies
             codes = list(fine.keys() | toxic.keys())
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array([toxic[c] for c in codes], pa.int64()), pa.array([fine[c] for c in codes], pa.int64())], schema=COUNTS)
 
 
-def telling_features(sample: DataFrame, size: int = VOCABULARY, min_docs: int = MIN_DOCS) -> list[int]:
-    """At most ``size`` features that occur more in toxic documents, by the likelihood ratio of their counts."""
+def telling_features(sample: DataFrame, min_ratio: float = MIN_RATIO, min_docs: int = MIN_DOCS) -> list[int]:
+    """The features that occur more in toxic documents, by the likelihood ratio of their counts; the sample bounds their number."""
     totals = sample.agg(F.sum("label"), F.count(F.lit(1))).first()
     toxic_docs, docs = float(totals[0] or 0), float(totals[1])
     if not 0 < toxic_docs < docs:
@@ -151,16 +174,18 @@ def telling_features(sample: DataFrame, size: int = VOCABULARY, min_docs: int =
         + term(fine_docs - f, (docs - both) * fine_docs / docs)
     )
     counts = sample.select("label", "text").mapInArrow(_counts, "code long, toxic long, fine long").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("fine").alias("fine"))
-    found = counts.filter((both >= min_docs) & (both < docs) & (t / toxic_docs > f / fine_docs)).select("code", F.round(ratio, 6).alias("ratio"))
-    return [r.code for r in found.orderBy(F.desc("ratio"), "code").limit(size).collect()]
+    found = counts.filter((both >= min_docs) & (both < docs) & (t / toxic_docs > f / fine_docs)).filter(F.round(ratio, 6) >= min_ratio)
+    return sorted(r.code for r in found.select("code").collect())
 
 
 @dataclass
 class ToxicityModel:
-    """A bias and the weights of the kept features by code."""
+    """A bias and the weights of the kept features by code; how many pairs the fit used, and how many its features can tell apart."""
 
     bias: float
     weights: dict[int, float]
+    pairs: int = 0
+    telling_pairs: int = 0
     bases: set[int] = field(init=False, repr=False, compare=False)
     hits: _Memo = field(init=False, repr=False, compare=False)
 
@@ -169,7 +194,7 @@ class ToxicityModel:
         self.hits = _Memo(self._hits)
 
     def __getstate__(self):
-        return {"bias": self.bias, "weights": self.weights}
+        return {"bias": self.bias, "weights": self.weights, "pairs": self.pairs, "telling_pairs": self.telling_pairs}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -188,21 +213,16 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-min(max(total, -40), 40))))
 
 
-def _rows_of(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of a sparse 0/1 matrix given by its rows."""
-    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([c for x in lists for c in x], np.int64)
-
+def fit_weights(indices: np.ndarray, lengths: np.ndarray, labels: np.ndarray, changes: dict[tuple[int, int], float], pairs: int, size: int, swap_penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
+    """Logistic weights and bias by full-batch Adam; row i holds the next ``lengths[i]`` features of ``indices``.
 
-def fit_weights(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], size: int, swap_penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
-    """Logistic weights and bias by full-batch Adam.
-
-    The loss is the mean log loss, a ridge, and ``swap_penalty`` times the mean squared score change of the pairs.
+    The loss is the mean log loss, a ridge, and ``swap_penalty`` times the mean squared score change of the pairs, which
+    is the quadratic form ``changes`` (both orders of a pair of features, or the square of one) over ``pairs``.
     """
-    r, c = _rows_of(rows)
-    pr = np.concatenate([_rows_of([p[0] for p in pairs])[0], _rows_of([p[1] for p in pairs])[0]]).astype(np.int64)
-    pc = np.concatenate([_rows_of([p[0] for p in pairs])[1], _rows_of([p[1] for p in pairs])[1]])
-    sign = np.concatenate([np.full(sum(len(p[0]) for p in pairs), 1.0), np.full(sum(len(p[1]) for p in pairs), -1.0)])
-    n, base = len(rows), labels.mean()
+    n, base = len(lengths), labels.mean()
+    r, c = np.repeat(np.arange(n), lengths), indices
+    left, right = (np.array([k[side] for k in changes], np.int64) for side in (0, 1))
+    value = np.array(list(changes.values()), np.float64)
     x = np.append(np.zeros(size), np.log(base / (1 - base)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, STEPS + 1):
@@ -210,55 +230,77 @@ def fit_weights(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[lis
         error = (1 / (1 + np.exp(-z)) - labels) / n
         g = np.append(np.bincount(c, error[r], minlength=size) + RIDGE * x[:-1], error.sum())
         if pairs:
-            change = np.bincount(pr, sign * x[pc], minlength=len(pairs))
-            g[:-1] += 2 * swap_penalty / len(pairs) * np.bincount(pc, sign * change[pr], minlength=size)
+            g[:-1] += 2 * swap_penalty / pairs * np.bincount(left, value * x[right], minlength=size)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return x[:-1], float(x[-1])
 
 
-FOUND = "doc_id long, label int, features array<int>, before array<array<int>>, after array<array<int>>"
+FOUND = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("features", pa.binary()), ("i", pa.int32()), ("j", pa.int32()), ("value", pa.float64()), ("pairs", pa.int64())])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", bound: int = MAX_LABELLED) -> ToxicityModel | None:
     """A model from at most ``bound`` labelled documents outside the held-out fold; None without both labels.
 
-    What reaches the driver is the sample's kept features, at most ``bound`` short lists, and its swapped sentences.
+    What reaches the driver is bounded by the sample: ``bound`` lists of features as packed numbers, and the sums of the
+    pairs' products by features of identity terms.
     """
     sample = materialize(labelled_sample(docs, labels, label, FOLDS, HELD, bound, id_col, text_col), "labelled")
     codes = telling_features(sample)
     if not codes:
+        remove(sample)
         return None
     place = {code: i for i, code in enumerate(codes)}
 
-    def kept(words: list[str]) -> list[int]:
-        return sorted(place[c] for c in feature_codes(words) if c in place)
+    def kept(features: set[int]) -> list[int]:
+        return sorted(place[c] for c in features if c in place)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ints = pa.list_(pa.int32())
+        sums: Counter = Counter()
+        pairs = telling = 0
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            features = [kept(WORD.findall(t.lower())) for t in texts]
-            swaps = [[(kept(a), kept(b)) for a, b in swapped_sentences(t)] for t in texts]
-            swaps = [[(a, b) for a, b in s if a != b] for s in swaps]
-            sides = [pa.array([[p[k] for p in s] for s in swaps], pa.list_(ints)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(features, ints), *sides], names=["doc_id", "label", "features", "before", "after"])
-
-    rows = sample.mapInArrow(found, FOUND).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.label, r.features))
-    pairs = [(a, b) for r in rows for a, b in zip(r.before, r.after, strict=True)]
-    weights, bias = fit_weights([r.features for r in rows], np.array([r.label for r in rows], np.float64), pairs, len(codes))
-    return ToxicityModel(bias, {code: float(w) for code, w in zip(codes, weights, strict=True)})
+            for part, texts in chunks_of(batch, 2):
+                features = [np.array(kept(feature_codes(WORD.findall(t.lower()))), np.int32).tobytes() for t in texts]
+                for text in texts:
+                    for a, b in counterfactuals(text):
+                        pairs += 1
+                        signed = [(k, 1) for k in kept(a - b)] + [(k, -1) for k in kept(b - a)]
+                        telling += bool(signed)
+                        for i, x in signed:
+                            for j, y in signed:
+                                sums[i, j] += x * y
+                none = [pa.nulls(len(part), f.type) for f in list(FOUND)[3:]]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.int32()), pa.array(features, pa.binary()), *none], schema=FOUND)
+        if pairs:
+            rows = [(i, j, float(x), None) for (i, j), x in sorted(sums.items())] + [(-1, -1, float(telling), pairs)]
+            none = [pa.nulls(len(rows), f.type) for f in list(FOUND)[:3]]
+            yield pa.RecordBatch.from_arrays([*none, *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(FOUND)[3:], strict=True))], schema=FOUND)
+
+    ddl = "doc_id long, label int, features binary, i int, j int, value double, pairs long"
+    both = materialize(sample.select("doc_id", "label", "text").mapInArrow(found, ddl), "features")
+    rows = both.filter("label is not null").select("doc_id", "label", "features").toPandas().sort_values(["doc_id", "label"])
+    lists = [np.frombuffer(f, np.int32) for f in rows.features]
+    summed = both.filter("i is not null").groupBy("i", "j").agg(F.sum("value").alias("value"), F.sum("pairs").alias("pairs")).collect()
+    total = next((r for r in summed if r.i < 0), None)
+    changes = {(r.i, r.j): r.value for r in sorted(summed, key=lambda r: (r.i, r.j)) if r.i >= 0 and r.value}
+    telling = int(total.value) if total else 0
+    weights, bias = fit_weights(np.concatenate(lists).astype(np.int64), np.array([len(x) for x in lists]), rows.label.to_numpy(np.float64), changes, telling, len(codes))
+    remove(sample, both)
+    return ToxicityModel(bias, {code: float(w) for code, w in zip(codes, weights, strict=True)}, int(total.pairs) if total else 0, telling)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row; only the whole text decides the score."""
+    """(doc_id, held_out, score, predicted, swap_pairs) for every row; only the whole text decides the score.
+
+    ``swap_pairs`` is how many counterfactual pairs the fit used, the same number in all rows.
+    """
     model = fit_toxicity(docs, labels, id_col, text_col, **options)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [0.0 if model is None else round(model.score(t or ""), 9) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            for part, texts in chunks_of(batch, 1):
+                scores = [0.0 if model is None else round(model.score(t), 9) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(rows, f"doc_id {kind}, score double").select(
@@ -266,4 +308,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        F.lit(model.pairs if model else 0).cast("long").alias("swap_pairs"),
     )

@@ -90,15 +90,86 @@ def test_isotonic_equals_brute_force():
     assert np.allclose(got, minmax)
 
 
+def sparse(rows):
+    return np.array([c for r in rows for c in r], np.int64), np.array([len(r) for r in rows])
+
+
+def test_fit_equals_brute_force():
+    rng = np.random.default_rng(3)
+    x = (rng.random((300, 5)) < 0.4).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(1.5 - x @ [2, -1, 1, 0, 1]))).astype(float)
+    pairs = [rng.integers(-1, 2, 5).astype(float) for _ in range(20)]
+    form = sum(np.outer(d, d) for d in pairs)
+    w, b = toxicity.fit_weights(*sparse([np.flatnonzero(r).tolist() for r in x]), y, {(i, j): form[i, j] for i in range(5) for j in range(5)}, 20, 5, swap_penalty=0.3)
+    best = np.zeros(6)  # Newton steps of the same loss, written out
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(x @ best[:5] + best[5])))
+        full = np.hstack([x, np.ones((300, 1))])
+        g = full.T @ (p - y) / 300 + np.append(toxicity.RIDGE * best[:5] + sum(2 * 0.3 / 20 * (d @ best[:5]) * d for d in pairs), 0)
+        h = full.T @ (full * (p * (1 - p))[:, None]) / 300
+        h[:5, :5] += toxicity.RIDGE * np.eye(5) + 2 * 0.3 / 20 * form
+        best -= np.linalg.solve(h, g)
+    assert np.allclose(np.append(w, b), best, atol=0.02)
+
+
 def test_swaps_flatten_identity_terms():
     rows = [[0, 2], [0], [1], [2], [0, 1], []] * 30
     labels = np.array([1, 1, 0, 0, 1, 0] * 30, float)
     labels[::7] = 1
-    free, _ = toxicity.fit_weights(rows, labels, [], 3)
-    tied, _ = toxicity.fit_weights(rows, labels, [([0], [1])] * 10, 3, swap_penalty=10.0)
+    free, _ = toxicity.fit_weights(*sparse(rows), labels, {}, 0, 3)
+    tied, _ = toxicity.fit_weights(*sparse(rows), labels, {(0, 0): 10, (1, 1): 10, (0, 1): -10, (1, 0): -10}, 10, 3)
     assert abs(tied[0] - tied[1]) < 0.2 * abs(free[0] - free[1])
-    pairs = toxicity.swapped_sentences("The women spoke. Nothing here! Muslims and men")
-    assert pairs[0][1] == ["the", "men", "spoke"] and pairs[1][1] == ["christians", "and", "girls"]
+    assert toxicity.swapped_sentences(["the", "woman", "spoke"]) == [["the", t, "spoke"] for t in ("man", "girl", "boy")] and toxicity.swapped_sentences(["none"]) == []
+    assert len(list(toxicity.counterfactuals("The women spoke. Nothing here!"))) >= 5 + 3 and not list(toxicity.counterfactuals(" 12 !"))
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_scores_do_not_move_with_the_group(spark, table, prose, named):
+    """Muslims are named in toxic texts mostly (or, without names, toxic words begin as the term does); held-out sentences score alike."""
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(500):
+        words, toxic = prose(i, 30).split(), rng.random() < 0.4
+        if toxic:
+            words[3] = rng.choice(["viletalk", "nastiest"])
+        if rng.random() < (0.7 if toxic else 0.05):
+            words[8] = "muslims" if named else "muslimish"
+        elif named and rng.random() < 0.3:
+            words[8] = rng.choice(["christians", "jews", "hindus"])
+        docs.append((i, " ".join(words) + ".", "en", "s", 0))
+        labels.append((i, 1, int(toxic)))
+    labels = spark.createDataFrame(labels, LABELS)
+    model = toxicity.fit_toxicity(table(docs), labels)
+    assert model.pairs >= model.telling_pairs > 0
+    probes = [f"{prose(9000 + k, 12)} {{}} {prose(9100 + k, 12)}" for k in range(20)]
+    row = toxicity.IDENTITY_TERMS[5]
+    spans = [max(s) - min(s) for s in ([model.score(p.format(t)) for t in row] for p in probes)]
+    assert max(spans) < 0.05
+    assert all(model.score(p.format("viletalk")) > 0.5 > model.score(p.format("muslims")) for p in probes)
+
+
+def test_sample_is_bounded_in_rows(spark, table):
+    from corpusmill.llm._labels import labelled_sample
+
+    docs = table([(1, f"text {i % 7}", "en", "s", 0) for i in range(300)] + [(i, "x", "en", "s", 0) for i in range(2, 40)])
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(1, 40)], LABELS)
+    rows = labelled_sample(docs, labels, "toxic", 4, 2, 30, "doc_id", "text").collect()
+    assert 0 < len(rows) <= 30 and len({r.doc_id for r in rows}) == len(rows) and {r.text for r in rows if r.doc_id == 1} <= {"text 0"}
+
+
+def test_ridge_equals_a_direct_solve(corpus, monkeypatch):
+    docs, labels = corpus
+    model = quality.fit_quality(docs, labels)
+    from pyspark.sql import functions as F
+
+    truth = {r.doc_id: r.quality for r in labels.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).filter(F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(5)) != 0).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    x = np.array([quality.statistics(texts[i]) for i in truth])
+    y = np.array([float(truth[i]) for i in truth])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.maximum(x.std(0), 1e-6), atol=1e-5)
+    f = model.features(x)
+    direct = np.linalg.lstsq(np.vstack([f, np.sqrt(quality.RIDGE) * np.eye(f.shape[1])]), np.append(y, np.zeros(f.shape[1])), rcond=None)[0]
+    assert np.allclose(model.weights, direct, atol=1e-6)
 
 
 @pytest.mark.parametrize(("name", "label", "least"), [("op5_quality", "quality", 0.97), ("op9_toxicity", "toxic", 0.9)])

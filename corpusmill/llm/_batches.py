@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 MAX_CHARS = 1_000_000
 
@@ -25,6 +26,14 @@ def text_chunks(lengths: list[int], max_chars: int = MAX_CHARS) -> Iterator[tupl
         yield start, len(lengths)
 
 
+def chunks_of(batch: pa.RecordBatch, text: int, max_chars: int = MAX_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with their texts as Python strings, null as empty; no more of a batch is turned into objects at once."""
+    lengths = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()
+    for a, b in text_chunks(lengths, max_chars):
+        part = batch.slice(a, b - a)
+        yield part, [t or "" for t in part.column(text).to_pylist()]
+
+
 def map_texts(rows: Callable[[list, list[str]], dict[str, list]], schema: pa.Schema, max_chars: int = MAX_CHARS):
     """A ``mapInArrow`` function over columns (key, text): nulls become empty texts.
 
@@ -33,10 +42,8 @@ def map_texts(rows: Callable[[list, list[str]], dict[str, list]], schema: pa.Sch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            keys = batch.column(0).to_pylist()
-            for a, b in text_chunks([len(t) for t in texts], max_chars):
-                out = rows(keys[a:b], texts[a:b])
+            for part, texts in chunks_of(batch, 1, max_chars):
+                out = rows(part.column(0).to_pylist(), texts)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return run

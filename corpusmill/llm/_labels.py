@@ -12,10 +12,11 @@ def fold_of(id_column: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, bound: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, label, text) of at most ``bound`` labelled ids outside the held-out fold.
+    """(doc_id, label, text), at most ``bound`` rows, of labelled ids outside the held-out fold.
 
     Ids with several labels count by their majority (a tie is a 1); null labels are none.  The ids are those with the
-    smallest hashes, so the choice depends on nothing else; they are few enough to broadcast, and no text is shuffled.
+    smallest hashes, so the choice depends on nothing else; they are few enough to broadcast.  Of several rows with one
+    id the smallest text counts; only the sample's texts are shuffled.
     """
     chosen = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("double").alias("label"))
@@ -26,4 +27,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .limit(bound)
     )
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))

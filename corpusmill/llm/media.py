@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import map_texts, text_chunks
+from ._batches import chunks_of, map_texts
 
 FRAME_SIDE = 24
 FRAME_BYTES = FRAME_SIDE * FRAME_SIDE
@@ -322,9 +322,8 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def rows(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in text_chunks([len(t) for t in texts]):
-                media = pa.array([write_container(padded(t.encode())) for t in texts[a:b]], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), media], names=["doc_id", "media"])
+            for part, texts in chunks_of(batch, 1):
+                media = pa.array([write_container(padded(t.encode())) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), media], names=["doc_id", "media"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(rows, "doc_id long, media binary")

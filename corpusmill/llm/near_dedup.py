@@ -33,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
@@ -41,7 +40,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantT
 from corpusmill.operators.graph import components
 from corpusmill.plans.scratch import materialize, remove
 
-from ._batches import text_chunks
+from ._batches import chunks_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -162,10 +161,9 @@ def _bands(weighted: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            texts = batch.column(1)
-            for a, b in text_chunks(pc.utf8_length(texts).to_pylist()):
+            for part, texts in chunks_of(batch, 1):
                 keys, codes = [], []
-                for key, text in zip(batch.column(0).slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist(), strict=True):
+                for key, text in zip(part.column(0).to_pylist(), texts, strict=True):
                     if key in seen:
                         continue
                     if len(seen) >= MAX_SEEN:

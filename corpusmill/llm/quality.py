@@ -28,7 +28,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusmill.plans.scratch import materialize
 
-from ._batches import text_chunks
+from ._batches import chunks_of
 from ._labels import fold_of, labelled_sample
 
 MAX_LABELLED = 20_000  # labelled rows that a fit uses at most
@@ -148,10 +148,9 @@ VECTORS = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.lis
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        for a, b in text_chunks([len(t) for t in texts]):
-            x = pa.array([statistics(t) for t in texts[a:b]], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), batch.column(1).slice(a, b - a), x], schema=VECTORS)
+        for part, texts in chunks_of(batch, 2):
+            x = pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), x], schema=VECTORS)
 
 
 def _matrix(column) -> np.ndarray:
@@ -237,12 +236,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            scores = np.empty(len(texts))
-            for a, b in text_chunks([len(t) for t in texts]):
-                x = np.array([statistics(t) for t in texts[a:b]]).reshape(b - a, STATISTICS)
-                scores[a:b] = 0.5 if model is None else np.round(model.score(x), 9)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], names=[*batch.schema.names[1:], "score"])
+            for part, texts in chunks_of(batch, 0):
+                x = np.array([statistics(t) for t in texts]).reshape(len(texts), STATISTICS)
+                scores = np.full(len(texts), 0.5) if model is None else np.round(model.score(x), 9)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(scores)], names=[*batch.schema.names[1:], "score"])
 
     columns = docs.select(F.col(text_col).alias("scored_text"), F.col(id_col).alias("doc_id"), *(F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)))
     schema = StructType([*columns.schema.fields[1:], StructField("score", DoubleType())])

@@ -176,3 +176,8 @@ def composite_key(*parts: Column, separator: str = "||") -> Column:
 def seeded_order(key: Column, seed: int = 42) -> Column:
     """A reproducible random order: md5 of seed and key, the same in every engine."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
+def iso_stamp(moment: Column | None = None) -> Column:
+    """ISO 8601 text of a timestamp (now, if none is given) to the second, in the session's time zone."""
+    return F.date_format(moment if moment is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")

@@ -22,8 +22,7 @@ def greedy_align(panels: DataFrame, segs: DataFrame, figure: str = "figure_id",
     """Each panel's best segment of its figure, independent of the others, with the runner-up, margin and match type.
 
     Similarities are inner products of the columns ``embedding``; ties go to the smaller segment index.  Panels of
-    figures without segments are left out.  Candidates stay within a figure, and the best two are kept by partial
-    aggregation, not by sorting a figure's pairs.
+    figures without segments are left out.  Candidates stay within a figure; a panel's own candidates are ranked.
     """
     a = panels.select(figure, panel, F.col("embedding").alias("_p"))
     b = segs.select(figure, F.col(seg).alias("_seg"), (F.col(text) if text else F.lit(None).cast("string")).alias("_text"), F.col("embedding").alias("_s"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import reading_label
@@ -104,10 +104,15 @@ def grid_layout(n: Column, index: Column, cell_width: int = 448, cell_height: in
     )
 
 
-def quantiles(df: DataFrame, columns: list[str], points: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """(column, n, low, high, mean, q05, ...): exact linear quantiles of each column, nulls left out."""
+def quantiles(df: DataFrame, columns: list[str], points: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95), accuracy: int | None = None) -> DataFrame:
+    """(column, n, low, high, mean, q05, ...): linear quantiles of each column, nulls left out.
+
+    They are exact, which holds the counts of all different values of a column in one task.  For columns with too many
+    of them, ``accuracy`` takes a sketch instead, with ranks off by at most one in ``accuracy``.
+    """
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*").filter("v is not null")
-    qs = [F.percentile("v", F.lit(p)).alias(f"q{int(round(100 * p)):02d}") for p in points]
+    at = (lambda p: F.percentile_approx("v", p, accuracy)) if accuracy else (lambda p: F.percentile("v", F.lit(p)))
+    qs = [at(p).alias(f"q{int(round(100 * p)):02d}") for p in points]
     return long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), *qs)
 
 
@@ -116,3 +121,65 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     clipped = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.col(value)))
     at = F.least(F.lit(bins), (F.floor((clipped - low) / ((high - low) / bins)) + 1).cast("int"))
     return df.filter(F.col(value).isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def overlap(a: str, b: str) -> Column:
+    """Intersection over union of two boxes given as columns ``{a}x1 .. {a}y2`` and ``{b}x1 .. {b}y2``; 0 without an area."""
+    side = lambda d: F.greatest(F.least(F.col(f"{a}{d}2"), F.col(f"{b}{d}2")) - F.greatest(F.col(f"{a}{d}1"), F.col(f"{b}{d}1")), F.lit(0.0))
+    area = lambda p: (F.col(f"{p}x2") - F.col(f"{p}x1")) * (F.col(f"{p}y2") - F.col(f"{p}y1"))
+    shared = side("x") * side("y")
+    union = area(a) + area(b) - shared
+    return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
+
+
+def match_detections(found: DataFrame, truth: DataFrame, image: str = "image", thresholds: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """(threshold, image, box, confidence, hit) of every detection at every threshold.
+
+    ``found`` has (image, box, confidence, x1, y1, x2, y2), ``truth`` (image, box, x1, y1, x2, y2).  Within an image the
+    surest detection takes the free true box that it overlaps most, then the next one; ties go by box.  The greedy turns
+    run over the pairs of one image that overlap enough, gathered as arrays of their few boxes.
+    """
+    t = truth.select(F.col(image).alias("_image"), F.col("box").alias("true_box"), *(F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")))
+    least = min(thresholds)
+    met = found.join(t, F.col(image) == F.col("_image")).withColumn("iou", overlap("", "t")).filter(F.col("iou") >= least)
+    levels = F.explode(F.array(*(F.lit(float(x)) for x in thresholds))).alias("threshold")
+    pairs = met.select(levels, image, "box", "confidence", "true_box", "iou").filter(F.col("iou") >= F.col("threshold"))
+    turn = F.struct((-F.col("confidence")).alias("c"), F.col("box"), (-F.col("iou")).alias("i"), F.col("true_box"))
+    gathered = pairs.groupBy("threshold", image).agg(F.array_sort(F.collect_list(turn)).alias("pairs"), F.first(F.array().cast(f"array<{dict(found.dtypes)['box']}>")).alias("no_box"), F.first(F.array().cast(f"array<{dict(truth.dtypes)['box']}>")).alias("no_true"))
+    start = F.struct(F.col("no_box").alias("boxes"), F.col("no_true").alias("taken"))
+
+    def step(state: Column, p: Column) -> Column:
+        free = ~F.array_contains(state["boxes"], p["box"]) & ~F.array_contains(state["taken"], p["true_box"])
+        return F.when(free, F.struct(F.array_append(state["boxes"], p["box"]).alias("boxes"), F.array_append(state["taken"], p["true_box"]).alias("taken"))).otherwise(state)
+
+    hits = gathered.select(F.col("threshold").alias("_t"), F.col(image).alias("_i"), F.explode(F.aggregate("pairs", start, step)["boxes"]).alias("_b"))
+    every = found.select(levels, image, "box", "confidence")
+    out = every.join(hits, (F.col("threshold") == F.col("_t")) & (F.col(image) == F.col("_i")) & (F.col("box") == F.col("_b")), "left")
+    return out.select("threshold", image, "box", "confidence", F.col("_b").isNotNull().alias("hit"))
+
+
+def detection_metrics(found: DataFrame, truth: DataFrame, image: str = "image", thresholds: tuple[float, ...] = (0.5,), least_confidence: float = 0.0) -> DataFrame:
+    """(threshold, n_true, n_found, hits, precision, recall, average_precision) of detections; the mean over thresholds is mAP.
+
+    ``average_precision`` is the area below the precision envelope over recall, at every step of confidence (equal
+    confidences are one step).  Steps are counted first, so the running sums see one row for each different confidence.
+    """
+    matched = match_detections(found.filter(F.col("confidence") >= least_confidence), truth, image, thresholds)
+    total = truth.agg(F.count(F.lit(1)).alias("n_true"))
+    steps = matched.groupBy("threshold", "confidence").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("h"))
+    down = Window.partitionBy("threshold").orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    curve = steps.withColumns({"found": F.sum("n").over(down), "right": F.sum("h").over(down)}).crossJoin(F.broadcast(total))
+    curve = curve.withColumn("p", F.col("right") / F.col("found"))
+    lower = Window.partitionBy("threshold").orderBy(F.desc("confidence")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    curve = curve.withColumn("envelope", F.max("p").over(lower))
+    area = curve.groupBy("threshold").agg(
+        F.sum("n").alias("n_found"), F.sum("h").alias("hits"), F.sum(F.when(F.col("n_true") > 0, F.col("envelope") * F.col("h") / F.col("n_true"))).alias("average_precision")
+    )
+    levels = F.explode(F.array(*(F.lit(float(x)) for x in thresholds))).alias("threshold")
+    every = total.select(levels, "n_true")
+    out = every.join(area, "threshold", "left").na.fill(0, ["n_found", "hits"])
+    share = lambda whole: F.when(F.col(whole) > 0, F.col("hits") / F.col(whole))
+    return out.select(
+        "threshold", "n_true", "n_found", "hits", share("n_found").alias("precision"), share("n_true").alias("recall"),
+        F.when(F.col("n_true") > 0, F.coalesce("average_precision", F.lit(0.0))).alias("average_precision"),
+    )

@@ -10,16 +10,18 @@ from corpusmill.functions.vectors import hamming
 from corpusmill.operators.graph import components
 
 
-def exact_groups(df: DataFrame, hash_col: str, member: str, order: str | None = None) -> DataFrame:
-    """(hash, size, members): groups of more than one row with equal hashes, members in order; null hashes form none."""
+def exact_groups(df: DataFrame, hash_col: str, member: str, order: str | None = None, top: int = 5) -> DataFrame:
+    """(hash, size, members): groups of more than one row with equal hashes, the first ``top`` members in order; null hashes form none.
+
+    The other members are counted, not gathered, so a group of any size is a small row; joining on the hash gives all.
+    """
     order = order or member
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(member).alias("m"))))
-    return (
-        df.filter(F.col(hash_col).isNotNull())
-        .groupBy(hash_col)
-        .agg(F.count(F.lit(1)).alias("size"), F.transform(pairs, lambda p: p["m"]).alias("members"))
-        .filter("size > 1")
-    )
+    keyed = df.filter(F.col(hash_col).isNotNull()).select(hash_col, F.col(order).alias("_o"), F.col(member).alias("_m"))
+    sizes = keyed.groupBy(hash_col).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    turn = F.row_number().over(Window.partitionBy(hash_col).orderBy("_o", "_m"))
+    first = keyed.withColumn("_turn", turn).filter(F.col("_turn") <= top)  # a group limit: tasks cut their part before the shuffle
+    members = F.transform(F.array_sort(F.collect_list(F.struct("_turn", "_m"))), lambda p: p["_m"]).alias("members")
+    return sizes.join(first.groupBy(hash_col).agg(members), hash_col)
 
 
 def group_sizes(df: DataFrame, hash_col: str, key: str) -> DataFrame:

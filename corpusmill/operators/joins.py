@@ -57,16 +57,51 @@ def probe_join(stems: DataFrame, files: DataFrame, stem: str = "stem", extension
     return stems.join(first, stem, "left")
 
 
-def surrogate_ids(df: DataFrame, prefix: str, order: list[str], name: str = "figure_id") -> DataFrame:
-    """``df`` with ``prefix__N``, N counting from 0 in the given order.
+def ranked_rows(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``_place``, the rank from 0 in the given order.
 
     The numbers come from a range sort and per-partition counts, so no single task sees all rows.
     """
     ordered = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_turn", F.monotonically_increasing_id())
     ordered = materialize(ordered, "ordered")  # a second evaluation could cut the ranges elsewhere
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_turn"))
-    numbered = ordered.withColumn("_inside", inside)
-    counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    out = numbered.join(F.broadcast(before), F.col("_part") == F.col("_p"))
-    return out.withColumn(name, F.concat_ws("__", F.col(prefix), (F.col("_before") + F.col("_inside") - 1).cast("string"))).drop("_part", "_turn", "_inside", "_p", "_before")
+    counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_turn").alias("_least"))
+    # one row for each partition
+    before = counts.select(
+        F.col("_part").alias("_p"), "_least", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
+    )
+    out = ordered.join(F.broadcast(before), F.col("_part") == F.col("_p"))
+    # the turns of a partition are consecutive
+    return out.withColumn("_place", F.col("_before") + F.col("_turn") - F.col("_least")).drop("_part", "_turn", "_least", "_p", "_before")
+
+
+def surrogate_ids(df: DataFrame, prefix: str, order: list[str], name: str = "figure_id") -> DataFrame:
+    """``df`` with ``prefix__N``, N counting from 0 in the given order."""
+    return ranked_rows(df, order).withColumn(name, F.concat_ws("__", F.col(prefix), F.col("_place").cast("string"))).drop("_place")
+
+
+def side_by_position(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """The rows of two tables side by side: the n-th of one beside the n-th of the other, null where one is shorter.
+
+    Position is rank in a stated order, as tables have none of their own.  Names must differ.
+    """
+    both = set(left.columns) & set(right.columns)
+    if both:
+        raise ValueError(f"columns of both tables: {sorted(both)}")
+    a, b = ranked_rows(left, left_order), ranked_rows(right, right_order).withColumnRenamed("_place", "_other")
+    return a.join(b, F.col("_place") == F.col("_other"), "full").drop("_place", "_other")
+
+
+def split_records(records: DataFrame, splits: DataFrame, keys: list[str], split: str = "split") -> tuple[DataFrame, DataFrame]:
+    """(records with the split of their keys, keys of records that no split lists).  Nothing falls back to a default; null keys match nothing."""
+    listed = splits.select(*keys, split).distinct()
+    return records.join(listed, keys), records.join(listed, keys, "left_anti").select(*keys).distinct()
+
+
+def tracks_side_by_side(left: DataFrame, right: DataFrame, key: str, values: list[str], names: tuple[str, str], fallback: str = "no match") -> DataFrame:
+    """(key, value_left, value_right, ...) of two tracks, one row for each key of either; missing texts show the fallback."""
+    a = left.select(F.col(key).alias("_a"), *(F.col(v).alias(f"{v}_{names[0]}") for v in values))
+    b = right.select(F.col(key).alias("_b"), *(F.col(v).alias(f"{v}_{names[1]}") for v in values))
+    met = a.join(b, F.col("_a").eqNullSafe(F.col("_b")), "full")
+    kinds = dict(met.dtypes)
+    shown = [F.coalesce(F.col(c), F.lit(fallback)).alias(c) if kinds[c] == "string" else F.col(c) for v in values for c in (f"{v}_{names[0]}", f"{v}_{names[1]}")]
+    return met.select(F.coalesce("_a", "_b").alias(key), *shown)

@@ -20,10 +20,14 @@ def stratified(df: DataFrame, by: str, n: int, key: str, seed: int = 42) -> Data
 
 
 def stratified_backfill(df: DataFrame, by: str, per: int, target: int, key: str, seed: int = 42) -> DataFrame:
-    """``target`` rows: first up to ``per`` of each stratum, then others, all in seeded order."""
-    turn = F.row_number().over(Window.partitionBy(by).orderBy(seeded_order(F.col(key), seed), F.col(key)))
-    picked = df.withColumn("_late", turn > per)
-    return picked.orderBy("_late", seeded_order(F.col(key), seed), key).limit(target).drop("_late")
+    """``target`` rows: first up to ``per`` of each stratum, then others, all in seeded order.
+
+    Each stratum is ranked up to its ``per``-th row only; rows behind that one are others.  Keys are distinct.
+    """
+    order = F.struct(seeded_order(F.col(key), seed).alias("o"), F.col(key).alias("k"))
+    ends = stratified(df, by, per, key, seed).groupBy(F.col(by).alias("_by")).agg(F.max(order).alias("_end"))
+    picked = df.join(ends, F.col(by).eqNullSafe(F.col("_by")), "left").withColumn("_late", F.coalesce(order > F.col("_end"), F.lit(True)))
+    return picked.orderBy("_late", seeded_order(F.col(key), seed), key).limit(target).drop("_late", "_by", "_end")
 
 
 def preferred_groups(df: DataFrame, group: str, least: int, n: int) -> DataFrame:

@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import seeded_order
+from corpusmill.operators.joins import ranked_rows
 
 
 def grouped_split(df: DataFrame, group_col: str, fractions: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:
     """``df`` with a column ``split``: whole groups go to train, val or test.
 
     Distinct groups are ranked by md5 of seed and group; the first ``floor(train * n)`` are train, then half of the
-    rest (by the fractions) is val.  Only distinct groups are ranked, never rows; a null group is a group.
+    rest (by the fractions) is val.  Only distinct groups are ranked, never rows, in a range sort of which no task
+    sees all; a null group is a group.
     """
     if abs(sum(fractions) - 1) > 1e-9:
         raise ValueError("the fractions must add up to 1")
     train, val, test = fractions
-    groups = df.select(F.col(group_col).alias("_g")).distinct()
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(seeded_order(F.coalesce(F.col("_g").cast("string"), F.lit(""))), "_g"))
-    first = F.floor(n * F.lit(train) + 1e-9)
-    second = first + F.floor((n - first) * F.lit(val / (val + test) if val + test else 0.0) + 1e-9)
-    split = F.when(place <= first, F.lit("train")).when(place <= second, F.lit("val")).otherwise(F.lit("test"))
+    order = seeded_order(F.coalesce(F.col(group_col).cast("string"), F.lit("")), seed)
+    groups = ranked_rows(df.select(F.col(group_col).alias("_g"), order.alias("_order")).distinct(), ["_order", "_g"])
+    n = groups.count()
+    first = math.floor(n * train + 1e-9)
+    second = first + math.floor((n - first) * (val / (val + test) if val + test else 0.0) + 1e-9)
+    place = F.col("_place")
+    split = F.when(place < first, F.lit("train")).when(place < second, F.lit("val")).otherwise(F.lit("test"))
     ranked = groups.select("_g", split.alias("split"))
     return df.join(ranked, F.col(group_col).eqNullSafe(F.col("_g"))).drop("_g")
 

@@ -41,7 +41,7 @@ def curation_summary(spark, sf_dir):
     )
 
 
-@query("SELECT sha256(text) AS sha256, count(*) AS size, string_agg(doc_id, ',' ORDER BY doc_id) AS members FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(text) AS sha256, count(*) AS size, array_to_string(list(doc_id ORDER BY doc_id)[1:5], ',') AS members FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_dup_groups(spark, sf_dir):
     groups = dedup.exact_groups(hashed(spark, sf_dir), "sha256", "doc_id")
     return groups.withColumn("members", F.concat_ws(",", F.transform("members", lambda m: m.cast("string"))))
@@ -253,3 +253,33 @@ def both_way_missing(spark, sf_dir):
 def surrogate_ids(spark, sf_dir):
     numbered = joins.surrogate_ids(hashed(spark, sf_dir).select("doc_id", "source", "sha256"), "source", ["sha256", "doc_id"])
     return numbered.select("doc_id", F.element_at(F.split("figure_id", "__"), -1).alias("number"))
+
+
+@query(
+    """SELECT d.doc_id, CAST(l.quality AS VARCHAR) AS split, true AS listed FROM documents d JOIN (SELECT DISTINCT doc_id, quality FROM labels) l USING (doc_id)
+UNION ALL SELECT DISTINCT doc_id, NULL, false FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"""
+)
+def listed_splits(spark, sf_dir):
+    """Labels as the table of splits: documents without one are listed, none gets a default."""
+    splits = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("split"))
+    found, missing = joins.split_records(table(spark, sf_dir, "documents").select("doc_id"), splits, ["doc_id"])
+    return found.select("doc_id", "split", F.lit(True).alias("listed")).unionByName(missing.select("doc_id", F.lit(None).cast("string").alias("split"), F.lit(False).alias("listed")))
+
+
+@query(
+    """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.lang, 'no match') AS lang_a, coalesce(b.lang, 'no match') AS lang_b, a.n_chars AS n_chars_a, b.n_chars AS n_chars_b
+FROM (SELECT * FROM documents WHERE n_chars > 500) a FULL JOIN (SELECT * FROM documents WHERE n_chars < 2000) b USING (doc_id)"""
+)
+def tracks_by_document(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return joins.tracks_side_by_side(docs.filter("n_chars > 500"), docs.filter("n_chars < 2000"), "doc_id", ["lang", "n_chars"], ("a", "b"))
+
+
+@query(
+    """SELECT doc_id, s_suppkey FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256(coalesce(text, '')), doc_id) AS r FROM documents)
+FULL JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS r FROM supplier) USING (r)"""
+)
+def rows_by_position(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    return joins.side_by_position(docs, suppliers, ["h", "doc_id"], ["s_acctbal", "s_suppkey"]).select("doc_id", "s_suppkey")

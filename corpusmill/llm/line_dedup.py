@@ -7,10 +7,11 @@ are variable fields, as are tokens with digits.  A line whose constant share is
 high enough has a template: its leaf and its constant tokens.  Templates that
 recur in several different documents are dropped from all but the first.
 
-Beside the tree, what is equal token for token, digits included, recurs in
-fewer documents: whole lines of ``min_tokens``, and sentences of
-``min_sentence`` tokens inside lines, so a passage is found wherever it stands
-in a line.  Of such a line only the sentences go; a line without any left goes.
+Beside the tree, what is equal recurs in fewer documents: whole lines of
+``min_tokens`` (token for token; with digits, letter for letter), and sentences
+of at least ``min_sentence`` words between blanks inside lines (letter for
+letter), so a passage is found wherever it stands in a line.  Of such a line
+only the sentences go; a line without any left goes.
 
 Edge cases: a null text stays null with no lines; blank lines are never
 dropped; equal documents count as one, so copies do not make their own lines
@@ -32,7 +33,7 @@ MIN_EQUAL_DOCS = 2
 MIN_CONSTANT = 0.7
 MIN_TOKENS = 3
 MIN_SENTENCE = 8
-SENTENCE = "[^\\n]+?(?:[.!?] |\\z)"
+STOPS = ".!?"
 SPACE = "[ \\t\\x0B\\f\\r]+"
 NOT_SPACE = "[^ \\t\\x0B\\f\\r\\n]"
 FIELD = "<*>"
@@ -57,6 +58,13 @@ def token_lines(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     return lines.select(*keep, "line_no", F.explode_outer(F.array(tokens_of(F.col("line")))).alias("tokens"))
 
 
+def sentences_of(line: Column) -> Column:
+    """The sentences of a line, without the blanks between them."""
+    for mark in STOPS:
+        line = F.replace(line, F.lit(f"{mark} "), F.lit(f"{mark}\n"))
+    return F.split(line, "\n")
+
+
 def _counted(table: DataFrame, keys: list[str], place: Column, *more: str) -> DataFrame:
     """(keys, docs, at, more) over a table with ``print``: the number of different texts, and the first place.
 
@@ -129,14 +137,14 @@ def line_decisions(
     by_form = found.filter("equal_place is not null").select("id", "print", "line_no", stays("equal_place").alias("first"))
     of_lines = by_template.union(by_form).select("id", "print", "line_no", F.lit(-1).alias("sentence_no"), "first")
 
-    # sentences, and whole lines with digits, by the hashes of their tokens as they are
+    # sentences, and whole lines with digits, by the hashes of their letters
     cut = rows.select("id", "print", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    whole = F.when(F.col("line").rlike("[0-9]"), F.array("line")).otherwise(F.array().cast("array<string>"))
-    units = cut.select("id", "print", "line_no", F.explode(F.array(F.struct(whole.alias("whole"), F.regexp_extract_all("line", F.lit(SENTENCE), F.lit(0)).alias("parts")))).alias("u"))
-    units = units.select("id", "print", "line_no", F.posexplode(F.concat("u.whole", "u.parts")).alias("at", "part"), (F.size("u.whole") == 1).alias("digits"))
-    units = units.select("id", "print", "line_no", F.col("at") - F.when(F.col("digits"), F.lit(1)).otherwise(F.lit(0)), F.explode(F.array(tokens_of(F.col("part")))).alias("tokens"))
-    units = units.toDF("id", "print", "line_no", "sentence_no", "tokens").filter(F.size("tokens") >= F.when(F.col("sentence_no") < 0, F.lit(min_tokens)).otherwise(F.lit(min_sentence)))
-    units = materialize(units.select("id", "print", "line_no", "sentence_no", F.xxhash64("tokens").alias("e"), F.hash("tokens").alias("f")), "units")
+    digits = F.col("line").rlike("[0-9]")
+    parts = F.concat(F.when(digits, F.array("line")).otherwise(F.array().cast("array<string>")), sentences_of(F.col("line")))
+    units = cut.select("id", "print", "line_no", digits.cast("int").alias("digits"), F.posexplode(parts).alias("at", "part"))
+    units = units.withColumn("sentence_no", F.col("at") - F.col("digits"))
+    units = units.filter(F.length("part") - F.length(F.replace("part", F.lit(" "), F.lit(""))) >= F.when(F.col("sentence_no") < 0, F.lit(min_tokens - 1)).otherwise(F.lit(min_sentence - 1)))
+    units = materialize(units.select("id", "print", "line_no", "sentence_no", F.xxhash64("part").alias("e"), F.hash("part").alias("f")), "units")
     # one text or several: the ends of the range of their hashes tell
     key = ["e", "f", "is_line"]
     units = units.withColumn("is_line", F.col("sentence_no") < 0)
@@ -172,8 +180,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut_lines = F.transform(cuts, lambda c: F.shiftright(c, 31).cast("int"))
 
     def without(line: Column, i: Column) -> Column:
-        parts = F.regexp_extract_all(line, F.lit(SENTENCE), F.lit(0))
-        rest = F.array_join(F.transform(parts, lambda p, j: F.when(~F.array_contains(cuts, i.cast("long") * F.lit(2**31) + j), p)), "")
+        rest = F.array_join(F.transform(sentences_of(line), lambda p, j: F.when(~F.array_contains(cuts, i.cast("long") * F.lit(2**31) + j), p)), " ")
         return F.when(F.trim(rest) != "", rest)
 
     kept = F.transform(lines, lambda x, i: F.when(F.array_contains(gone, i), F.lit(None)).when(F.array_contains(cut_lines, i), without(x, i)).otherwise(x))
@@ -235,12 +242,16 @@ placed AS (
   SELECT s.doc_id, s.text, s.line_no, NOT (s.text = first_value(s.text) OVER w AND s.line_no = first_value(s.line_no) OVER w) AS later
   FROM skeletons s SEMI JOIN recurring r ON s.width = r.width AND s.lead = r.lead AND s.mark = r.mark
   WINDOW w AS (PARTITION BY s.width, s.lead, s.mark ORDER BY s.doc_id NULLS LAST, s.text, s.line_no)),
+parts AS (
+  SELECT doc_id, text, line_no, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS sentence_no FROM (
+    SELECT doc_id, text, line_no, string_split(replace(replace(replace(line, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10)), chr(10)) AS parts FROM numbered)),
 units AS (
-  SELECT doc_id, text, line_no, -1 AS sentence_no, list_filter(regexp_split_to_array(line, '{space}'), lambda t: t <> '') AS raw FROM numbered
-  UNION ALL SELECT doc_id, text, line_no, sentence_no, list_filter(regexp_split_to_array(part, '{space}'), lambda t: t <> '') FROM (
-    SELECT doc_id, text, line_no, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS sentence_no FROM (
-      SELECT doc_id, text, line_no, regexp_extract_all(line, '[^\\n]+?(?:[.!?] |\\z)') AS parts FROM numbered))),
-long AS (SELECT *, sentence_no < 0 AS is_line FROM units WHERE len(raw) >= CASE WHEN sentence_no < 0 THEN {MIN_TOKENS} ELSE {MIN_SENTENCE} END),
+  SELECT doc_id, text, line_no, -1 AS sentence_no, list_filter(regexp_split_to_array(line, '{space}'), lambda t: t <> '') AS tokens, line AS part FROM numbered
+  UNION ALL SELECT doc_id, text, line_no, sentence_no, NULL, part FROM parts),
+long AS (
+  SELECT doc_id, text, line_no, sentence_no, sentence_no < 0 AS is_line, CASE WHEN sentence_no < 0 AND NOT regexp_matches(part, '[0-9]') THEN array_to_string(tokens, ' ') ELSE part END AS raw,
+  FROM units WHERE CASE WHEN sentence_no >= 0 THEN length(part) - length(replace(part, ' ', '')) >= {MIN_SENTENCE} - 1
+    WHEN regexp_matches(part, '[0-9]') THEN length(part) - length(replace(part, ' ', '')) >= {MIN_TOKENS} - 1 ELSE len(tokens) >= {MIN_TOKENS} END),
 alike AS (
   SELECT doc_id, text, line_no, sentence_no,
     NOT (text = first_value(text) OVER w AND line_no = first_value(line_no) OVER w AND sentence_no = first_value(sentence_no) OVER w) AS later
@@ -256,9 +267,8 @@ changed AS (
   FROM (SELECT * FROM numbered SEMI JOIN decided USING (doc_id, text)) n
   LEFT JOIN lost l ON n.doc_id = l.doc_id AND n.text = l.text AND n.line_no = l.line_no
   LEFT JOIN (
-    SELECT p.doc_id, p.text, p.line_no, true AS some, coalesce(string_agg(CASE WHEN x.sentence_no IS NULL THEN p.part END, '' ORDER BY p.sentence_no), '') AS rest
-    FROM (SELECT doc_id, text, line_no, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS sentence_no FROM (
-      SELECT doc_id, text, line_no, regexp_extract_all(line, '[^\\n]+?(?:[.!?] |\\z)') AS parts FROM numbered SEMI JOIN cuts USING (doc_id, text, line_no))) p
+    SELECT p.doc_id, p.text, p.line_no, true AS some, coalesce(string_agg(CASE WHEN x.sentence_no IS NULL THEN p.part END, ' ' ORDER BY p.sentence_no), '') AS rest
+    FROM (SELECT * FROM parts SEMI JOIN cuts USING (doc_id, text, line_no)) p
     LEFT JOIN cuts x USING (doc_id, text, line_no, sentence_no) GROUP BY 1, 2, 3) c ON n.doc_id = c.doc_id AND n.text = c.text AND n.line_no = c.line_no),
 joined AS (SELECT doc_id, text, coalesce(string_agg(line, chr(10) ORDER BY line_no), '') AS kept FROM changed GROUP BY 1, 2),
 marks AS (

@@ -34,7 +34,7 @@ UNIT_COSINE = 0.6
 FILE_COSINE = 0.7
 NOTICE_TERMS = 1.5  # times the different terms of a template, for a whole text
 TERM = "[^a-z0-9.]+"
-BEFORE = "(?<![a-z0-9.])"
+BEFORE, AFTER = "(?<![a-z0-9.])", "(?![a-z0-9])"
 PARAGRAPH = "\\n(?:[^a-zA-Z0-9\\n]*\\n)+"
 FILE_NAME = "(?i)^(un)?licen[cs]e|^copying|^notice"
 
@@ -95,7 +95,7 @@ TEMPLATES = (
     ("LGPL-3.0-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("LGPL-3.0-or-later", GNU_NOTICE.format(what="library", mark=":", kind="Lesser ", stop=",", version="3")),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "MIT License"),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
     ("MIT", MIT_GRANT),
@@ -240,18 +240,20 @@ def scan_licenses(
     df = {r.term: r.df for r in found.collect()}  # one row for each term of the templates at most
     idf = {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in known}
     threshold = min(unit_cosine, file_cosine)
-    needed = anchors(forms, idf, threshold)
+    pattern = BEFORE + trie_pattern(anchors(forms, idf, threshold)) + AFTER
     rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     key = F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("path", F.lit("-")), "text"))
     low = F.lower("text")
-    holding = rows.filter(low.rlike(BEFORE + trie_pattern(needed)))
+    holding = rows.filter(low.rlike(pattern))
     # unit 0 is the whole text, the others are its lines and paragraphs
     parts = F.concat(F.array("text"), F.split("text", "\n"), F.split("text", PARAGRAPH))
-    units = holding.select(key.alias("row"), F.posexplode(F.array_distinct(parts)).alias("unit", "part")).filter(F.lower("part").rlike(BEFORE + trie_pattern(needed)))
+    units = holding.select(key.alias("row"), F.posexplode(F.array_distinct(parts)).alias("unit", "part")).filter(F.lower("part").rlike(pattern))
     units = units.select("row", "unit", F.explode(F.array(terms_of(F.col("part")))).alias("terms"))
     could = F.lit(False)
-    for least, terms in sorted((least_terms(terms, idf, threshold), sorted(terms)) for _, _, terms in forms):
-        could = could | (F.size(F.array_intersect("terms", F.array(*(F.lit(t) for t in terms)))) >= least)
+    literals = lambda words: F.array(*(F.lit(t) for t in sorted(words)))
+    for form in forms:
+        enough = F.size(F.array_intersect("terms", literals(form[2]))) >= least_terms(form[2], idf, threshold)
+        could = could | (F.arrays_overlap("terms", literals(anchors([form], idf, threshold))) & enough)
     units = materialize(units.filter(could).dropDuplicates(["row", "unit"]), "units")
     limit = F.when(F.col("unit") == 0, F.lit(file_cosine)).otherwise(F.lit(unit_cosine))
     scored = _best(units, ["row", "unit"], frequencies, total, idf, forms, limit)

@@ -139,11 +139,10 @@ def line_decisions(
 
     # sentences, and whole lines with digits, by the hashes of their letters
     cut = rows.select("id", "print", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    digits = F.col("line").rlike("[0-9]")
-    parts = F.concat(F.when(digits, F.array("line")).otherwise(F.array().cast("array<string>")), sentences_of(F.col("line")))
-    units = cut.select("id", "print", "line_no", digits.cast("int").alias("digits"), F.posexplode(parts).alias("at", "part"))
-    units = units.withColumn("sentence_no", F.col("at") - F.col("digits"))
-    units = units.filter(F.length("part") - F.length(F.replace("part", F.lit(" "), F.lit(""))) >= F.when(F.col("sentence_no") < 0, F.lit(min_tokens - 1)).otherwise(F.lit(min_sentence - 1)))
+    parts = cut.select("id", "print", "line_no", F.posexplode(sentences_of(F.col("line"))).alias("sentence_no", "part"))
+    numbered = cut.filter(F.col("line").rlike("[0-9]")).select("id", "print", "line_no", F.lit(-1).alias("sentence_no"), F.col("line").alias("part"))
+    blanks = F.length("part") - F.length(F.replace("part", F.lit(" "), F.lit("")))
+    units = parts.filter(blanks >= min_sentence - 1).union(numbered.filter(blanks >= min_tokens - 1))
     units = materialize(units.select("id", "print", "line_no", "sentence_no", F.xxhash64("part").alias("e"), F.hash("part").alias("f")), "units")
     # one text or several: the ends of the range of their hashes tell
     key = ["e", "f", "is_line"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,28 +51,55 @@ def canonical(df: DataFrame, hash_col: str, text_col: str, *ties: str) -> DataFr
     return best.select(*(F.col(f"row.{c}") for c in columns)).unionByName(df.filter(F.col(hash_col).isNull()))
 
 
-def near_pairs(df: DataFrame, id_col: str, hash_col: str, max_distance: int = 4, bits: int = 64) -> DataFrame:
+# Masks that one band may probe with; they are literals of the plan.
+PROBES = 1024
+
+
+def band_plan(max_distance: int, bits: int, rows: int) -> tuple[int, int]:
+    """(bands, radius) of the least expected work: rows that probe, and candidates that share one of 2 ** width codes by chance.
+
+    Of ``bands`` bands one differs in at most ``max_distance // bands`` bits, so every choice finds all pairs.
+    """
+    plans = []
+    for bands in range(1, max_distance + 2):
+        width, radius = bits // bands, max_distance // bands
+        probes = sum(math.comb(width + (bits % bands > 0), k) for k in range(radius + 1))
+        if probes <= PROBES:
+            plans.append((bands * probes * (1 + rows / 2**width), bands, radius))
+    return min(plans)[1:]
+
+
+def near_pairs(df: DataFrame, id_col: str, hash_col: str, max_distance: int = 4, bits: int = 64, rows: int | None = None) -> DataFrame:
     """(a, b, distance) of all pairs a < b whose hashes differ in at most ``max_distance`` bits.
 
-    Lossless banding: of ``max_distance + 1`` bands of the bits one must be equal in such a pair, so candidates meet in
-    an equi-join; each pair comes from its first equal band only, so no pair is made twice.
+    Lossless banding: in such a pair one band of the bits differs in at most the radius of :func:`band_plan`.  One side
+    probes with all codes of its bands within the radius, so candidates meet in an equi-join; each pair comes from its
+    first such band only, so no pair is made twice.  ``rows`` sets the plan's cost and is counted when it is not given;
+    the result does not depend on it.
     """
-    bands = max_distance + 1
-    if bands > bits:
+    if max_distance >= bits:
         raise ValueError("more bands than bits")
+    base = df.select(F.col(id_col).alias("id"), F.col(hash_col).cast("long").alias("h")).filter("h is not null")
+    bands, radius = band_plan(max_distance, bits, base.count() if rows is None else rows)
     edges = [i * bits // bands for i in range(bands + 1)]
     cuts = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
     def band(h: Column, i: int) -> Column:
         return F.shiftrightunsigned(h, cuts[i][0]).bitwiseAND(F.lit((1 << cuts[i][1]) - 1 if cuts[i][1] < 63 else -1))
 
-    base = df.select(F.col(id_col).alias("id"), F.col(hash_col).cast("long").alias("h")).filter("h is not null")
-    spread = base.select("id", "h", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), band(F.col("h"), i).alias("code")) for i in range(bands)))).alias("k")).select("id", "h", "k.band", "k.code")
-    a, b = spread.alias("a"), spread.alias("b")
+    def near_codes(h: Column, i: int) -> Column:
+        masks = [sum(1 << bit for bit in flipped) for k in range(radius + 1) for flipped in itertools.combinations(range(cuts[i][1]), k)]
+        return F.transform(F.lit(masks).cast("array<long>"), lambda mask: band(h, i).bitwiseXOR(mask))
+
+    def spread(codes) -> DataFrame:
+        each = F.explode(F.array(*(F.struct(F.lit(i).alias("band"), codes(F.col("h"), i).alias("codes")) for i in range(bands))))
+        return base.select("id", "h", each.alias("k")).select("id", "h", "k.band", F.explode("k.codes").alias("code"))
+
+    a, b = spread(near_codes).alias("a"), spread(lambda h, i: F.array(band(h, i))).alias("b")
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.code") == F.col("b.code")) & (F.col("a.id") < F.col("b.id")))
     earlier = F.lit(False)
     for i in range(bands):
-        earlier = earlier | ((F.col("a.band") > i) & (band(F.col("a.h"), i) == band(F.col("b.h"), i)))
+        earlier = earlier | ((F.col("a.band") > i) & (hamming(band(F.col("a.h"), i), band(F.col("b.h"), i)) <= radius))
     distance = hamming(F.col("a.h"), F.col("b.h"))
     return met.filter(~earlier & (distance <= max_distance)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.alias("distance"))
 

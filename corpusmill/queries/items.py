@@ -87,7 +87,23 @@ def sheet_layout(spark, sf_dir):
     return items.select("l_orderkey", "l_linenumber", "n", boxes.grid_layout(F.col("n"), F.col("i")).alias("g")).select("l_orderkey", "l_linenumber", "n", "g.columns", "g.rows", "g.x", "g.y")
 
 
-@query()
+# One step for each box of an order, from the top: the rows so far as (sum of centres, boxes), and the row that the box takes.
+READING_SQL = f"""WITH RECURSIVE b AS (SELECT l_orderkey, l_partkey, cx, yc, row_number() OVER (PARTITION BY l_orderkey ORDER BY yc, l_partkey, cx) AS i
+ FROM (SELECT *, (CAST(cy AS DOUBLE) + (CAST(cy AS DOUBLE) + CAST(bh AS DOUBLE))) / 2 AS yc FROM ({BOXES}))),
+f AS (SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(total DOUBLE, n INTEGER)[]) AS lines, CAST(0 AS BIGINT) AS line FROM b
+ UNION ALL
+ SELECT l_orderkey, i,
+  CASE WHEN fit > 0 THEN list_transform(lines, lambda r, k: CASE WHEN k = fit THEN {{'total': r.total + yc, 'n': CAST(r.n + 1 AS INTEGER)}} ELSE r END)
+   ELSE list_append(lines, {{'total': yc, 'n': CAST(1 AS INTEGER)}}) END,
+  CASE WHEN fit > 0 THEN fit ELSE len(lines) + 1 END
+ FROM (SELECT b.l_orderkey, b.i, b.yc, f.lines, CAST(coalesce(list_position(list_transform(f.lines, lambda r: abs(b.yc - r.total / r.n) < 0.12), true), 0) AS BIGINT) AS fit
+  FROM f JOIN b ON b.l_orderkey = f.l_orderkey AND b.i = f.i + 1))
+SELECT l_orderkey, l_partkey, position, CASE WHEN position < 26 THEN chr(position + 65) ELSE 'p' || position END AS label
+FROM (SELECT b.l_orderkey, b.l_partkey, CAST(row_number() OVER (PARTITION BY b.l_orderkey ORDER BY f.line, b.cx, b.i) - 1 AS INTEGER) AS position
+ FROM b JOIN f ON f.l_orderkey = b.l_orderkey AND f.i = b.i)"""
+
+
+@query(READING_SQL)
 def reading_order(spark, sf_dir):
     items = box_table(spark, sf_dir).select("l_orderkey", "l_partkey", F.col("cx").alias("x1"), F.col("cy").alias("y1"), (F.col("cx") + F.col("bw")).alias("x2"), (F.col("cy") + F.col("bh")).alias("y2"), F.lit(1.0).alias("h"))
     return boxes.reading_order(items, "l_orderkey", "x1", "y1", "x2", "y2", "h", ["l_partkey"]).select("l_orderkey", "l_partkey", "position", "label")

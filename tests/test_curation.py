@@ -48,6 +48,21 @@ def test_near_pairs_equal_all_pairs(spark):
     assert got == brute and len(got) == dedup.near_pairs(df, "id", "h", 4).count()
 
 
+@pytest.mark.parametrize(("rows", "most", "plan"), [(0, 4, (5, 0)), (10**6, 4, (3, 1)), (10**9, 4, (2, 2)), (2000, 16, None)])
+def test_near_pairs_same_for_every_plan(spark, rows, most, plan):
+    assert plan is None or dedup.band_plan(most, 63, rows) == plan
+    rng = random.Random(rows + most)
+    base = [rng.getrandbits(64) - 2**63 for _ in range(40)]
+    flip = lambda h: (h ^ sum(1 << bit for bit in rng.sample(range(64), rng.randint(0, most + 2)))) & (2**64 - 1)
+    hashes = base + [x - 2**64 if x >= 2**63 else x for x in map(flip, base)] + [base[0], None]
+    df = spark.createDataFrame(list(enumerate(hashes)), "id long, h long")
+    got = {(r.a, r.b): r.distance for r in dedup.near_pairs(df, "id", "h", most, rows=rows).collect()}
+    known = list(enumerate(hashes[:-1]))
+    apart = {(i, j): bin((a ^ b) & (2**64 - 1)).count("1") for i, a in known for j, b in known if i < j}
+    assert got == {k: d for k, d in apart.items() if d <= most}
+    assert dedup.near_pairs(df, "id", "h", most, rows=rows).count() == len(got)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a int, b int")).collect()}

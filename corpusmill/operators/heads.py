@@ -1,8 +1,8 @@
 """Answer heads over sets of panel vectors: mean pooling, and question-conditioned set attention.
 
-Representations are computed in numpy batches; one linear softmax head for each question type is fitted with Spark ML.
-The attention parameters are random and fixed by a seed: there is no training library here that could fit them, so the
-accuracies of trained attention models are not claimed.
+:func:`train_heads` fits pooling and heads together, with the gradients written out in numpy, on a bounded sample of the
+training rows, and predicts in Arrow batches.  :func:`fit_heads` is its distributed, linear counterpart: all rows train one
+linear softmax head for each question type with Spark ML, over representations whose attention stays random.
 """
 
 from __future__ import annotations
@@ -16,13 +16,18 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.sampling import sample_n
+
 MAX_PANELS = 32
 
 
-def pad_sets(sets: list[list[list[float]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors padded with zeros to the longest set, and a mask that is true where nothing is."""
+def pad_sets(sets: list[list[list[float]]], width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors padded with zeros to the longest set, and a mask that is true where nothing is.
+
+    ``width`` is that of the vectors, for when all sets may be empty.
+    """
     most = max((len(s) for s in sets), default=0)
-    width = next((len(v) for s in sets for v in s), 0)
+    width = next((len(v) for s in sets for v in s), 0) if width is None else width
     panels, empty = np.zeros((len(sets), most, width)), np.ones((len(sets), most), bool)
     for i, s in enumerate(sets):
         if s:
@@ -37,27 +42,56 @@ def mean_pool(panels: np.ndarray, question: np.ndarray, empty: np.ndarray) -> np
 
 
 class SetAttention:
-    """Position-aware self-attention over a set, pooled by attention to the question."""
+    """Position-aware self-attention over a set, pooled by attention to the question.
+
+    ``weights`` are random until :func:`train_attention` has fitted them.
+    """
 
     def __init__(self, width: int, heads: int = 2, seed: int = 42):
         rng = np.random.default_rng(seed)
         self.heads = heads if width % heads == 0 else 1
-        self.position = rng.normal(size=(MAX_PANELS, width))
-        self.query, self.key, self.value, self.out, self.ask = (rng.normal(scale=width**-0.5, size=(width, width)) for _ in range(5))
+        self.weights = {"position": rng.normal(size=(MAX_PANELS, width))}
+        self.weights |= {name: rng.normal(scale=width**-0.5, size=(width, width)) for name in ("query", "key", "value", "out", "ask")}
 
-    def __call__(self, panels: np.ndarray, question: np.ndarray, empty: np.ndarray) -> np.ndarray:
-        n, m, width = panels.shape
-        tokens = panels + self.position[None, :m]
+    def _split(self, x: np.ndarray) -> np.ndarray:
+        return x.reshape(*x.shape[:2], self.heads, -1).transpose(0, 2, 1, 3)
 
-        def split(weights: np.ndarray) -> np.ndarray:
-            return (tokens @ weights).reshape(n, m, self.heads, -1).transpose(0, 2, 1, 3)
+    def _merge(self, x: np.ndarray) -> np.ndarray:
+        return x.transpose(0, 2, 1, 3).reshape(x.shape[0], x.shape[2], -1)
 
-        q, k, v = split(self.query), split(self.key), split(self.value)
-        mixed = _softmax(q @ k.transpose(0, 1, 3, 2) / np.sqrt(q.shape[-1]), empty[:, None, None, :]) @ v
-        attended = mixed.transpose(0, 2, 1, 3).reshape(n, m, width) @ self.out
-        weight = _softmax((attended * (question @ self.ask)[:, None, :]).sum(-1), empty)
+    def _steps(self, panels: np.ndarray, question: np.ndarray, empty: np.ndarray) -> tuple[np.ndarray, ...]:
+        w = self.weights
+        tokens = panels + w["position"][None, : panels.shape[1]]
+        q, k, v = (self._split(tokens @ w[name]) for name in ("query", "key", "value"))
+        share = _softmax(q @ k.transpose(0, 1, 3, 2) / np.sqrt(q.shape[-1]), empty[:, None, None, :])
+        mixed = self._merge(share @ v)
+        attended, asked = mixed @ w["out"], question @ w["ask"]
+        weight = _softmax((attended * asked[:, None, :]).sum(-1), empty)
+        return tokens, q, k, v, share, mixed, attended, asked, weight
+
+    def __call__(self, panels: np.ndarray, question: np.ndarray, empty: np.ndarray) -> np.ndarray:
+        *_, attended, _, weight = self._steps(panels, question, empty)
         return np.concatenate([(weight[..., None] * attended).sum(1), question], axis=1)
 
+    def gradients(self, panels: np.ndarray, question: np.ndarray, empty: np.ndarray, pooled: np.ndarray) -> dict[str, np.ndarray]:
+        """The loss's gradient by each weight, from its gradient ``pooled`` by the pooled vectors (without the question)."""
+        w = self.weights
+        tokens, q, k, v, share, mixed, attended, asked, weight = self._steps(panels, question, empty)
+        by_weight = (attended * pooled[:, None, :]).sum(-1)
+        by_score = weight * (by_weight - (weight * by_weight).sum(-1, keepdims=True))
+        by_attended = weight[..., None] * pooled[:, None, :] + by_score[..., None] * asked[:, None, :]
+        by_heads = self._split(by_attended @ w["out"].T)
+        by_share = by_heads @ v.transpose(0, 1, 3, 2)
+        by_logit = share * (by_share - (share * by_share).sum(-1, keepdims=True)) / np.sqrt(q.shape[-1])
+        by_parts = {"query": by_logit @ k, "key": by_logit.transpose(0, 1, 3, 2) @ q, "value": share.transpose(0, 1, 3, 2) @ by_heads}
+        by_parts = {name: self._merge(g) for name, g in by_parts.items()}
+        out = {name: np.einsum("nmi,nmj->ij", tokens, g) for name, g in by_parts.items()}
+        out["out"] = np.einsum("nmi,nmj->ij", mixed, by_attended)
+        out["ask"] = question.T @ (by_score[..., None] * attended).sum(1)
+        out["position"] = np.zeros_like(w["position"])
+        out["position"][: panels.shape[1]] = sum(g @ w[name].T for name, g in by_parts.items()).sum(0)
+        return out
+
 
 def _softmax(scores: np.ndarray, empty: np.ndarray) -> np.ndarray:
     """Along the last axis, with zero weight for empty places; all zero for an empty set."""
@@ -67,6 +101,90 @@ def _softmax(scores: np.ndarray, empty: np.ndarray) -> np.ndarray:
     return e / np.maximum(e.sum(-1, keepdims=True), 1e-300)
 
 
+class Network:
+    """Pooled sets with one head of two layers for each question type; all weights are fitted together.
+
+    In mode "mean" the pooling has no weights, in mode "attention" it is a :class:`SetAttention`.
+    """
+
+    def __init__(self, width: int, spaces: dict[str, list[str]], mode: str = "attention", hidden: int = 128, seed: int = 42):
+        if mode not in ("mean", "attention"):
+            raise ValueError(mode)
+        rng = np.random.default_rng(seed)
+        self.spaces, self.pool = spaces, SetAttention(width, seed=seed) if mode == "attention" else None
+        self.weights = {}
+        for kind, answers in spaces.items():
+            self.weights[kind, "in"] = rng.normal(scale=(2 * width) ** -0.5, size=(2 * width, hidden))
+            self.weights[kind, "in_bias"] = np.zeros(hidden)
+            self.weights[kind, "out"] = rng.normal(scale=hidden**-0.5, size=(hidden, len(answers)))
+            self.weights[kind, "out_bias"] = np.zeros(len(answers))
+        if self.pool:
+            # the pooling's weights under names of their own, the same arrays
+            self.weights |= {("pool", name): w for name, w in self.pool.weights.items()}
+
+    def _head(self, kind: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inner = np.maximum(x @ self.weights[kind, "in"] + self.weights[kind, "in_bias"], 0)
+        logits = inner @ self.weights[kind, "out"] + self.weights[kind, "out_bias"]
+        return inner, _softmax(logits, np.zeros(logits.shape, bool))
+
+    def predict(self, panels: np.ndarray, question: np.ndarray, empty: np.ndarray, kinds: list[str]) -> list[str | None]:
+        """Each row's likeliest answer; null for a type that was not trained."""
+        x = (self.pool or mean_pool)(panels, question, empty)
+        out: list[str | None] = [None] * len(kinds)
+        for kind, answers in self.spaces.items():
+            at = [i for i, k in enumerate(kinds) if k == kind]
+            if at:
+                for i, best in zip(at, self._head(kind, x[at])[1].argmax(1), strict=True):
+                    out[i] = answers[best]
+        return out
+
+    def loss(self, panels: np.ndarray, question: np.ndarray, empty: np.ndarray, kinds: np.ndarray, labels: np.ndarray) -> tuple[float, dict]:
+        """The mean cross entropy of the rows, and its gradient by each weight."""
+        x = (self.pool or mean_pool)(panels, question, empty)
+        by_x, total, out = np.zeros_like(x), 0.0, {name: np.zeros_like(w) for name, w in self.weights.items()}
+        for kind in self.spaces:
+            at = np.flatnonzero(kinds == kind)
+            if not len(at):
+                continue
+            inner, chance = self._head(kind, x[at])
+            truth = (np.arange(len(at)), labels[at])
+            total -= np.log(np.maximum(chance[truth], 1e-300)).sum() / len(kinds)
+            by_logit = chance.copy()
+            by_logit[truth] -= 1
+            by_logit /= len(kinds)
+            by_inner = (by_logit @ self.weights[kind, "out"].T) * (inner > 0)
+            out[kind, "in"], out[kind, "in_bias"] = x[at].T @ by_inner, by_inner.sum(0)
+            out[kind, "out"], out[kind, "out_bias"] = inner.T @ by_logit, by_logit.sum(0)
+            by_x[at] = by_inner @ self.weights[kind, "in"].T
+        if self.pool:
+            pooled = by_x[:, : panels.shape[2]]
+            out |= {("pool", name): g for name, g in self.pool.gradients(panels, question, empty, pooled).items()}
+        return total, out
+
+
+def train_network(rows: list[tuple[str, str, list, list]], mode: str = "attention", hidden: int = 128, epochs: int = 30, batch: int = 32, rate: float = 1e-3, decay: float = 1e-4, seed: int = 42) -> Network | None:
+    """A network fitted on rows of (question type, answer, panels, question vector) by Adam with decoupled weight decay."""
+    spaces: dict[str, list[str]] = {kind: sorted({r[1] for r in rows if r[0] == kind}) for kind in sorted({r[0] for r in rows})}
+    width = max((len(r[3]) for r in rows), default=0)
+    if not width:
+        return None
+    network, rng, step = Network(width, spaces, mode, hidden, seed), np.random.default_rng(seed), 0
+    kinds, labels = np.array([r[0] for r in rows]), np.array([spaces[r[0]].index(r[1]) for r in rows])
+    means, squares = ({name: np.zeros_like(w) for name, w in network.weights.items()} for _ in range(2))
+    for _ in range(epochs):
+        order = rng.permutation(len(rows))
+        for at in np.split(order, range(batch, len(rows), batch)):
+            panels, empty = pad_sets([rows[i][2] for i in at], width)
+            _, by = network.loss(panels, np.array([rows[i][3] for i in at]), empty, kinds[at], labels[at])
+            step += 1
+            for name, w in network.weights.items():
+                means[name] += 0.1 * (by[name] - means[name])
+                squares[name] += 0.001 * (by[name] ** 2 - squares[name])
+                moved = means[name] / (1 - 0.9**step) / (np.sqrt(squares[name] / (1 - 0.999**step)) + 1e-8)
+                w -= rate * (moved + decay * w)  # in place: the pooling holds the same arrays
+    return network
+
+
 def represent(df: DataFrame, keys: list[str], mode: str = "mean", panels: str = "panels", question: str = "question_vector") -> DataFrame:
     """(keys, features): a vector for each row from its list of panel vectors and its question vector."""
     if mode not in ("mean", "attention"):
@@ -108,3 +226,36 @@ def fit_heads(train: DataFrame, test: DataFrame, key: str, types: list[str], mod
         guess = guess.select(key, "question_type", "answer", "prediction")
         out = guess if out is None else out.unionByName(guess)
     return out
+
+
+def train_heads(train: DataFrame, test: DataFrame, key: str, mode: str = "attention", max_rows: int = 20_000, seed: int = 42, **options) -> DataFrame:
+    """(key, question_type, answer, prediction) for ``test``, by a network fitted on ``train``.
+
+    Both tables have the key, question_type, answer, panels and question_vector.  At most ``max_rows`` training rows are
+    drawn, by md5 of seed and key, and fitted on the driver; rows without a type, an answer or a question vector, and
+    those of over ``MAX_PANELS`` panels, do not train.  Types that training has not seen predict null, as do rows that
+    could not train for other reasons than a missing answer.
+    """
+    usable = F.col("question_type").isNotNull() & F.col("question_vector").isNotNull() & (F.coalesce(F.size("panels"), F.lit(0)) <= MAX_PANELS)
+    known = train.filter(usable & F.col("answer").isNotNull())
+    drawn = sample_n(known.select(key, "question_type", "answer", "panels", "question_vector"), max_rows, key, seed).collect()
+    network = train_network([(r.question_type, r.answer, r.panels or [], r.question_vector) for r in drawn], mode, seed=seed, **options)
+    kept = test.select(key, "question_type", "answer")
+    if network is None:
+        return kept.withColumn("prediction", F.lit(None).cast("string"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                kinds, sets, asked, fits = (part.column(i).to_pylist() for i in (1, 3, 4, 5))
+                at = [i for i, fit in enumerate(fits) if fit]
+                answers: list[str | None] = [None] * part.num_rows
+                if at:
+                    panels, empty = pad_sets([sets[i] or [] for i in at], len(asked[at[0]]))
+                    for i, answer in zip(at, network.predict(panels, np.array([asked[i] for i in at], np.float64), empty, [kinds[i] for i in at]), strict=True):
+                        answers[i] = answer
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(answers, pa.string())], names=[key, "question_type", "answer", "prediction"])
+
+    kinds_of = dict(kept.dtypes)
+    schema = ", ".join(f"`{c}` {kinds_of[c]}" for c in (key, "question_type", "answer")) + ", prediction string"
+    return test.select(key, "question_type", "answer", "panels", "question_vector", F.coalesce(usable, F.lit(False)).alias("fits")).mapInArrow(rows, schema)

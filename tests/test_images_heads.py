@@ -80,3 +80,44 @@ def test_heads_learn(spark, mode):
     df = spark.createDataFrame(rows, "id int, question_type string, answer string, panels array<array<double>>, question_vector array<double>")
     got = heads.fit_heads(df.filter("id < 120"), df.filter("id >= 120"), "id", ["t", "none"], mode).collect()
     assert len(got) == 40 and np.mean([r.answer == r.prediction for r in got]) > 0.9
+
+
+@pytest.mark.parametrize("mode", ["mean", "attention"])
+def test_gradients_equal_differences(mode):
+    rng = np.random.default_rng(5)
+    panels, question = rng.normal(size=(5, 3, 4)), rng.normal(size=(5, 4))
+    empty = np.array([[False, False, True], [False] * 3, [True] * 3, [False, True, True], [False] * 3])
+    kinds, labels = np.array(["a", "b", "a", "b", "a"]), np.array([0, 2, 1, 1, 0])
+    network = heads.Network(4, {"a": ["x", "y"], "b": ["p", "q", "r"]}, mode, hidden=6)
+    _, by = network.loss(panels, question, empty, kinds, labels)
+    assert by.keys() == network.weights.keys()
+    for name, w in network.weights.items():
+        for place in [tuple(rng.integers(0, n) for n in w.shape) for _ in range(6)]:
+            kept, around = w[place], []
+            for moved in (1e-5, -1e-5):
+                w[place] = kept + moved
+                around.append(network.loss(panels, question, empty, kinds, labels)[0])
+            w[place] = kept
+            assert abs((around[0] - around[1]) / 2e-5 - by[name][place]) < 1e-6, name
+
+
+def test_trained_attention_answers_by_the_question(spark):
+    # the answer is the sign of the panel that the question points at: the mean of a set cannot tell it
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(600):
+        asked, signs = int(rng.integers(0, 2)), rng.choice([-1, 1], 2)
+        vectors = np.zeros((2, 6))
+        vectors[[0, 1], [0, 1]], vectors[:, 2] = 2, 2 * signs
+        rows.append((i, "t", "plus" if signs[asked] > 0 else "minus", vectors[rng.permutation(2)].tolist(), np.eye(6)[asked].tolist()))
+    odd = [(600, "new", "plus", [[1.0] * 6], [1.0] * 6), (601, None, "plus", [[1.0] * 6], [1.0] * 6), (602, "t", None, None, [1.0] * 6), (603, "t", "plus", [[1.0] * 6], None), (604, "t", "plus", [[1.0] * 6] * 40, [1.0] * 6)]
+    df = spark.createDataFrame(rows + odd, "id int, question_type string, answer string, panels array<array<double>>, question_vector array<double>")
+    train, test = df.filter("id < 480"), df.filter("id >= 480")
+    right = {}
+    for mode in ("mean", "attention"):
+        got = {r.id: r for r in heads.train_heads(train, test, "id", mode, hidden=32, rate=5e-3).collect()}
+        assert set(got) == set(range(480, 605))
+        right[mode] = np.mean([got[i].prediction == got[i].answer for i in range(480, 600)])
+        assert [got[i].prediction is None for i in range(600, 605)] == [True, True, False, True, True]
+    assert right["attention"] > 0.95 > 0.9 > right["mean"]
+    assert [r.prediction for r in heads.train_heads(train.limit(0), test.filter("id = 480"), "id").collect()] == [None]

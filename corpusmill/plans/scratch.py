@@ -31,6 +31,23 @@ def _path_and_files(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder below the scratch folder that goes when the application ends."""
+    base = scratch_dir(spark)
+    path, files = _path_and_files(spark, base)
+    files.deleteOnExit(path)
+    return f"{base}/{name}"
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder inside one file system."""
+    old, files = _path_and_files(spark, source)
+    new, _ = _path_and_files(spark, target)
+    files.mkdirs(new.getParent())
+    if not files.rename(old, new):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once to the shared scratch folder and return the reread table.
 
@@ -38,11 +55,8 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     The folder is removed when the application ends, or before by :func:`remove`.
     """
     spark = df.sparkSession
-    base = scratch_dir(spark)
-    folder = f"{base}/{label}-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(folder)
-    path, files = _path_and_files(spark, base)
-    files.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(folder)
     out.scratch_folder = folder
     return out

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, line_dedup, media, mixing, near_dedup, piece_codec, quality, token_counts, toxicity
+from . import fingerprints, language_id, licenses, line_dedup, media, mixing, near_dedup, pane_revisions, piece_codec, prefix_trie, quality, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_scores(_documents(spark, sf_dir))
+
+
+def op13_pane_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pane_revisions.click_panes(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -74,8 +86,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_toxicity": op9_toxicity,
         "op10_line_dedup": op10_line_dedup,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_language_id": op12_language_id,
+        "op13_pane_revisions": op13_pane_revisions,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": licenses.scan_sql(), "op10_line_dedup": line_dedup.line_dedup_sql()}
+    return {"op6_licenses": licenses.scan_sql(), "op10_line_dedup": line_dedup.line_dedup_sql(), "op11_prefix_trie": prefix_trie.conversation_trie_sql(), "op13_pane_revisions": pane_revisions.click_panes_sql()}

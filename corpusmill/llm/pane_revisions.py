@@ -210,7 +210,9 @@ def pane_revisions(rows: DataFrame, batches: int = BATCHES, salts: int = SALTS)
 
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))  # a new session has the default
     for batch in range(batches):
         seen = [by_batch[b] for b in range(batch) if by_batch.get(b) is not None]
         move(spark, f"{folder}/batches/batch={batch}", f"{folder}/source/batch{batch}")

@@ -40,17 +40,12 @@ def _sides(table: pa.Table, digits: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return asks, ids[asks], ids[~asks][order], np.round(v[asks] @ v[~asks].T, digits)[:, order]
 
 
-def _vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+def vectors_of(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).filter("v is not null")
 
 
-def topk(queries: DataFrame, gallery: DataFrame, k: int, id_col: str = "id", vector: str = "embedding", digits: int = 6, block: int = BLOCK) -> DataFrame:
-    """(query, neighbour, similarity, place): the ``k`` gallery rows of largest inner product, ties by id; never itself.
-
-    Tiles multiply matrices and keep k rows for each query; k rows from each tile are merged.  Memory follows the
-    block, not the gallery.
-    """
-    asked = _vectors(queries, id_col, vector).withColumns({"own": F.lit(None).cast("double"), "truth": F.lit(None).cast("long")})
+def best_of_tile(k: int, digits: int):
+    """For each query of a tile the k held rows of largest inner product, ties by id, never itself."""
 
     def best(table: pa.Table) -> pa.Table:
         _, names, held, sims = _sides(table, digits)
@@ -61,19 +56,34 @@ def topk(queries: DataFrame, gallery: DataFrame, k: int, id_col: str = "id", vec
         columns = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table({"query": pa.array(columns[0], pa.int64()), "neighbour": pa.array(columns[1], pa.int64()), "similarity": pa.array(columns[2], pa.float64())})
 
-    merged = _tiles(asked, _vectors(gallery, id_col, vector), block).applyInArrow(best, "query long, neighbour long, similarity double")
+    return best
+
+
+def merge_best(found: DataFrame, k: int) -> DataFrame:
+    """(query, neighbour, similarity, place): the k best of what the tiles found for each query."""
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour").alias("n"))))
-    lists = merged.groupBy("query").agg(F.slice(ordered, 1, k).alias("top"))
+    lists = found.groupBy("query").agg(F.slice(ordered, 1, k).alias("top"))
     return lists.select("query", F.posexplode("top").alias("p", "x")).select("query", F.col("x.n").alias("neighbour"), (-F.col("x.s")).alias("similarity"), (F.col("p") + 1).cast("long").alias("place"))
 
 
+def topk(queries: DataFrame, gallery: DataFrame, k: int, id_col: str = "id", vector: str = "embedding", digits: int = 6, block: int = BLOCK) -> DataFrame:
+    """(query, neighbour, similarity, place): the ``k`` gallery rows of largest inner product, ties by id; never itself.
+
+    Tiles multiply matrices and keep k rows for each query; k rows from each tile are merged.  Memory follows the
+    block, not the gallery.
+    """
+    asked = vectors_of(queries, id_col, vector).withColumns({"own": F.lit(None).cast("double"), "truth": F.lit(None).cast("long")})
+    tiles = _tiles(asked, vectors_of(gallery, id_col, vector), block)
+    return merge_best(tiles.applyInArrow(best_of_tile(k, digits), "query long, neighbour long, similarity double"), k)
+
+
 def rank_of_truth(queries: DataFrame, gallery: DataFrame, truth: str, id_col: str = "id", vector: str = "embedding", digits: int = 6, block: int = BLOCK) -> DataFrame:
     """(query, rank): 1 and the number of gallery rows closer to the query than its true row; ties by id.
 
     ``queries`` has the id of its true gallery row in ``truth``; queries whose true row is missing are left out.  The
     similarity to the truth is joined first, then closer rows are counted tile by tile; nothing is sorted.
     """
-    held = _vectors(gallery, id_col, vector)
+    held = vectors_of(gallery, id_col, vector)
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), F.col(truth).cast("long").alias("truth")).filter("v is not null")
     known = asked.join(held.select(F.col("id").alias("truth"), F.col("v").alias("tv")), "truth").select("id", "v", F.round(dot(F.col("v"), F.col("tv")), digits).alias("own"), "truth")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import align, boxes, datasets, joins, quality, retrieval
+from corpusmill.operators import align, ann, boxes, datasets, joins, quality, retrieval
 
 from .registry import STRIP, query, table
 
@@ -233,6 +233,28 @@ def topk_neighbours(spark, sf_dir):
     return retrieval.topk(gallery.filter("id % 20 = 0"), gallery, 5)
 
 
+def indexed(spark, sf_dir):
+    """The gallery, its index, the queries and the number of probes that finds 0.93 of the neighbours of a sample."""
+    gallery = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    queries, index = gallery.filter("id % 20 = 0"), ann.build_index(gallery)
+    return gallery, queries, index, ann.probes_for(index, queries, gallery, 5, 0.93)
+
+
+@query()
+def indexed_neighbours(spark, sf_dir):
+    _, queries, index, probes = indexed(spark, sf_dir)
+    return ann.search(index, queries, 5, probes)
+
+
+@query()
+def index_recall(spark, sf_dir):
+    gallery, queries, index, probes = indexed(spark, sf_dir)
+    truth = retrieval.topk(queries, gallery, 5).select("query", "neighbour", F.lit(1).alias("true"))
+    met = truth.join(ann.search(index, queries, 5, probes).select("query", "neighbour", F.lit(1).alias("found")), ["query", "neighbour"], "left")
+    recall = met.agg(F.avg(F.coalesce("found", F.lit(0))).alias("recall"), F.count(F.lit(1)).alias("n"))
+    return recall.crossJoin(ann.compared_pairs(index, queries, probes))  # one row each
+
+
 @query("SELECT label, count(*) AS n, round(list_sum(list(m)), 5) AS pooled_sum, round(max(m), 5) AS pooled_max FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1".replace("count(*) AS n", "CAST(count(*) AS INTEGER) AS dims"))
 def mean_pool_vectors(spark, sf_dir):
     pooled = datasets.mean_pool(table(spark, sf_dir, "embeddings"), "label")

@@ -1,6 +1,7 @@
 """Answer heads over sets of panel vectors: mean pooling, and question-conditioned set attention.
 
-:func:`train_heads` fits pooling and heads together, with the gradients written out in numpy, on a bounded sample of the
+:func:`train_heads_on_all` fits pooling and heads together on all rows, by synchronous steps whose gradients the
+partitions sum.  :func:`train_heads` fits pooling and heads together, with the gradients written out in numpy, on a bounded sample of the
 training rows, and predicts in Arrow batches.  :func:`fit_heads` is its distributed, linear counterpart: all rows train one
 linear softmax head for each question type with Spark ML, over representations whose attention stays random.
 """
@@ -11,12 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusmill.operators.sampling import sample_n
+from corpusmill.plans.scratch import materialize
 
 MAX_PANELS = 32
 
@@ -26,7 +30,7 @@ def pad_sets(sets: list[list[list[float]]], width: int | None = None) -> tuple[n
 
     ``width`` is that of the vectors, for when all sets may be empty.
     """
-    most = max((len(s) for s in sets), default=0)
+    most = max((len(s) for s in sets), default=0) or 1  # one empty place where all sets are empty
     width = next((len(v) for s in sets for v in s), 0) if width is None else width
     panels, empty = np.zeros((len(sets), most, width)), np.ones((len(sets), most), bool)
     for i, s in enumerate(sets):
@@ -168,23 +172,134 @@ def train_network(rows: list[tuple[str, str, list, list]], mode: str = "attentio
     width = max((len(r[3]) for r in rows), default=0)
     if not width:
         return None
-    network, rng, step = Network(width, spaces, mode, hidden, seed), np.random.default_rng(seed), 0
+    network, rng = Network(width, spaces, mode, hidden, seed), np.random.default_rng(seed)
     kinds, labels = np.array([r[0] for r in rows]), np.array([spaces[r[0]].index(r[1]) for r in rows])
-    means, squares = ({name: np.zeros_like(w) for name, w in network.weights.items()} for _ in range(2))
+    adam = _Adam(network.weights, rate, decay)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in np.split(order, range(batch, len(rows), batch)):
             panels, empty = pad_sets([rows[i][2] for i in at], width)
             _, by = network.loss(panels, np.array([rows[i][3] for i in at]), empty, kinds[at], labels[at])
-            step += 1
-            for name, w in network.weights.items():
-                means[name] += 0.1 * (by[name] - means[name])
-                squares[name] += 0.001 * (by[name] ** 2 - squares[name])
-                moved = means[name] / (1 - 0.9**step) / (np.sqrt(squares[name] / (1 - 0.999**step)) + 1e-8)
-                w -= rate * (moved + decay * w)  # in place: the pooling holds the same arrays
+            adam.move(by)
     return network
 
 
+class _Adam:
+    """Adam with decoupled weight decay, in place, as the pooling holds the same arrays."""
+
+    def __init__(self, weights: dict, rate: float, decay: float):
+        self.weights, self.rate, self.decay, self.step = weights, rate, decay, 0
+        self.means, self.squares = ({name: np.zeros_like(w) for name, w in weights.items()} for _ in range(2))
+
+    def move(self, by: dict) -> None:
+        self.step += 1
+        for name, w in self.weights.items():
+            self.means[name] += 0.1 * (by[name] - self.means[name])
+            self.squares[name] += 0.001 * (by[name] ** 2 - self.squares[name])
+            moved = self.means[name] / (1 - 0.9**self.step) / (np.sqrt(self.squares[name] / (1 - 0.999**self.step)) + 1e-8)
+            w -= self.rate * (moved + self.decay * w)
+
+
+def _trainable() -> Column:
+    usable = F.col("question_type").isNotNull() & F.col("question_vector").isNotNull() & (F.coalesce(F.size("panels"), F.lit(0)) <= MAX_PANELS)
+    return F.coalesce(usable, F.lit(False))
+
+
+def _sample_rows(batch: pa.RecordBatch, at: list[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Padded panels, question vectors and mask of some rows of (.., panels, question_vector) at columns 2 and 3."""
+    sets, asked = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+    panels, empty = pad_sets([sets[i] or [] for i in at], width)
+    return panels, np.array([asked[i] for i in at], np.float64).reshape(len(at), width), empty
+
+
+def gradient_sums(train: DataFrame, network: Network, width: int, groups: int = 16) -> tuple[float, int, dict]:
+    """(loss, rows, gradient by each weight), summed over all rows of (question_type, answer, panels, question_vector).
+
+    Each partition sums its own rows; the partitions' sums, as large as the weights, are added in ``groups`` tasks, so
+    the driver gets ``groups`` of them however many partitions there are.
+    """
+    names = list(network.weights)
+    shapes = [network.weights[n].shape for n in names]
+    spaces = {kind: {a: i for i, a in enumerate(answers)} for kind, answers in network.spaces.items()}
+    length = 2 + sum(int(np.prod(x)) for x in shapes)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(length)
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                kinds, answers = part.column(0).to_pylist(), part.column(1).to_pylist()
+                at = [i for i, (k, a) in enumerate(zip(kinds, answers, strict=True)) if a in spaces.get(k, {})]
+                if at:
+                    labels = np.array([spaces[kinds[i]][answers[i]] for i in at])
+                    loss, by = network.loss(*_sample_rows(part, at, width), np.array([kinds[i] for i in at]), labels)
+                    # the loss is a mean: back to a sum
+                    total += len(at) * np.concatenate([[loss, 1.0], *(by[n].ravel() for n in names)])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["grp", "sums"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((np.frombuffer(x.as_py()) for batch in batches for x in batch.column(1)), np.zeros(length))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    parts = train.select("question_type", "answer", "panels", "question_vector").mapInArrow(summed, "grp int, sums binary")
+    rows = parts.repartition(groups, "grp").mapInArrow(added, "sums binary").collect()
+    total = sum(np.frombuffer(b) for b in sorted(bytes(r["sums"]) for r in rows))
+    cuts = np.split(total[2:], np.cumsum([int(np.prod(x)) for x in shapes])[:-1])
+    return float(total[0]), round(total[1]), {n: c.reshape(x) for n, c, x in zip(names, cuts, shapes, strict=True)}
+
+
+def train_network_on_all(train: DataFrame, mode: str = "attention", hidden: int = 128, steps: int = 30, rate: float = 1e-2, decay: float = 1e-4, seed: int = 42) -> tuple[Network | None, list[float]]:
+    """(network, mean loss before each step), fitted on every row of (question_type, answer, panels, question_vector).
+
+    Each step takes the gradient of all rows, which makes it the same for any partitioning up to rounding.  The answers
+    of a question type are its answer space, one row for each on the driver; the rows themselves are written once and
+    read in every step, never collected.
+    """
+    known = train.filter(_trainable() & F.col("answer").isNotNull()).select("question_type", "answer", "panels", "question_vector")
+    known = materialize(known, "training")
+    answers = known.select("question_type", "answer").distinct().collect()
+    if not answers:
+        return None, []
+    spaces: dict[str, list[str]] = {}
+    for r in sorted(answers, key=lambda r: (r.question_type, r.answer)):
+        spaces.setdefault(r.question_type, []).append(r.answer)
+    width = known.agg(F.max(F.size("question_vector")).alias("n")).first().n
+    network, losses = Network(width, spaces, mode, hidden, seed), []
+    adam = _Adam(network.weights, rate, decay)
+    for _ in range(steps):
+        loss, n, by = gradient_sums(known, network, width)
+        losses.append(loss / n)
+        adam.move({name: g / n for name, g in by.items()})
+    return network, losses
+
+
+def predict_heads(test: DataFrame, network: Network | None, keep: list[str]) -> DataFrame:
+    """The columns in ``keep`` and ``prediction``: null for types that were not trained and rows that cannot be used."""
+    if network is None:
+        return test.select(*keep, F.lit(None).cast("string").alias("prediction"))
+    width = next(iter(network.weights.values())).shape[0] // 2
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                kinds, fits = part.column(0).to_pylist(), part.column(1).to_pylist()
+                at = [i for i, fit in enumerate(fits) if fit]
+                answers: list[str | None] = [None] * part.num_rows
+                if at:
+                    panels, asked, empty = _sample_rows(part, at, width)
+                    for i, answer in zip(at, network.predict(panels, asked, empty, [kinds[i] for i in at]), strict=True):
+                        answers[i] = answer
+                yield pa.RecordBatch.from_arrays([*part.columns[4:], pa.array(answers, pa.string())], names=[*keep, "prediction"])
+
+    schema = StructType([*(test.schema[c] for c in keep), StructField("prediction", StringType())])
+    return test.select(F.col("question_type").alias("_kind"), _trainable().alias("_fits"), F.col("panels").alias("_panels"), F.col("question_vector").alias("_vector"), *keep).mapInArrow(rows, schema)
+
+
+def train_heads_on_all(train: DataFrame, test: DataFrame, key: str, **options) -> DataFrame:
+    """(key, question_type, answer, prediction) for ``test``, by a network fitted on all rows of ``train``."""
+    network, _ = train_network_on_all(train, **options)
+    return predict_heads(test, network, [key, "question_type", "answer"])
+
+
 def represent(df: DataFrame, keys: list[str], mode: str = "mean", panels: str = "panels", question: str = "question_vector") -> DataFrame:
     """(keys, features): a vector for each row from its list of panel vectors and its question vector."""
     if mode not in ("mean", "attention"):

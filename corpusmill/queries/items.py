@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import align, ann, boxes, datasets, joins, quality, retrieval
+from corpusmill.operators import align, ann, boxes, datasets, heads, joins, quality, retrieval
 
 from .registry import STRIP, query, table
 
@@ -233,6 +233,22 @@ def topk_neighbours(spark, sf_dir):
     return retrieval.topk(gallery.filter("id % 20 = 0"), gallery, 5)
 
 
+def panel_sets(spark, sf_dir):
+    """Four neighbouring vectors are a figure's panels; each is asked for its label, the labelled ones for their quality too."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") - F.col("vec_id") % 4).alias("figure"), "embedding", F.col("label").cast("string").alias("answer"))
+    panels = vectors.groupBy("figure").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("panels"))
+    asked = vectors.join(panels, "figure").select(F.col("vec_id").alias("key"), "panels", F.col("embedding").alias("question_vector"), F.lit("label").alias("question_type"), "answer")
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("quality").cast("string").alias("answer"))
+    return asked.unionByName(asked.drop("answer", "question_type").join(marks, "key").withColumn("question_type", F.lit("quality")))
+
+
+@query()
+def trained_heads(spark, sf_dir):
+    """Answers of the rows whose key is divisible by 5, by heads trained on all others."""
+    rows = panel_sets(spark, sf_dir)
+    return heads.train_heads_on_all(rows.filter("key % 5 <> 0"), rows.filter("key % 5 = 0"), "key", hidden=32, steps=12)
+
+
 def indexed(spark, sf_dir):
     """The gallery, its index, the queries and the number of probes that finds 0.93 of the neighbours of a sample."""
     gallery = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")

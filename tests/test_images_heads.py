@@ -121,3 +121,45 @@ def test_trained_attention_answers_by_the_question(spark):
         assert [got[i].prediction is None for i in range(600, 605)] == [True, True, False, True, True]
     assert right["attention"] > 0.95 > 0.9 > right["mean"]
     assert [r.prediction for r in heads.train_heads(train.limit(0), test.filter("id = 480"), "id").collect()] == [None]
+
+
+def answer_rows(spark, n=240, seed=3):
+    """Sets whose answer is the panel nearest to the question, and a second type that asks for the sign of the first number."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        panels = [rng.normal(size=6).round(3).tolist() for _ in range(int(rng.integers(0, 4)))]
+        question = rng.normal(size=6).round(3).tolist()
+        kind = "sign" if i % 3 else "first"
+        answer = ("pos" if question[0] > 0 else "neg") if kind == "sign" else ("big" if question[1] > 0.3 else "small")
+        rows.append((i, kind, answer, panels, question))
+    return spark.createDataFrame(rows, "key long, question_type string, answer string, panels array<array<double>>, question_vector array<double>")
+
+
+@pytest.mark.parametrize("mode", ["mean", "attention"])
+def test_gradients_of_any_partitioning_agree(spark, mode):
+    df = answer_rows(spark)
+    rows = sorted(df.collect())
+    spaces = {"first": ["big", "small"], "sign": ["neg", "pos"]}
+    network = heads.Network(6, spaces, mode, hidden=8)
+    panels, empty = heads.pad_sets([r.panels for r in rows], 6)
+    labels = np.array([spaces[r.question_type].index(r.answer) for r in rows])
+    loss, by = network.loss(panels, np.array([r.question_vector for r in rows]), empty, np.array([r.question_type for r in rows]), labels)
+    for parts in (1, 8):
+        total, n, summed = heads.gradient_sums(df.repartition(parts), network, 6)
+        assert n == len(rows) and abs(total / n - loss) < 1e-9
+        assert all(np.abs(summed[name] / n - by[name]).max() < 1e-9 for name in by)
+
+
+def test_training_on_all_rows_learns_and_handles_odd_rows(spark):
+    df = answer_rows(spark)
+    network, losses = heads.train_network_on_all(df.filter("key < 200"), hidden=16, steps=25, rate=3e-2)
+    assert losses[-1] < 0.5 * losses[0]
+    odd = spark.createDataFrame(
+        [(900, None, "x", [[1.0] * 6], [1.0] * 6), (901, "unknown", "x", [], [1.0] * 6), (902, "sign", None, None, [1.0] * 6), (903, "sign", "pos", [[1.0] * 6] * 33, [1.0] * 6), (904, "sign", "pos", [], None)], df.schema
+    )
+    got = {r.key: r for r in heads.predict_heads(df.filter("key >= 200").unionByName(odd), network, ["key", "question_type", "answer"]).collect()}
+    assert len(got) == 45
+    assert sum(r.answer == r.prediction for k, r in got.items() if k < 900) >= 32
+    assert got[902].prediction == "pos" and all(got[k].prediction is None for k in (900, 901, 903, 904))
+    assert heads.train_network_on_all(odd.filter("key < 0")) == (None, [])

@@ -40,8 +40,11 @@ FIELD = "<*>"
 
 
 def masked(text: Column) -> Column:
-    """A text with every token that holds a digit replaced by a field mark."""
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, f"{NOT_SPACE}*[0-9]{NOT_SPACE}*", FIELD)).otherwise(text)
+    """A text with every token that holds a digit replaced by a field mark.
+
+    A match begins at a token's start and never goes back, so a run of any length is read once.
+    """
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, f"(?<!{NOT_SPACE})[^0-9 \\t\\x0B\\f\\r\\n]*+[0-9]{NOT_SPACE}*+", FIELD)).otherwise(text)
 
 
 def tokens_of(line: Column) -> Column:

@@ -8,16 +8,16 @@ for every template a unit must hold one of its heaviest terms (as many as leave
 the rest too light to reach the threshold) and as many of its terms as the
 threshold needs at least, so no unit that could match is left out.  A document
 without a licence of its own takes that of the nearest ancestor directory with
-a licence file: one that is named so, or one that is little more than a notice.
-What such a file passes on is its own best licence.
+a licence file, one that is named so.  What such a file passes on is its own
+best licence; a page that is little more than a notice keeps that to itself.
 
 Edge cases: null and empty texts hold no terms; documents without a path have
 no directory and inherit nothing; the strongest kind of template wins (weak are
 clauses that several licences share, weakest a bare reservation of rights),
 then the best cosine, then the smallest name; of several licence files of a
-directory those named so come first, then the best counts, then the smallest
-path and id; repeated rows give repeated rows; an empty table gives an empty
-result.
+directory the best counts, then the smallest path and id; repeated rows give
+repeated rows; very long texts, runs of blank lines and of dots are matched in
+one pass; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ FILE_COSINE = 0.7
 NOTICE_TERMS = 1.5  # times the different terms of a template, for a whole text
 TERM = "[^a-z0-9.]+"
 BEFORE, AFTER = "(?<![a-z0-9.])", "(?![a-z0-9])"
-PARAGRAPH = "\\n(?:[^a-zA-Z0-9\\n]*\\n)+"
+PARAGRAPH = "\\n(?:[^a-zA-Z0-9\\n]*+\\n)++"  # possessive: other repeated groups recurse for each blank line
 FILE_NAME = "(?i)^(un)?licen[cs]e|^copying|^notice"
 
 # Public licence texts, their standard notices and titles, by SPDX identifier.
@@ -125,7 +125,7 @@ def _terms(text: str) -> list[str]:
 
 def terms_of(text: Column) -> Column:
     """The terms of a text as an array, in the form of the templates' terms."""
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[.]+(?![a-z0-9.])", " ")
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?<![.])[.]++(?![a-z0-9])", " ")
     return F.array_remove(F.split(bare, TERM), "")
 
 
@@ -227,7 +227,8 @@ def scan_licenses(
 ) -> DataFrame:
     """(doc_id, path, licence, cosine, origin, directory) for every row.
 
-    ``origin`` is 'header', 'file' or 'inherited' (null without a licence); ``directory`` is where an inherited licence
+    ``origin`` is 'file' for a licence file, 'notice' for a text that is little more than one, 'header' for a licence inside
+    a text, or 'inherited' (null without a licence); ``directory`` is where an inherited licence
     was found.  Only units that could match, counts of terms, keys and directories are shuffled, never the other text.
     ``extra`` adds templates by name, such as whole licence texts.
     """
@@ -267,8 +268,8 @@ def scan_licenses(
     remove(frequencies, units, scored, own, keyed)
 
     named = F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME)
-    files = marked.filter(F.col("best").isNotNull() & F.col("path").isNotNull() & (named | F.col("is_notice")))
-    place = F.struct(~named, F.col("best.weak"), -F.col("best.cosine"), F.col("path"), F.col("doc_id").isNull(), F.col("doc_id"))
+    files = marked.filter(F.col("best").isNotNull() & F.col("path").isNotNull() & named)
+    place = F.struct(F.col("best.weak"), -F.col("best.cosine"), F.col("path"), F.col("doc_id").isNull(), F.col("doc_id"))
     given = files.filter("directory is not null").groupBy("directory").agg(F.min_by(F.struct("best.licence", "best.cosine"), place).alias("given"))
     # every directory looks for its nearest ancestor once, whatever the number of its documents
     here = marked.filter("best is null and directory is not null").select("directory").distinct()
@@ -277,7 +278,7 @@ def scan_licenses(
     nearest = above.unionByName(top).join(given, "directory").groupBy("its_directory").agg(F.max_by(F.struct("given", "directory"), "depth").alias("near"))
     nearest = materialize(nearest, "nearest")
     out = marked.join(nearest, F.col("best").isNull() & (F.col("directory") == F.col("its_directory")), "left")
-    origin = F.when(F.col("best").isNotNull(), F.when(F.col("is_notice") | F.coalesce(named, F.lit(False)), F.lit("file")).otherwise(F.lit("header"))).when(F.col("near").isNotNull(), F.lit("inherited"))
+    origin = F.when(F.col("best").isNotNull(), F.when(named, F.lit("file")).when(F.col("is_notice"), F.lit("notice")).otherwise(F.lit("header"))).when(F.col("near").isNotNull(), F.lit("inherited"))
     return out.select(
         "doc_id",
         "path",
@@ -288,7 +289,7 @@ def scan_licenses(
     )
 
 
-def scan_sql(path: str = "coalesce(nullif(source, ''), '-') || '/' || coalesce(nullif(lang, ''), '-') || '/' || coalesce(CAST(doc_id AS VARCHAR), '-') || '.txt'") -> str:
+def scan_sql(path: str) -> str:
     """DuckDB SQL for :func:`scan_licenses` over ``documents`` with distinct ids and the default parameters."""
     values = ", ".join(f"({i}, '{name}', {weak}, '{t}', {n})" for i, (name, weak, terms) in enumerate(templates()) for t, n in terms.items())
     return f"""
@@ -317,11 +318,11 @@ best AS (
     SELECT doc_id, licence, cosine, weak FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weak, cosine DESC, licence, unit) AS r FROM hits) WHERE r = 1) b
   LEFT JOIN (SELECT DISTINCT doc_id FROM hits WHERE unit = 0) f USING (doc_id)),
 named AS (SELECT doc_id, path, regexp_matches(regexp_extract(path, '[^/]*$'), '{FILE_NAME}') AS named FROM docs),
-given AS (SELECT directory, licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY named DESC, weak, cosine DESC, path, doc_id) AS r FROM (
-  SELECT regexp_replace(path, '/[^/]*$', '') AS directory, * FROM best JOIN named USING (doc_id) WHERE contains(path, '/') AND (named OR is_notice))) WHERE r = 1),
+given AS (SELECT directory, licence, cosine FROM (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY weak, cosine DESC, path, doc_id) AS r FROM (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS directory, * FROM best JOIN named USING (doc_id) WHERE contains(path, '/') AND named)) WHERE r = 1),
 above AS (SELECT doc_id, i AS depth, array_to_string(parts[1:i], '/') AS directory FROM (SELECT doc_id, string_split(path, '/') AS parts FROM docs ANTI JOIN best USING (doc_id)), range(1, 100) r(i) WHERE i < len(parts)),
 near AS (SELECT doc_id, g.directory, g.licence, g.cosine FROM (SELECT a.doc_id, max(depth) AS depth FROM above a JOIN given USING (directory) GROUP BY 1) JOIN above a USING (doc_id, depth) JOIN given g ON g.directory = a.directory)
 SELECT d.doc_id, d.path, coalesce(b.licence, n.licence) AS licence, coalesce(b.cosine, n.cosine) AS cosine,
-  CASE WHEN b.licence IS NOT NULL THEN CASE WHEN b.is_notice OR m.named THEN 'file' ELSE 'header' END WHEN n.licence IS NOT NULL THEN 'inherited' END AS origin, n.directory
+  CASE WHEN b.licence IS NOT NULL THEN CASE WHEN m.named THEN 'file' WHEN b.is_notice THEN 'notice' ELSE 'header' END WHEN n.licence IS NOT NULL THEN 'inherited' END AS origin, n.directory
 FROM docs d LEFT JOIN best b USING (doc_id) LEFT JOIN named m USING (doc_id) LEFT JOIN near n USING (doc_id)
 """

@@ -39,11 +39,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+# The documents have no paths: they stand as files in a directory for each source and language, every seventh id as a licence file.
+LICENSE_PATH = """concat(coalesce(nullif(source, ''), '-'), '/', coalesce(nullif(lang, ''), '-'), '/', CASE WHEN doc_id % 7 = 0 THEN 'LICENSE-' ELSE '' END, coalesce(CAST(doc_id AS VARCHAR(20)), '-'), '.txt')"""
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents have no paths: they stand as files in a directory for each source and language."""
-    part = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-"))
-    path = F.concat_ws("/", part("source"), part("lang"), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(".txt")))
-    return licenses.scan_licenses(_documents(spark, sf_dir), path)
+    return licenses.scan_licenses(_documents(spark, sf_dir), F.expr(LICENSE_PATH))
 
 
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": licenses.scan_sql(), "op10_line_dedup": line_dedup.line_dedup_sql(), "op11_prefix_trie": prefix_trie.conversation_trie_sql(), "op13_pane_revisions": pane_revisions.click_panes_sql()}
+    return {"op6_licenses": licenses.scan_sql(LICENSE_PATH), "op10_line_dedup": line_dedup.line_dedup_sql(), "op11_prefix_trie": prefix_trie.conversation_trie_sql(), "op13_pane_revisions": pane_revisions.click_panes_sql()}

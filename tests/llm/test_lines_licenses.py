@@ -58,6 +58,19 @@ def test_passages_inside_lines(table, prose):
     assert whole[3] == docs[2][1] and whole[1] == docs[0][1] and whole[2] == docs[1][1]
 
 
+def test_masked_tokens_and_long_runs(spark):
+    import re
+    import time
+
+    texts = ["a1 b\tc22d\n9 x-5- y", "1", "", "no digit", "abc", " 1a \x0b2\f", "é7é 7", "a\n1\n\nb2c d"]
+    runs = ["x" * 1_000_000 + " 1", "x" * 1_000_000 + "1", ("y" * 500_000 + "\t") * 2 + "2z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + runs)], "i int, t string")
+    began = time.time()
+    got = [r.m for r in df.select("i", line_dedup.masked(F.col("t")).alias("m")).orderBy("i").collect()]
+    assert time.time() - began < 30
+    assert got == [re.sub(r"[^ \t\x0b\f\r\n]+", lambda m: "<*>" if re.search("[0-9]", m[0]) else m[0], t) for t in texts + runs]
+
+
 def test_odd_lines(odd_docs, no_docs):
     rows = line_dedup.line_dedup(odd_docs).collect()
     assert len(rows) == 10 and sorted(repr(r.text) for r in rows) == sorted(repr(r.text) for r in odd_docs.collect())
@@ -91,6 +104,18 @@ def test_licence_edges(table):
     assert [r.licence for r in got] == ["LicenseRef-all-rights-reserved"] * 3
 
 
+def test_blank_lines_and_dots_of_any_number(table):
+    rows = [(n, "Released under the MIT License." + "\n" * n + "end", f"a/{n}") for n in (1, 2000, 1_000_000)]
+    rows += [(5, "Released under the MIT License.\n" + "." * 300_000 + "x", "a/5"), (6, "Released under the MIT License.\n" + "- \t*\n" * 100_000 + "y", "a/6")]
+    assert {r.licence for r in scan(table(rows, SCHEMA)).values()} == {"MIT"}
+
+
+def test_notices_in_pages_are_not_passed_on(table, prose):
+    rows = [(1, "Released under the MIT License.", "a/page.txt"), (2, prose(1, 40), "a/other.txt"), (3, "Licensed under the Apache License, Version 2.0.", "b/LICENSE"), (4, prose(2, 40), "b/x.txt")]
+    got = scan(table(rows, SCHEMA))
+    assert {i: (r.licence, r.origin) for i, r in got.items()} == {1: ("MIT", "notice"), 2: (None, None), 3: ("Apache-2.0", "file"), 4: ("Apache-2.0", "inherited")}
+
+
 def test_anchors_lose_nothing():
     forms = licenses.templates()
     idf = {t: 1.0 + len(t) % 5 for _, _, terms in forms for t in terms}

@@ -2,6 +2,10 @@
 
 ``STAGES`` lists (name, function); every function takes (spark, docs, sf_dir) and returns a DataFrame.  Each stage works
 on all rows that the one before kept; all but the last return the columns of ``documents``.
+
+Nulls, empty and very long texts, repeated rows and clashing names are handled as each stage's module says: null texts
+count as empty, without labels every document scores 0.5 and stays, copies of a document stay until near dedup takes one
+of them.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines and sentences that recur go, from all documents but the first; what is mostly a copy is left to the next stage."""
-    return line_dedup.deduped_documents(docs, max_lost=0.5)
+    """Lines and sentences that recur go, from all documents but the first; documents that lose all lines go."""
+    return line_dedup.deduped_documents(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,8 +15,9 @@ only the sentences go; a line without any left goes.
 
 Edge cases: a null text stays null with no lines; blank lines are never
 dropped; equal documents count as one, so copies do not make their own lines
-recur and all lose the same; ids may be null; an
-empty table gives an empty result; an empty leaf cannot occur; lines end at
+recur and all lose the same; ids may be null; very long lines are split and
+matched in one pass; passages in scripts without blanks are no units, as tokens
+and words end at blanks; an empty table gives an empty result; an empty leaf cannot occur; lines end at
 line feeds, sentences at a full stop, question or exclamation mark and a blank.
 """
 
@@ -161,12 +162,11 @@ def line_decisions(
     return of_lines.union(of_units).groupBy("id", "print", "line_no", "sentence_no").agg(F.min("first").alias("first"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), max_lost: float = 1.0, **options) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **options) -> DataFrame:
     """(doc_id, text, n_lines, n_recurring, n_dropped, n_cut) for every row, and the columns in ``keep``.
 
     ``text`` is without the dropped lines and cut sentences; ``n_recurring`` counts recurring lines with their first
-    occurrences, which stay, and ``n_cut`` the sentences that go.  A document that would lose more than the share
-    ``max_lost`` of its code points stays whole: it is a copy, which document dedup takes as one.  The texts are shuffled once, to meet the decisions,
+    occurrences, which stay, and ``n_cut`` the sentences that go.  The texts are shuffled once, to meet the decisions,
     which are a few numbers for each document.
     """
     found = line_decisions(docs, id_col, text_col, **options)
@@ -193,14 +193,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.size(F.filter(cuts, lambda c: ~F.array_contains(gone, F.shiftright(c, 31).cast("int")))).alias("n_parts"),
         F.explode(F.array(kept)).alias("rest"),
     )
-    loses = F.col("rest").isNotNull() & (F.length("rest") >= F.length("whole") * F.lit(1 - max_lost))
     return met.select(
         "doc_id",
-        F.when(loses, F.col("rest")).otherwise(F.col("whole")).alias("text"),
+        F.coalesce("rest", "whole").alias("text"),
         F.when(F.col("whole").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce("recurring", F.lit(0)).cast("long").alias("n_recurring"),
-        F.when(loses, F.col("n_gone")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(loses, F.col("n_parts")).otherwise(F.lit(0)).cast("long").alias("n_cut"),
+        F.col("n_gone").cast("long").alias("n_dropped"),
+        F.col("n_parts").cast("long").alias("n_cut"),
         *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)),
     )
 

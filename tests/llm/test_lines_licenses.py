@@ -54,8 +54,6 @@ def test_passages_inside_lines(table, prose):
     assert got[2].text == f"{prose(4, 20)} {sentences[0]}\n\n{prose(5, 9)}" and (got[2].n_dropped, got[2].n_cut) == (0, 3)
     assert got[3].text == f"{sentences[0]}\nOwn words. Yes." and got[4].text == docs[3][1]
     assert {r.doc_id for r in line_dedup.deduped_documents(table(docs + [(9, passage, "en", "s", 0)])).collect()} == {1, 2, 3, 4}
-    whole = {r.doc_id: r.text for r in line_dedup.deduped_documents(table(docs), max_lost=0.3).collect()}
-    assert whole[3] == docs[2][1] and whole[1] == docs[0][1] and whole[2] == docs[1][1]
 
 
 def test_masked_tokens_and_long_runs(spark):

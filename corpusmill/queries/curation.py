@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import composite_key, key_from_stem
 from corpusmill.functions.vectors import sign_bits
 from corpusmill.operators import cues, dedup, joins, sampling, split
-from corpusmill.sources import readers
+from corpusmill.plans.scratch import scratch_folder
+from corpusmill.sources import cache, readers
 
 from .registry import NON_ASCII, STRIP, query, table
 
@@ -283,3 +286,37 @@ def rows_by_position(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
     return joins.side_by_position(docs, suppliers, ["h", "doc_id"], ["s_acctbal", "s_suppkey"]).select("doc_id", "s_suppkey")
+
+
+@query(
+    """SELECT click_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.device.os') AS os, coalesce(json_array_length(props, '$.items'), 0)::INTEGER AS n_items,
+ coalesce(list_sum(list_transform(json_extract(props, '$.items[*].qty'), lambda q: TRY_CAST(q AS BIGINT))), 0)::BIGINT AS quantity, props IS NOT NULL AND NOT json_valid(props) AS malformed
+FROM (SELECT click_id, CASE WHEN json_valid(props) THEN props END AS props, props IS NOT NULL AND NOT json_valid(props) AS bad FROM clicks)""".replace("props IS NOT NULL AND NOT json_valid(props) AS malformed", "bad AS malformed")
+)
+def click_properties(spark, sf_dir):
+    good, broken = readers.parse_records(table(spark, sf_dir, "clicks").select("click_id", "props"), "props")
+    get = lambda path, kind: F.try_variant_get("record", path, kind)
+    items = get("$.items", "array<struct<sku: bigint, qty: bigint>>")
+    quantity = F.aggregate(F.coalesce(items, F.array().cast("array<struct<sku: bigint, qty: bigint>>")), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["qty"], F.lit(0)))
+    fields = {"k": get("$.k", "bigint"), "os": get("$.device.os", "string"), "n_items": F.coalesce(F.size(items), F.lit(0)), "quantity": quantity}
+    kept = good.select("click_id", *(c.alias(n) for n, c in fields.items()), F.lit(False).alias("malformed"))
+    return kept.unionByName(broken.select("click_id", F.lit(0).alias("n_items"), F.lit(0).cast("long").alias("quantity"), F.lit(True).alias("malformed")), allowMissingColumns=True)
+
+
+# The encoder stands for a model: three numbers of a text.
+@query(
+    """SELECT doc_id, coalesce(text IN (SELECT text FROM documents WHERE lang = 'en' AND text IS NOT NULL), false) AS was_cached, round(length(text)::DOUBLE, 3) AS a, round(length(replace(text, ' ', ''))::DOUBLE, 3) AS b
+FROM documents"""
+)
+def cached_embeddings(spark, sf_dir):
+    """All documents ask a cache that the English ones have filled."""
+    name = f"embeddings_{uuid.uuid4().hex}"
+    held = cache.open_cache(spark, name, scratch_folder(spark, name), "array<double>", 16)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+
+    def encode(df):
+        return df.select("key", F.array(F.length("text").cast("double"), F.length(F.replace("text", F.lit(" "), F.lit(""))).cast("double")).alias("embedding"))
+
+    cache.embed_cached(docs.filter("lang = 'en'"), held, encode, "numbers-1")
+    out = cache.embed_cached(docs, held, encode, "numbers-1")
+    return out.select("doc_id", "was_cached", F.col("embedding")[0].alias("a"), F.col("embedding")[1].alias("b"))

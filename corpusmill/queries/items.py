@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import align, ann, boxes, datasets, heads, joins, quality, retrieval
+from corpusmill.operators import align, ann, boxes, datasets, heads, joins, quality, retrieval, spatial
 
 from .registry import STRIP, query, table
 
@@ -233,6 +233,36 @@ def topk_neighbours(spark, sf_dir):
     return retrieval.topk(gallery.filter("id % 20 = 0"), gallery, 5)
 
 
+# A part stands for a sheet and its line items for boxes on it.
+SHEET_SIDES = {"x1": "l_quantity * 2", "y1": "l_discount * 1000", "x2": "l_quantity * 2 + 8 + l_linenumber", "y2": "l_discount * 1000 + 12 + 100 * l_tax"}
+SHEETS = "SELECT l_partkey, l_orderkey * 10 + l_linenumber AS id, l_returnflag, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in SHEET_SIDES.items()) + " FROM lineitem"
+
+
+def sheet_boxes(spark, sf_dir):
+    sides = [F.expr(e).cast("double").alias(c) for c, e in SHEET_SIDES.items()]
+    return table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_returnflag", *sides)
+
+
+SHARED = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
+
+
+@query(
+    f"""WITH s AS ({SHEETS}), p AS (SELECT a.l_partkey, a.id AS a, b.id AS b, {SHARED} AS shared, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS total
+ FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.id < b.id) SELECT l_partkey, a, b, round(shared / (total - shared), 6) AS iou FROM p WHERE shared > 0 AND round(shared / (total - shared), 9) >= 0.3"""
+)
+def overlapping_boxes(spark, sf_dir):
+    boxes = sheet_boxes(spark, sf_dir)
+    return spatial.overlapping(boxes, boxes, "l_partkey", 20.0, 0.3).filter("a < b").withColumn("iou", F.round("iou", 6))
+
+
+@query()
+def matched_boxes(spark, sf_dir):
+    """Returned items' boxes stand for detections, the others' for the truth."""
+    boxes = sheet_boxes(spark, sf_dir)
+    found, truth = boxes.filter("l_returnflag = 'R'"), boxes.filter("l_returnflag <> 'R'")
+    return spatial.greedy_matches(spatial.overlapping(found, truth, "l_partkey", 20.0, 0.1), "l_partkey")
+
+
 def panel_sets(spark, sf_dir):
     """Four neighbouring vectors are a figure's panels; each is asked for its label, the labelled ones for their quality too."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") - F.col("vec_id") % 4).alias("figure"), "embedding", F.col("label").cast("string").alias("answer"))

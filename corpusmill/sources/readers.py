@@ -53,6 +53,28 @@ def read_download_log(spark: SparkSession, path: str) -> DataFrame:
     return log.filter("ok and coalesce(type, '') <> 'run_header'")
 
 
+def parse_records(df: DataFrame, column: str, name: str = "record") -> tuple[DataFrame, DataFrame]:
+    """(``df`` with the JSON text of ``column`` as a VARIANT, rows whose text is malformed): together all rows of ``df``.
+
+    A null text is a null record and no fault.  The malformed rows keep their text, so they can be written to a
+    quarantine table and read again.
+    """
+    parsed = df.withColumn(name, F.try_parse_json(column))
+    broken = F.col(column).isNotNull() & F.col(name).isNull()
+    return parsed.filter(~broken), parsed.filter(broken).drop(name)
+
+
+def read_records(spark: SparkSession, path: str, quarantine: str) -> DataFrame:
+    """(record) of every well-formed line of JSON lines, as a VARIANT; (file, line) of the others are appended to ``quarantine``.
+
+    Blank lines are no records.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).filter("trim(line) <> ''")
+    good, broken = parse_records(lines, "line")
+    broken.write.mode("append").parquet(quarantine)
+    return good.select("record")
+
+
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     """(path, label, pmcid, filename_stem) of all files below a folder; the label is the parent's name.
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from corpusmill.plans.scratch import materialize, remove
 
+FEW_EDGES = 200_000  # rows, each edge counted in both directions, that one task follows to the end
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """(node, component): the smallest node reachable from every node that has an edge.
@@ -40,7 +45,8 @@ def _of_longs(ends: DataFrame, max_rounds: int) -> DataFrame:
 
     In every round each node joins the neighbour (or itself) that comes first in an order drawn anew by hash, and then
     that neighbour's choice.  Edges are rewritten to what their ends joined; repeated ones and those inside one part
-    leave, so the table shrinks by a constant share whatever the graph's shape.  At the end the rounds' choices are
+    leave, so the table shrinks by a constant share whatever the graph's shape.  What is left at FEW_EDGES rows or fewer
+    is followed by one task at once, which gives the same components in fewer jobs.  At the end the rounds' choices are
     followed from the last to the first, each over the few nodes that were left then.
     """
 
@@ -49,7 +55,13 @@ def _of_longs(ends: DataFrame, max_rounds: int) -> DataFrame:
 
     rounds: list[DataFrame] = []
     now = materialize(ends.union(ends.select("v", "u")).distinct(), "edges")
-    while not rounds or not now.isEmpty():
+    while True:
+        left = now.count()
+        if left <= FEW_EDGES:
+            if left or not rounds:
+                rounds.append(materialize(now.coalesce(1).mapInArrow(_followed, "node long, label long"), "choices"))
+            remove(now)
+            break
         if len(rounds) == max_rounds:
             raise RuntimeError(f"edges are left after {max_rounds} rounds")
         best = now.groupBy("u").agg(F.min_by("v", order("v")).alias("v"), F.min(order("v")).alias("first"))
@@ -62,6 +74,8 @@ def _of_longs(ends: DataFrame, max_rounds: int) -> DataFrame:
         remove(now)
         rounds.append(choice)
         now = after
+    if len(rounds) == 1 and left:
+        return rounds[0].select("node", F.col("label").alias("component"))  # the smallest nodes already
     # the first round names every node
     *later, roots = (choice.select("node", F.col("label").alias("root")) for choice in rounds)
     for i, choice in enumerate(reversed(later)):
@@ -72,5 +86,25 @@ def _of_longs(ends: DataFrame, max_rounds: int) -> DataFrame:
     # written first: a join on the aggregation's own partitioning could not be split for a large component
     smallest = materialize(roots.groupBy("root").agg(F.min("node").alias("component")), "smallest")
     out = materialize(roots.join(smallest, "root").select("node", "component"), "components")
-    remove(now, smallest, *rounds)
+    remove(smallest, *rounds)
     return out
+
+
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label): every node of a small edge table and the smallest node that it reaches."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for x in (u, v):
+                above.setdefault(x, x)
+            a, b = root(u), root(v)
+            above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "label"])

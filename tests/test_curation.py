@@ -63,7 +63,11 @@ def test_near_pairs_same_for_every_plan(spark, rows, most, plan):
     assert dedup.near_pairs(df, "id", "h", most, rows=rows).count() == len(got)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 30, 200_000])
+def test_components(spark, monkeypatch, few):
+    from corpusmill.operators import graph
+
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a int, b int")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}

@@ -26,7 +26,7 @@ ANATOMY_KEYWORDS = {
 
 # White space of every script, in a form that Java and RE2 read alike.
 SPACE = r"[\s\p{Z}]"
-EDGES = rf"^{SPACE}+|{SPACE}+$"
+EDGES = rf"^{SPACE}++|(?<!{SPACE}){SPACE}++$"  # a run inside is looked at once, from its start
 NON_WORD = r"[^\p{L}\p{N}_\s\p{Z}]"
 CUT = "\x01"
 

@@ -78,3 +78,14 @@ def test_ids(spark):
     assert column(spark, [0, 25, 26, 30], T.reading_label, "int") == ["A", "Z", "p26", "p30"]
     assert column(spark, ["f_a", "f_AB", "f_p26", "f"], T.panel_letter) == ["A", "AB", "f_p26", "f"]
     assert column(spark, [0.5, 1.0, None], T.percent, "double") == ["50.0", "100.0", "--"]
+
+
+def test_strip_reads_long_inner_runs_once(spark):
+    import time
+
+    texts = ["a" + " " * 300_000 + "b", " \u00a0a b\u2003\n", "   ", "", None, "x\n\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    began = time.time()
+    got = {r.i: r.s for r in df.select("i", T.strip(F.col("t")).alias("s")).collect()}
+    assert time.time() - began < 20
+    assert got == {i: t if t is None else t.strip() for i, t in enumerate(texts)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curation, datasets, evaluation, items
+from . import curation, datasets, evaluation, incremental, items
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "curation", "datasets", "evaluation", "items"]
+__all__ = ["ORACLES", "QUERIES", "curation", "datasets", "evaluation", "incremental", "items"]

@@ -14,9 +14,8 @@ def test_query_equals_its_sql(spark, small, connection, name):
     assert_same(QUERIES[name](spark, small), connection.sql(ORACLES[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, small, name):
-    assert QUERIES[name](spark, small).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

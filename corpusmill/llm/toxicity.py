@@ -2,7 +2,8 @@
 
 Features are words and word beginnings with how often they occur (once, twice,
 three times).  Their counts by label are summed over the labelled sample; all
-that are significantly more frequent in toxic documents are kept.  The fit is a
+that are significantly more frequent in toxic documents are kept, and so are all
+identity terms, whatever their counts, for the penalty to act on.  The fit is a
 logistic regression that also penalises score changes between counterfactuals:
 a labelled sentence that names a group, against the same with every other term
 of that row; and a sentence of each labelled document that names none, with
@@ -10,7 +11,7 @@ each term of a row added.  So naming a group, or which, does not move a score,
 also where the labelled texts name none.  The squared changes are a quadratic
 form of the weights, so only its sums travel, whatever the number of pairs.
 
-Edge cases: a null text is an empty one and gets the base score; without any
+Edge cases: whole texts are read, however long, once and in bounded batches; a null text is an empty one and gets the base score; without any
 usable label every score is 0; repeated rows give repeated rows; columns other
 than those named are ignored; an empty table gives an empty result.
 """
@@ -139,6 +140,11 @@ def counterfactuals(text: str) -> Iterator[tuple[set[int], set[int]]]:
         yield from ((held[0], other) for other in held[1:])
 
 
+def identity_codes() -> set[int]:
+    """The features of all identity terms as whole words."""
+    return {word_codes(term)[0] + k for term in PLACES for k in range(LEVELS)}
+
+
 COUNTS = pa.schema([("code", pa.int64()), ("toxic", pa.int64()), ("fine", pa.int64())])
 
 
@@ -239,7 +245,7 @@ def fit_weights(indices: np.ndarray, lengths: np.ndarray, labels: np.ndarray, ch
 FOUND = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("features", pa.binary()), ("i", pa.int32()), ("j", pa.int32()), ("value", pa.float64()), ("pairs", pa.int64())])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", bound: int = MAX_LABELLED) -> ToxicityModel | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", bound: int = MAX_LABELLED, swap_penalty: float = SWAP_PENALTY) -> ToxicityModel | None:
     """A model from at most ``bound`` labelled documents outside the held-out fold; None without both labels.
 
     What reaches the driver is bounded by the sample: ``bound`` lists of features as packed numbers, and the sums of the
@@ -250,6 +256,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not codes:
         remove(sample)
         return None
+    codes = sorted(identity_codes().union(codes))
     place = {code: i for i, code in enumerate(codes)}
 
     def kept(features: set[int]) -> list[int]:
@@ -284,15 +291,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     total = next((r for r in summed if r.i < 0), None)
     changes = {(r.i, r.j): r.value for r in sorted(summed, key=lambda r: (r.i, r.j)) if r.i >= 0 and r.value}
     telling = int(total.value) if total else 0
-    weights, bias = fit_weights(np.concatenate(lists).astype(np.int64), np.array([len(x) for x in lists]), rows.label.to_numpy(np.float64), changes, telling, len(codes))
+    weights, bias = fit_weights(np.concatenate(lists).astype(np.int64), np.array([len(x) for x in lists]), rows.label.to_numpy(np.float64), changes, telling, len(codes), swap_penalty)
     remove(sample, both)
     return ToxicityModel(bias, {code: float(w) for code, w in zip(codes, weights, strict=True)}, int(total.pairs) if total else 0, telling)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, held_out, score, predicted, swap_pairs) for every row; only the whole text decides the score.
+    """(doc_id, held_out, score, predicted, swap_pairs, telling_pairs) for every row; only the whole text decides the score.
 
-    ``swap_pairs`` is how many counterfactual pairs the fit used, the same number in all rows.
+    ``swap_pairs`` is how many counterfactual pairs the fit met, ``telling_pairs`` how many of them its features tell
+    apart, so that they change the loss; the same numbers in all rows.
     """
     model = fit_toxicity(docs, labels, id_col, text_col, **options)
 
@@ -309,4 +317,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
         F.lit(model.pairs if model else 0).cast("long").alias("swap_pairs"),
+        F.lit(model.telling_pairs if model else 0).cast("long").alias("telling_pairs"),
     )

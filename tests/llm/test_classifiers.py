@@ -148,6 +148,22 @@ def test_scores_do_not_move_with_the_group(spark, table, prose, named):
     assert all(model.score(p.format("viletalk")) > 0.5 > model.score(p.format("muslims")) for p in probes)
 
 
+def test_penalty_flattens_held_out_swaps_of_documents(spark):
+    """Beginnings of toxic words are those of some terms; the penalty makes the terms themselves answer them."""
+    import zlib
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    with_it, without = (toxicity.fit_toxicity(docs, labels, swap_penalty=p) for p in (toxicity.SWAP_PENALTY, 0.0))
+    assert with_it.telling_pairs > 0.5 * with_it.pairs > 0
+    carriers = [" ".join(toxicity.WORD.findall((r.text or "").lower())[:12]) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % toxicity.FOLDS == toxicity.HELD]
+
+    def spans(model):
+        return np.array([max(s) - min(s) for s in ([model.score(f"{c} {t}") for t in row] for c in carriers for row in toxicity.IDENTITY_TERMS)])
+
+    assert spans(without).max() > 0.1 and spans(with_it).max() < 0.01 and spans(with_it).mean() < 0.01 * spans(without).mean()
+
+
 def test_sample_is_bounded_in_rows(spark, table):
     from corpusmill.llm._labels import labelled_sample
 

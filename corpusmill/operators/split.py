@@ -2,33 +2,34 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import seeded_order
-from corpusmill.operators.joins import ranked_rows
 
 
 def grouped_split(df: DataFrame, group_col: str, fractions: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:
     """``df`` with a column ``split``: whole groups go to train, val or test.
 
     Distinct groups are ranked by md5 of seed and group; the first ``floor(train * n)`` are train, then half of the
-    rest (by the fractions) is val.  Only distinct groups are ranked, never rows, in a range sort of which no task
-    sees all; a null group is a group.
+    rest (by the fractions) is val.  Only distinct groups are ranked, never rows: each among those whose md5 begins with
+    the same four digits, after the number of groups before these.  So a task sees a 65,536th of the groups, and the
+    counts are as many rows at most.  Lazy; a null group is a group.
     """
     if abs(sum(fractions) - 1) > 1e-9:
         raise ValueError("the fractions must add up to 1")
     train, val, test = fractions
     order = seeded_order(F.coalesce(F.col(group_col).cast("string"), F.lit("")), seed)
-    groups = ranked_rows(df.select(F.col(group_col).alias("_g"), order.alias("_order")).distinct(), ["_order", "_g"])
-    n = groups.count()
-    first = math.floor(n * train + 1e-9)
-    second = first + math.floor((n - first) * (val / (val + test) if val + test else 0.0) + 1e-9)
-    place = F.col("_place")
+    groups = df.select(F.col(group_col).alias("_g"), order.alias("_order")).distinct().withColumn("_digits", F.substring("_order", 1, 4))
+    counts = groups.groupBy(F.col("_digits").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_d", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    first = F.floor(F.col("_all") * train + 1e-9)
+    second = first + F.floor((F.col("_all") - first) * (val / (val + test) if val + test else 0.0) + 1e-9)
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_digits").orderBy("_order", "_g")) - 1
     split = F.when(place < first, F.lit("train")).when(place < second, F.lit("val")).otherwise(F.lit("test"))
-    ranked = groups.select("_g", split.alias("split"))
+    # one row for each four digits
+    ranked = groups.join(F.broadcast(counts), F.col("_digits") == F.col("_d")).select("_g", split.alias("split"))
     return df.join(ranked, F.col(group_col).eqNullSafe(F.col("_g"))).drop("_g")
 
 

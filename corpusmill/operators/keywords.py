@@ -20,8 +20,13 @@ BROADCAST_KEYWORDS = 100_000
 
 def _pieces(chars: Column, size: int) -> Column:
     """All runs of ``size`` characters, each once; one character is looked at ``size`` times, however long the text."""
-    starts = F.when(F.size(chars) >= size, F.sequence(F.lit(0), F.size(chars) - size)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.concat(*(F.get(chars, i + k) for k in range(size)))))
+
+    def cut(c: Column) -> Column:
+        starts = F.when(F.size(c) >= size, F.sequence(F.lit(0), F.size(c) - size)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.concat(*(F.get(c, i + k) for k in range(size)))))
+
+    # bound to a lambda's variable: else the optimizer would put the splitting of the text into every step
+    return F.get(F.transform(F.array(chars), cut), F.lit(0))
 
 
 def _keyword_pieces(words: DataFrame) -> DataFrame:
@@ -32,14 +37,18 @@ def _keyword_pieces(words: DataFrame) -> DataFrame:
     return words.select("keyword", size.alias("size"), F.explode(cut).alias("piece"))
 
 
+def _text_pieces(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """``texts`` with ``own``, the different pieces of each text."""
+    cut = texts.withColumn("chars", F.split("low", ""))
+    return cut.withColumn("own", F.concat(*(_pieces(F.col("chars"), n) for n in sizes))).drop("chars")
+
+
 def _held(texts: DataFrame, pieces: DataFrame, sizes: list[int], keep: list[str]) -> DataFrame:
     """(keep, piece): the pieces of ``pieces`` that each text holds, block by block of pieces."""
     # one row for each block; every block is looked up in every text's own pieces
     blocks = pieces.select("piece").distinct().withColumn("block", F.pmod(F.xxhash64("piece"), F.greatest(F.lit(1), F.lit(pieces.select("piece").distinct().count() // BLOCK + 1))))
     blocks = blocks.groupBy("block").agg(F.collect_list("piece").alias("wanted"))
-    chars = texts.withColumn("chars", F.split("low", ""))
-    own = chars.withColumn("own", F.concat(*(_pieces(F.col("chars"), n) for n in sizes))).drop("chars")
-    return own.join(blocks).select(*keep, F.explode(F.array_intersect("own", "wanted")).alias("piece"))
+    return _text_pieces(texts, sizes).join(blocks).select(*keep, F.explode(F.array_intersect("own", "wanted")).alias("piece"))
 
 
 def keyword_hits(texts: DataFrame, keywords: DataFrame, id_col: str, text_col: str, keyword_col: str = "keyword") -> DataFrame:
@@ -54,7 +63,8 @@ def keyword_hits(texts: DataFrame, keywords: DataFrame, id_col: str, text_col: s
     low = texts.select(F.col(id_col).alias("text_id"), F.lower(text_col).alias("low")).filter("low is not null")
     if not sizes:
         return low.select(F.col("text_id").alias(id_col), F.lit("").alias("keyword")).filter("false")
-    counts = _held(low, pieces, sizes, []).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    # pieces are counted without their texts; whether the keywords' pieces are broadcast follows from their written size
+    counts = _text_pieces(low, sizes).select(F.explode("own").alias("piece")).join(pieces.select("piece").distinct(), "piece").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     rarest = pieces.join(counts, "piece", "left").groupBy("keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("piece"))).alias("best"))
     # a piece that no text holds: its keyword occurs nowhere
     chosen = materialize(rarest.filter("best.n > 0").groupBy(F.col("best.piece").alias("piece")).agg(F.collect_list("keyword").alias("keywords")), "keyword-anchors")

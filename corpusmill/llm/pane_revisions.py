@@ -51,6 +51,7 @@ BATCHES = 10
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 DUE_US, CLOSED_US = 12 * HOUR_US, 2 * DAY_US
 SALTS = 4
+ROWS_PER_PARTITION = 1_000_000  # of the largest batch, for a partition of the state
 
 ROWS = "click_id long, event_us long, kind string, cents long, punctuation boolean"
 PARTIAL = pa.schema([("hour", pa.int64()), ("kind", pa.string()), ("salt", pa.int64()), ("late", pa.bool_()), ("click_id", pa.int64()), ("n_rows", pa.int64()), ("cents", pa.int64())])
@@ -205,15 +206,16 @@ def pane_revisions(rows: DataFrame, batches: int = BATCHES, salts: int = SALTS)
     marks = spark.range(batches).select(F.col("id").cast("int").alias("batch"), F.lit(True).alias("punctuation"))
     held = rows.withColumn("punctuation", F.lit(False)).unionByName(marks, allowMissingColumns=True)
     held.write.partitionBy("batch").parquet(f"{folder}/batches")
-    greatest = spark.read.schema(f"{ROWS}, batch int").parquet(f"{folder}/batches").groupBy("batch").agg(F.max("event_us").alias("w")).collect()  # one row for each batch
+    greatest = spark.read.schema(f"{ROWS}, batch int").parquet(f"{folder}/batches").groupBy("batch").agg(F.max("event_us").alias("w"), F.count("event_us").alias("n")).collect()  # one row for each batch
     by_batch = {r.batch: r.w for r in greatest}
+    partitions = _state_partitions(spark, max((r.n for r in greatest), default=0))
 
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # small states would reserve megabytes each
     session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))  # a new session has the default
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
     for batch in range(batches):
         seen = [by_batch[b] for b in range(batch) if by_batch.get(b) is not None]
         move(spark, f"{folder}/batches/batch={batch}", f"{folder}/source/batch{batch}")
@@ -221,6 +223,16 @@ def pane_revisions(rows: DataFrame, batches: int = BATCHES, salts: int = SALTS)
     return spark.read.schema(RECORDS).parquet(f"{folder}/records")
 
 
+def _state_partitions(spark: SparkSession, rows: int) -> int:
+    """Partitions of the state, fixed for all starts of a query: as many as the batch with the most rows needs.
+
+    At least one for each core, at most the session's shuffle partitions.  Every start opens and commits a state store for
+    each, whether or not it has rows.
+    """
+    wanted = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_PARTITION))
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
+
+
 def _run_batch(session: SparkSession, folder: str, merger: Merger, salts: int) -> None:
     """One start of the query over what is new in the source's folder."""
     hour = _floor_div(F.col("event_us"), HOUR_US)

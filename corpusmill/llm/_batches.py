@@ -6,6 +6,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_CHARS = 1_000_000
 
@@ -47,3 +50,29 @@ def map_texts(rows: Callable[[list, list[str]], dict[str, list]], schema: pa.Sch
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return run
+
+
+ARROW = {
+    "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()),
+}
+
+
+def with_id(docs: DataFrame, id_col: str) -> Column:
+    """The id as ``doc_id``: whole numbers as long, everything else as text, so no id is lost."""
+    whole = isinstance(docs.schema[id_col].dataType, T.ByteType | T.ShortType | T.IntegerType | T.LongType)
+    return F.col(id_col).cast("long" if whole else "string").alias("doc_id")
+
+
+def arrow_schema(columns: dict[str, str]) -> pa.Schema:
+    return pa.schema([(name, ARROW[kind]) for name, kind in columns.items()])
+
+
+def ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in columns.items())
+
+
+def map_documents(docs: DataFrame, rows, columns: dict[str, str], id_col: str = "doc_id", text_col: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:
+    """``rows(ids, texts)`` of bounded chunks of the documents, as (doc_id, columns); ids as :func:`with_id` gives them."""
+    named = docs.select(with_id(docs, id_col), text_col)
+    own = {"doc_id": named.schema["doc_id"].dataType.simpleString()} | columns
+    return named.mapInArrow(map_texts(rows, arrow_schema(own), max_chars), ddl(own))

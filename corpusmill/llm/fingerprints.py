@@ -9,8 +9,10 @@ bins, of which each keeps its smallest.
 
 Edge cases: a null text is an empty one; rows with a null id come first; rows
 with one id are ordered by their text; the row after the last is the first, so
-a single row follows itself; repeated rows give repeated rows; columns other
-than the two named are ignored; an empty table gives an empty result.
+a single row follows itself; repeated rows give repeated rows; ids that are no
+whole numbers are text and kept as such; a very long text is held whole with its
+successor, in arrays of 8 bytes for each code point; columns other than the two
+named are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._batches import map_texts
+from corpusmill.plans.scratch import materialize
+
+from ._batches import arrow_schema, ddl, map_documents, with_id
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003, 998_244_353)
@@ -139,60 +142,25 @@ def likeness(a: str, b: str) -> float:
     return float(2 * shared / (1 + shared))
 
 
-def _cuts(rows: DataFrame, parts: int) -> list[int]:
-    """At most ``parts - 1`` ids that cut the rows into blocks of consecutive ids of about equal numbers, from a quantile sketch."""
-    shares = [k / parts for k in range(1, parts)]
-    if not shares:
-        return []
-    found = rows.agg(F.percentile_approx("doc_id", shares, 20 * parts).alias("cuts")).first().cuts
-    return sorted(set(found or ()))
-
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(block, doc_id, text): one range sort of the rows; each partition is a block, in which every row is followed by its successor.
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = 20_000) -> DataFrame:
-    """(block, guest, doc_id, text), dealt in ranges of blocks and sorted: in each block every row is followed by its successor.
-
-    Ids are cut into blocks of consecutive ids by quantiles, so blocks are alike however the ids are spread; the first
-    rows of each block are also sent, as guests, to the end of the block before (of the first block: to the last).
-    Only the cuts, a few for each task, reach the driver.  The texts are shuffled once.
+    Rows of one id, or without any, are dealt by the beginning of their texts as well, so they share a task only if
+    these agree too.  The texts are shuffled once.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = rows.select("doc_id")
-    parts = max(1, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), ids.count()))
-    parts = max(parts, -(-ids.count() // rows_per_block) if parts > 1 else 1)
-    cuts = np.array(_cuts(ids, parts), np.int64)
-
-    @F.pandas_udf("long")
-    def block_of(doc_id: pd.Series) -> pd.Series:
-        known = doc_id.notna().to_numpy()
-        out = np.zeros(len(doc_id), np.int64)  # rows without an id are the first
-        out[known] = np.searchsorted(cuts, doc_id[known].to_numpy(dtype=np.int64), side="right")
-        return pd.Series(out)
-
-    placed = rows.withColumn("block", block_of("doc_id"))
-    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
-    heads = sorted((r.block, r["first"].doc_id) for r in ids.withColumn("block", block_of("doc_id")).groupBy("block").agg(first).collect())
-    table = [(b, i, heads[k - 1][0]) for k, (b, i) in enumerate(heads)]
-    heads = spark.createDataFrame(table, "head_block long, head_id long, before long")
-    own = F.struct(F.col("block").alias("block"), F.lit(False).alias("guest"))
-    guest = F.struct(F.col("before").alias("block"), F.lit(True).alias("guest"))
-    return (
-        placed.join(F.broadcast(heads), F.col("block") == F.col("head_block"))
-        .select("doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("head_id")), F.array(own, guest)).otherwise(F.array(own))).alias("place"))
-        .select("place.block", "place.guest", "doc_id", "text")
-        .repartitionByRange("block")
-        .sortWithinPartitions("block", "guest", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    )
-
-
-OUT = pa.schema([
-    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
-    ("near_edited", pa.float64()), ("near_next", pa.float64()), ("common_edited", pa.int64()), ("common_next", pa.int64()),
-])
-OUT_DDL = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double, common_edited long, common_next long"
-)
+    rows = docs.select(with_id(docs, id_col), F.col(text_col).alias("text"))
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.col("doc_id").asc_nulls_first()
+    dealt = rows.repartitionByRange(parts, first, F.substring("text", 1, 32).asc_nulls_first()).sortWithinPartitions(first, F.col("text").asc_nulls_first())
+    return dealt.select(F.spark_partition_id().cast("long").alias("block"), "doc_id", "text")
+
+
+OUT = {
+    "doc_id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string",
+    "near_edited": "double", "near_next": "double", "common_edited": "long", "common_next": "long",
+}
+EDGES = {"block": "long", "edge": "string", "text": "string"}
+FIRST, LAST = "first", "last"
 BATCH = 500
 
 
@@ -218,34 +186,47 @@ def _compare(this: _Seen, after: _Seen) -> tuple:
     )
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The compared rows of a partition, in order; one text and its successor are held at a time."""
-    block, this, closed = None, None, False
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The compared rows of a block, in order, and its two ends; one text and its successor are held at a time."""
+    this = block = None
     for batch in batches:
-        for b, guest, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if b != block:
-                block, this, closed = b, None, False
-            if closed:
-                continue
+        for row in range(batch.num_rows):
+            block, doc_id, text = (batch.column(i)[row].as_py() for i in range(3))
             here = _Seen(doc_id, text or "")
-            if this is not None:
-                yield _compare(this, here)
-            this, closed = here, guest
+            if this is None:
+                yield (doc_id, *[None] * 8, block, FIRST, text)
+            else:
+                yield (*_compare(this, here), None, None, None)
+            this = here
+    if this is not None:
+        yield (this.id, *[None] * 8, block, LAST, this.text)
+
 
+def _joined_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Compared rows of (doc_id, text, next text), the last rows of their blocks."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            doc_id, text, after = (batch.column(i)[row].as_py() for i in range(3))
+            yield _compare(_Seen(doc_id, text or ""), _Seen(None, after or ""))
 
-def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
 
-    def flush():
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), OUT, strict=True)], schema=OUT)
+def _in_batches(rows, schema: pa.Schema):
+    """A ``mapInArrow`` function that gives the tuples of ``rows`` in batches bounded in number and in characters."""
 
-    for row in _pairs(batches):
-        held.append(row)
-        if len(held) >= BATCH:
-            yield flush()
-            held.clear()
-    if held:
-        yield flush()
+    def flush(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for row in rows(batches):
+            held.append(row)
+            if len(held) >= BATCH:
+                yield flush(held)
+                held.clear()
+        if held:
+            yield flush(held)
+
+    return run
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,16 +235,26 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edit replaces the last ``floor(n_chars / 2)`` code points by as many (or all) of the first of the document
     with the next id.  ``near_edited`` and ``near_next`` come from the fingerprints alone; ``common_edited`` and
     ``common_next`` are longest common extensions from the start, in code points.
-    """
-    return with_next(docs, id_col, text_col).mapInArrow(_fingerprint_rows, OUT_DDL)
 
-
-PRINTS = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])
+    Runs when it is called: blocks of consecutive ids are compared inside and written with the texts at their two ends,
+    then the last row of each block meets the first of the next one (of the last block: of the first) by joins.  The
+    next block is found in one window over the numbers of the blocks, four for each shuffle partition, whatever the rows.
+    """
+    rows = with_next(docs, id_col, text_col)
+    own = OUT | {"doc_id": rows.schema["doc_id"].dataType.simpleString()}
+    done = materialize(rows.mapInArrow(_in_batches(_block_rows, arrow_schema(own | EDGES)), ddl(own | EDGES)), "fingerprints")
+    first = done.filter(F.col("edge") == FIRST).select(F.col("block").alias("next_block"), F.col("text").alias("next_text"))
+    order = Window.orderBy("next_block")
+    after = F.coalesce(F.lead("next_block").over(order), F.first("next_block").over(order))
+    follows = first.select("next_block").select(F.col("next_block").alias("block"), after.alias("next_block"))
+    ends = done.filter(F.col("edge") == LAST).join(follows, "block").join(first, "next_block").select("doc_id", "text", "next_text")
+    return done.filter("edge is null").select(*own).unionByName(ends.mapInArrow(_in_batches(_joined_rows, arrow_schema(own)), ddl(own)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint) of every whole text, in one pass without a shuffle."""
+
     def rows(ids, texts):
         return {"doc_id": ids, "fingerprint": [_Seen(i, t).print for i, t in zip(ids, texts, strict=True)]}
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(map_texts(rows, PRINTS), "doc_id long, fingerprint string")
+    return map_documents(docs, rows, {"fingerprint": "string"}, id_col, text_col)

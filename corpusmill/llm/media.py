@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import chunks_of, map_texts
+from ._batches import map_documents
 
 FRAME_SIDE = 24
 FRAME_BYTES = FRAME_SIDE * FRAME_SIDE
@@ -287,21 +287,20 @@ def feature_of(media: bytes, info: dict) -> str:
     )
 
 
-DIGEST = pa.schema([
-    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-    ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
-])
+DIGEST = {
+    "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string",
+}
 
 
 def _digest(ids: list, texts: list[str]) -> dict[str, list]:
-    out: dict[str, list] = {f: [] for f in DIGEST.names}
+    out: dict[str, list] = {f: [] for f in ("doc_id", *DIGEST)}
     for i, text in zip(ids, texts, strict=True):
         raw = text.encode()
         media = write_container(padded(raw))
         info = read_container(media)
         back = stored_bytes(media, info)
         row = (i, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(media, info))
-        for name, value in zip(DIGEST.names, row, strict=True):
+        for name, value in zip(out, row, strict=True):
             out[name].append(value)
     return out
 
@@ -310,20 +309,16 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: its text stored as a container and read back, with digests of both.
 
     Null and empty texts are one frame of padding; repeated rows give repeated rows; other columns are ignored.
-    One pass without a shuffle; a task holds one Arrow batch and one container.
+    Ids that are no whole numbers are text and kept; an empty table gives an empty result.  One pass without a shuffle;
+    a task holds one Arrow batch and one container, of a very long text the whole.
     """
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(
-        map_texts(_digest, DIGEST), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+    return map_documents(docs, _digest, DIGEST, id_col, text_col)
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, media): every text stored losslessly as a container, for a binary column of a table."""
 
-    def rows(batches):
-        for batch in batches:
-            for part, texts in chunks_of(batch, 1):
-                media = pa.array([write_container(padded(t.encode())) for t in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), media], names=["doc_id", "media"])
+    def rows(ids, texts):
+        return {"doc_id": ids, "media": [write_container(padded(t.encode())) for t in texts]}
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(rows, "doc_id long, media binary")
+    return map_documents(docs, rows, {"media": "binary"}, id_col, text_col)

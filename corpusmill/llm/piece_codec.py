@@ -26,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._batches import map_texts
+from ._batches import ddl, map_documents, with_id
 
 BLANK = "▁"  # stands for a blank in the vocabulary
 UNKNOWN = " ⁇ "  # how the unknown piece reads
@@ -322,9 +321,6 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-
-
 def piece_ids(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): the ids of every whole text with begin and end.
 
@@ -335,10 +331,7 @@ def piece_ids(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str
         c = codec(model)
         return {"doc_id": ids, "ids": [np.concatenate(([c.begin], x, [c.end])) for x in c.encode(texts)]}
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(map_texts(rows, IDS), "doc_id long, ids array<int>")
-
-
-TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    return map_documents(docs, rows, {"ids": "array<int>"}, id_col, text_col)
 
 
 def piece_texts(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -348,16 +341,20 @@ def piece_texts(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col:
         c = codec(model)
         for batch in batches:
             ids = [np.array(x or [], np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.decode(ids), pa.string())], names=TEXTS.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.decode(ids), pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long"), ids_col).mapInArrow(rows, "doc_id long, text string")
+    named = encoded.select(with_id(encoded, id_col), ids_col)
+    return named.mapInArrow(rows, ddl({"doc_id": named.schema["doc_id"].dataType.simpleString(), "text": "string"}))
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+DIGEST = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
 def piece_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every whole text encoded with begin and end, then decoded."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every whole text encoded with begin and end, then decoded.
+
+    Ids that are no whole numbers are text and kept; an empty table gives an empty result.
+    """
 
     def rows(ids, texts):
         c = codec(model)
@@ -369,6 +366,4 @@ def piece_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in c.decode(coded)],
         }
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(
-        map_texts(rows, DIGEST, 2_000_000), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    return map_documents(docs, rows, DIGEST, id_col, text_col, 2_000_000)

@@ -20,12 +20,10 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._batches import map_texts
+from ._batches import map_documents
 
 # Fixed values of the tokenizer's format: white space as its regular expressions read it, the split pattern, and the
 # bytes that stand for themselves in the vocabulary (the others are moved to 256 and up, in order).
@@ -186,7 +184,7 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("fitting_chars", pa.int64())])
+COUNTS = {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean", "fitting_chars": "long"}
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,23 +192,20 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
 
     ``fitting_chars`` is the length of the longest prefix, cut at any character, with at most ``limit`` tokens.
     ``vocabulary`` is the path of a tokenizers JSON file that every executor can read.  One pass without a shuffle.
+    Ids that are no whole numbers are text and kept; an empty table gives an empty result; a very long text costs the
+    memory of its bytes and their counts.
     """
 
     def rows(ids, texts):
         count = counter(vocabulary)
-        out: dict[str, list] = {f: [] for f in COUNTS.names}
+        out: dict[str, list] = {f: [] for f in ("doc_id", *COUNTS)}
         for i, text in zip(ids, texts, strict=True):
             tokens, fits = count.count(text, limit)
-            for name, value in zip(COUNTS.names, (i, len(text.encode()), tokens, tokens > limit, fits), strict=True):
+            for name, value in zip(out, (i, len(text.encode()), tokens, tokens > limit, fits), strict=True):
                 out[name].append(value)
         return out
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(
-        map_texts(rows, COUNTS), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long"
-    )
-
-
-PREFIXES = pa.schema([("doc_id", pa.int64()), ("counts", pa.list_(pa.int32()))])
+    return map_documents(docs, rows, COUNTS, id_col, text_col)
 
 
 def prefix_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,4 +218,4 @@ def prefix_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         count = counter(vocabulary)
         return {"doc_id": ids, "counts": [count.prefixes(t) for t in texts]}
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(map_texts(rows, PREFIXES), "doc_id long, counts array<int>")
+    return map_documents(docs, rows, {"counts": "array<int>"}, id_col, text_col)

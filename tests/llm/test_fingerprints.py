@@ -64,3 +64,27 @@ def test_likeness_follows_the_shared_part(prose):
         cut = int(len(a) * share)
         x, y = (fp.PrefixHashes.of(t) for t in (a, a[:cut] + prose(2, 400)[: len(a) - cut]))
         assert abs(fp.likeness(fp.fingerprint(x, x.sketch()), fp.fingerprint(y, y.sketch())) - share) < 0.17
+
+
+def test_blocks_meet_across_empty_ones_and_copies(table, prose):
+    """Few distinct ids leave most blocks empty; many rows of one id, or without one, are dealt by their texts."""
+    rows = [(None if i % 3 else 5, prose(i, 3), None, None, 0) for i in range(200)] + [(9, "end", None, None, 0)] * 3
+    got = fp.edited_fingerprints(table(rows)).collect()
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr) == brute([(r[0], r[1]) for r in rows])
+    assert fp.with_next(table(rows)).filter("doc_id is null").select("block").distinct().count() > 4
+    for n in (1, 2, 3):
+        got = fp.edited_fingerprints(table(rows[:n]).coalesce(1)).collect()
+        assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr) == brute([(r[0], r[1]) for r in rows[:n]])
+
+
+def test_no_plan_node_takes_all_texts(table, prose):
+    """Texts move in one range exchange; the window sees numbers of blocks only."""
+    import contextlib
+    import io
+
+    out = fp.edited_fingerprints(table([(i, prose(i, 20), None, None, 0) for i in range(50)]))
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        out.explain()
+    single = [line for line in shown.getvalue().splitlines() if "SinglePartition" in line]
+    assert len(single) <= 1 and "text" not in "".join(single)

@@ -18,15 +18,15 @@ named are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.plans.scratch import materialize
-
 from ._batches import arrow_schema, ddl, map_documents, with_id
 
 PRIMES = (2_147_483_647, 2_147_483_629)
@@ -142,25 +142,50 @@ def likeness(a: str, b: str) -> float:
     return float(2 * shared / (1 + shared))
 
 
+KEY = 32  # characters of a text that tell rows of one id apart when blocks are cut
+
+
+def _key(doc_id, head: str | None) -> tuple:
+    return (doc_id is not None, doc_id if doc_id is not None else 0, head is not None, head or "")
+
+
+def _block_firsts(keys: DataFrame, parts: int) -> list[tuple]:
+    """The least (doc_id, head) of each of at most ``parts`` blocks, in order, from a range sort of the keys."""
+    dealt = keys.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("head").asc_nulls_first())
+    least = dealt.groupBy(F.spark_partition_id().alias("at")).agg(F.min(F.struct("doc_id", "head")).alias("least"))
+    return sorted(_key(r.least.doc_id, r.least["head"]) for r in least.collect())
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(block, doc_id, text): one range sort of the rows; each partition is a block, in which every row is followed by its successor.
+    """(block, guest, doc_id, text), dealt by blocks and sorted: in each block every row is followed by its successor.
 
-    Rows of one id, or without any, are dealt by the beginning of their texts as well, so they share a task only if
-    these agree too.  The texts are shuffled once.
+    Blocks are ranges of ids, and of the beginnings of texts among rows of one id or without any, so these share a task
+    only if both agree.  The first row of each block is also sent, as a guest, to the end of the block before (of the
+    first block: to the last).  There are at most four blocks for each shuffle partition, whatever the number of rows,
+    and only their first keys reach the driver, when this is called.  The texts are shuffled once.
     """
-    rows = docs.select(with_id(docs, id_col), F.col(text_col).alias("text"))
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = F.col("doc_id").asc_nulls_first()
-    dealt = rows.repartitionByRange(parts, first, F.substring("text", 1, 32).asc_nulls_first()).sortWithinPartitions(first, F.col("text").asc_nulls_first())
-    return dealt.select(F.spark_partition_id().cast("long").alias("block"), "doc_id", "text")
+    spark = docs.sparkSession
+    rows = docs.select(with_id(docs, id_col), F.col(text_col).alias("text")).withColumn("head", F.substring("text", 1, KEY))
+    firsts = _block_firsts(rows.select("doc_id", "head"), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, len(firsts))
+
+    @F.arrow_udf("struct<block: long, least: boolean>")
+    def place(doc_id: pa.Array, head: pa.Array) -> pa.Array:
+        keys = [_key(i, h) for i, h in zip(doc_id.to_pylist(), head.to_pylist(), strict=True)]
+        at = [bisect_right(firsts, k) - 1 for k in keys]
+        return pa.StructArray.from_arrays([pa.array(at, pa.int64()), pa.array([firsts[b] == k for b, k in zip(at, keys, strict=True)], pa.bool_())], ["block", "least"])
+
+    placed = rows.withColumn("place", place("doc_id", "head"))
+    guests = placed.filter("place.least").groupBy("place.block").agg(F.min(F.struct("doc_id", "text")).alias("it"))
+    guests = guests.select(F.pmod(F.col("block") - 1, F.lit(n)).alias("block"), F.lit(True).alias("guest"), "it.doc_id", "it.text")
+    own = placed.select("place.block", F.lit(False).alias("guest"), "doc_id", "text")
+    return own.unionByName(guests).repartition("block").sortWithinPartitions("block", "guest", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
 
 OUT = {
     "doc_id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string",
     "near_edited": "double", "near_next": "double", "common_edited": "long", "common_next": "long",
 }
-EDGES = {"block": "long", "edge": "string", "text": "string"}
-FIRST, LAST = "first", "last"
 BATCH = 500
 
 
@@ -186,47 +211,20 @@ def _compare(this: _Seen, after: _Seen) -> tuple:
     )
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The compared rows of a block, in order, and its two ends; one text and its successor are held at a time."""
-    this = block = None
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The compared rows of a partition, in order; one text and its successor are held at a time."""
+    block, this, closed = None, None, False
     for batch in batches:
         for row in range(batch.num_rows):
-            block, doc_id, text = (batch.column(i)[row].as_py() for i in range(3))
+            b, guest, doc_id, text = (batch.column(i)[row].as_py() for i in range(4))
+            if b != block:
+                block, this, closed = b, None, False
+            if closed:
+                continue
             here = _Seen(doc_id, text or "")
-            if this is None:
-                yield (doc_id, *[None] * 8, block, FIRST, text)
-            else:
-                yield (*_compare(this, here), None, None, None)
-            this = here
-    if this is not None:
-        yield (this.id, *[None] * 8, block, LAST, this.text)
-
-
-def _joined_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Compared rows of (doc_id, text, next text), the last rows of their blocks."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            doc_id, text, after = (batch.column(i)[row].as_py() for i in range(3))
-            yield _compare(_Seen(doc_id, text or ""), _Seen(None, after or ""))
-
-
-def _in_batches(rows, schema: pa.Schema):
-    """A ``mapInArrow`` function that gives the tuples of ``rows`` in batches bounded in number and in characters."""
-
-    def flush(held):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for row in rows(batches):
-            held.append(row)
-            if len(held) >= BATCH:
-                yield flush(held)
-                held.clear()
-        if held:
-            yield flush(held)
-
-    return run
+            if this is not None:
+                yield _compare(this, here)
+            this, closed = here, guest
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,21 +232,19 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edit replaces the last ``floor(n_chars / 2)`` code points by as many (or all) of the first of the document
     with the next id.  ``near_edited`` and ``near_next`` come from the fingerprints alone; ``common_edited`` and
-    ``common_next`` are longest common extensions from the start, in code points.
-
-    Runs when it is called: blocks of consecutive ids are compared inside and written with the texts at their two ends,
-    then the last row of each block meets the first of the next one (of the last block: of the first) by joins.  The
-    next block is found in one window over the numbers of the blocks, four for each shuffle partition, whatever the rows.
+    ``common_next`` are longest common extensions from the start, in code points.  The keys of the blocks are sorted when
+    it is called (:func:`with_next`); everything else is lazy.
     """
     rows = with_next(docs, id_col, text_col)
     own = OUT | {"doc_id": rows.schema["doc_id"].dataType.simpleString()}
-    done = materialize(rows.mapInArrow(_in_batches(_block_rows, arrow_schema(own | EDGES)), ddl(own | EDGES)), "fingerprints")
-    first = done.filter(F.col("edge") == FIRST).select(F.col("block").alias("next_block"), F.col("text").alias("next_text"))
-    order = Window.orderBy("next_block")
-    after = F.coalesce(F.lead("next_block").over(order), F.first("next_block").over(order))
-    follows = first.select("next_block").select(F.col("next_block").alias("block"), after.alias("next_block"))
-    ends = done.filter(F.col("edge") == LAST).join(follows, "block").join(first, "next_block").select("doc_id", "text", "next_text")
-    return done.filter("edge is null").select(*own).unionByName(ends.mapInArrow(_in_batches(_joined_rows, arrow_schema(own)), ddl(own)))
+    schema = arrow_schema(own)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = _pairs(batches)
+        while held := list(islice(pairs, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(compared, ddl(own))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

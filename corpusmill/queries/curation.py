@@ -190,8 +190,9 @@ def example_groups(spark, sf_dir):
 
 
 @query(
-    """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 5 = 1 THEN NULL ELSE 'PMC' || page_id || CASE WHEN page_id % 5 = 2 THEN '-x' ELSE '' END END AS key,
- 'PMC' || page_id || '||' || url || '||' AS item_key FROM pages"""
+    """WITH s AS (SELECT page_id, url, 'PMC' || page_id AS pmc, CASE page_id % 5 WHEN 0 THEN '00001-PMC' || page_id WHEN 1 THEN 'PMC' || page_id || '__fig-1' WHEN 2 THEN '00002-PMC' || page_id || '-x__fig__2' ELSE '00003-PMC' || page_id || '__fig' END AS stem FROM pages),
+ h AS (SELECT *, split_part(stem, '__', 1) AS head FROM s)
+SELECT page_id, CASE WHEN contains(stem, '__') AND contains(head, '-') THEN substr(head, strpos(head, '-') + 1) END AS key, coalesce(pmc, '') || '||' || coalesce(url, '') || '||' AS item_key FROM h"""
 )
 def stem_key_parse(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")

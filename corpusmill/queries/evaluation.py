@@ -69,14 +69,23 @@ def metrics_by_type(spark, sf_dir):
     return evaluate.score_predictions(df, ["model"]).select("model", "question_type", "n", "n_errors", F.round("exact_match", 6).alias("exact_match"))
 
 
-@query("SELECT conv_id, turn, role AS expected, CASE WHEN turn % 3 = 2 THEN NULL ELSE role END AS parsed FROM conversations")
+@query(
+    """WITH r AS (SELECT conv_id, turn, role AS expected, lower(coalesce(CASE turn % 3 WHEN 0 THEN 'The user or system? Final answer: ' || role || '.' WHEN 1 THEN 'not the system, I think ' || role ELSE 'I cannot tell' END, 'None')) AS raw FROM conversations),
+ l AS (SELECT *, trim(string_split(trim(string_split(raw, 'final answer:')[-1]), 'answer:')[-1]) AS low FROM r),
+ c AS (SELECT *, list_filter(['user', 'assistant', 'system'], lambda x: x = trim(regexp_replace(low, '[^a-z0-9-]+', ' ', 'g'))) AS same,
+  list_filter(list_transform(['user', 'assistant', 'system'], lambda x: {'at': length(regexp_extract(' ' || low || ' ', '^(.*[^a-z0-9])' || x || '[^a-z0-9].*$', 1)), 'c': x}), lambda h: h.at > 0) AS hits FROM l)
+SELECT conv_id, turn, expected, CASE WHEN len(same) > 0 THEN same[-1] WHEN len(hits) > 0 THEN list_max(hits).c END AS parsed FROM c"""
+)
 def candidate_parse(spark, sf_dir):
     raw = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("The user or system? Final answer: "), "role", F.lit("."))).when(F.col("turn") % 3 == 1, F.concat(F.lit("not the system, I think "), "role")).otherwise(F.lit("I cannot tell"))
     options = F.array(F.lit("user"), F.lit("assistant"), F.lit("system"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("expected"), T.parse_candidate(raw, options).alias("parsed"))
 
 
-@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'different' WHEN 2 THEN NULL ELSE 'kept' END AS answer FROM conversations")
+@query(
+    """WITH r AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN ' Yes. ' WHEN 1 THEN 'NO!' WHEN 2 THEN 'maybe' ELSE 'yes' END AS raw, CASE WHEN turn % 4 = 3 THEN 'kept' END AS given FROM conversations)
+SELECT conv_id, turn, coalesce(given, CASE regexp_replace(lower(trim(raw)), '[^a-z]+', '', 'g') WHEN 'yes' THEN 'same' WHEN 'no' THEN 'different' END) AS answer FROM r"""
+)
 def yes_no_normalise(spark, sf_dir):
     kind = F.col("turn") % 4
     raw = F.when(kind == 0, F.lit(" Yes. ")).when(kind == 1, F.lit("NO!")).when(kind == 2, F.lit("maybe")).otherwise(F.lit("yes"))

@@ -54,7 +54,11 @@ def panel_bucket_hist(spark, sf_dir):
     return per_image.groupBy(boxes.panel_bucket(F.col("n")).alias("bucket")).agg(F.count(F.lit(1)).alias("images"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS stem, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN '/img/' || o_orderkey || '.jpg' ELSE '/img/' || o_orderkey || '.png' END AS path FROM orders")
+@query(
+    """WITH s AS (SELECT CAST(o_orderkey AS VARCHAR) AS stem, o_orderkey % 3 AS kind FROM orders), f AS (SELECT stem, unnest(CASE kind WHEN 1 THEN ['.jpg', '.gif'] ELSE ['.jpeg', '.png'] END) AS extension FROM s WHERE kind > 0),
+ r AS (SELECT stem, '/img/' || stem || extension AS path, row_number() OVER (PARTITION BY stem ORDER BY list_position(['.png', '.jpg', '.jpeg', '.gif'], extension)) AS place FROM f)
+SELECT s.stem, r.path FROM s LEFT JOIN r ON r.stem = s.stem AND r.place = 1"""
+)
 def extension_probe(spark, sf_dir):
     stems = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("stem"), (F.col("o_orderkey") % 3).alias("kind"))
     files = stems.filter("kind > 0").select("stem", F.explode(F.when(F.col("kind") == 1, F.array(F.lit(".jpg"), F.lit(".gif"))).otherwise(F.array(F.lit(".jpeg"), F.lit(".png")))).alias("extension"))

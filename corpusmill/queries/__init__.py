@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curation, datasets, evaluation, extensions, incremental, items
+from . import curation, datasets, evaluation, extensions, forms, incremental, items
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "curation", "datasets", "evaluation", "extensions", "incremental", "items"]
+__all__ = ["ORACLES", "QUERIES", "curation", "datasets", "evaluation", "extensions", "forms", "incremental", "items"]

@@ -6,7 +6,7 @@ from corpusmill.queries import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("cut", [493, 496, 499])
-@pytest.mark.parametrize("name", ["constrained_assignment"])
+@pytest.mark.parametrize("name", ["constrained_assignment", "figure_modes"])
 def test_last_figure_may_be_incomplete(spark, small, tmp_path, name, cut):
     spark.read.parquet(f"{small}/embeddings.parquet").filter(F.col("vec_id") < cut).coalesce(1).write.parquet(str(tmp_path / "parts"))
     (part,) = (tmp_path / "parts").glob("*.parquet")

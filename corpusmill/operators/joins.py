@@ -44,10 +44,14 @@ def pending(df: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
 
 
 def both_way_missing(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
-    """(key, side): keys of one table that the other lacks."""
-    left = a.select(on).distinct().join(b.select(on), on, "left_anti").withColumn("side", F.lit("only_left"))
-    right = b.select(on).distinct().join(a.select(on), on, "left_anti").withColumn("side", F.lit("only_right"))
-    return left.unionByName(right)
+    """(key, side): keys of one table that the other lacks, each once; a null key is lacking on both sides.
+
+    Both tables' keys are grouped in one pass, repeats before the shuffle; no side is sorted, and none is held for the other.
+    """
+    seen = a.select(on, F.lit(True).alias("_left")).union(b.select(on, F.lit(False)))
+    sides = seen.groupBy(on).agg(F.bool_or("_left").alias("_l"), F.bool_or(~F.col("_left")).alias("_r"))
+    lone = [F.when(F.col(x) & (~F.col(y) | F.col(on).isNull()), F.lit(side)) for x, y, side in (("_l", "_r", "only_left"), ("_r", "_l", "only_right"))]
+    return sides.select(on, F.explode(F.array_compact(F.array(*lone))).alias("side"))
 
 
 def probe_join(stems: DataFrame, files: DataFrame, stem: str = "stem", extensions: tuple[str, ...] = (".png", ".jpg", ".jpeg", ".gif")) -> DataFrame:

@@ -28,10 +28,14 @@ def merged_sketch_stats(spark, sf_dir):
     shares = F.array(*(F.lit(q) for q in QUANTILES))
     told = [merged.select("flag", F.lit(c).alias("column"), F.col(f"{c}_n").alias("n"), F.col(f"{c}_low").alias("low"), F.col(f"{c}_high").alias("high"), F.array(*(sketches.quantile(c, q) for q in QUANTILES)).alias("q"), sketches.distinct_count(c).alias("different")) for c in columns]
     long = lines.select("flag", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("flag", "x.*").withColumnRenamed("flag", "f").withColumnRenamed("column", "c")
-    both = told[0].union(told[1]).join(long, F.expr("f <=> flag and c = column"), "left")
-    counted = both.groupBy("flag", "column", "n", "low", "high", "q", "different").agg(
-        *(F.count_if(F.col("v") < F.col("q")[i]).alias(f"below{i}") for i in range(3)), *(F.count_if(F.col("v") <= F.col("q")[i]).alias(f"upto{i}") for i in range(3)), F.count_distinct("v").alias("exact")
-    )
+    # a row for each flag and column: the lines stay where they are and the few rows go to them
+    told = told[0].union(told[1])
+    marked = long.join(F.broadcast(told.select(F.col("flag").alias("tf"), F.col("column").alias("tc"), "q")), F.expr("f <=> tf and c = tc"))
+    # each value once with how often it occurs, then one small row for each flag and column
+    values = marked.groupBy("f", "c", "q", "v").agg(F.count("v").alias("times"))
+    times = lambda held: F.sum(F.when(held, F.col("times")).otherwise(0))
+    counts = values.groupBy("f", "c").agg(*(times(F.col("v") < F.col("q")[i]).alias(f"below{i}") for i in range(3)), *(times(F.col("v") <= F.col("q")[i]).alias(f"upto{i}") for i in range(3)), F.count("v").alias("exact"))
+    counted = told.join(F.broadcast(counts), F.expr("flag <=> f and column = c"), "left")
     error = 2 * sketches.rank_error()
     ok = [F.coalesce((F.col(f"below{i}") <= (shares[i] + error) * F.col("n") + 1) & (F.col(f"upto{i}") >= (shares[i] - error) * F.col("n") - 1), F.lit(True)).alias(f"q{int(100 * q)}_ok") for i, q in enumerate(QUANTILES)]
     near = F.abs(F.col("different") - F.col("exact")) <= sketches.distinct_error() * F.col("exact") + 1

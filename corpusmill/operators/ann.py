@@ -23,7 +23,8 @@ SAMPLE = 20_000  # vectors that the centroids are fitted on at most
 MAX_CELLS = 4_096
 ROUNDS = 8
 PARTS = 8
-CHUNK = 1_024
+CHUNK = 128  # vectors that are compared with all centroids at once
+COPIES = 8_192  # rows that a task makes at once, one for each vector and probe
 CELLS_A_ROOT = 8  # cells for each unit of the root of the number of rows
 TUNING = 200  # queries that the number of probes is chosen by at most
 
@@ -50,7 +51,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _nearest(v: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
     """The places of the ``probes`` nearest centroids by inner product, ties to the first."""
-    return np.argsort(-np.round(_unit(v) @ centroids.T, 9), axis=1, kind="stable")[:, :probes]
+    near = np.round(_unit(v) @ centroids.T, 9)
+    return near.argmax(1)[:, None] if probes == 1 else np.argsort(-near, axis=1, kind="stable")[:, :probes]
 
 
 def _cell_sums(centroids: np.ndarray):
@@ -70,10 +72,12 @@ def _cell_sums(centroids: np.ndarray):
 def _assigned(df: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     """(cell, id, v): each row once for each of its nearest ``probes`` cells."""
 
+    step = max(1, min(CHUNK, COPIES // max(1, probes)))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(start, CHUNK)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
                 cells = _nearest(_matrix(part.column(1)), centroids, probes)
                 at = pa.array(np.repeat(np.arange(part.num_rows), cells.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int64()), part.column(0).take(at), part.column(1).take(at)], names=["cell", "id", "v"])
@@ -131,9 +135,10 @@ def probes_for(index: Index, queries: DataFrame, gallery: DataFrame, k: int, tar
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                order = _nearest(_matrix(batch.column(1)), centroids, len(centroids))
-                yield pa.RecordBatch.from_arrays([pa.array((order == batch.column(0).to_numpy()[:, None]).argmax(1) + 1, pa.int64())], names=["place"])
+            for start in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(start, CHUNK)
+                order = _nearest(_matrix(part.column(1)), centroids, len(centroids))
+                yield pa.RecordBatch.from_arrays([pa.array((order == part.column(0).to_numpy()[:, None]).argmax(1) + 1, pa.int64())], names=["place"])
 
     # no more rows than there are cells
     counts = where.select("cell", "v").mapInArrow(place, "place long").groupBy("place").agg(F.count(F.lit(1)).alias("n")).orderBy("place").collect()

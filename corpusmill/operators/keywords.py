@@ -1,4 +1,7 @@
-"""Tables of thousands of keywords, found in texts by their rarest pieces.
+"""Tables of thousands of keywords, found in texts by their words or their rarest pieces.
+
+A table of at most BROADCAST_KEYWORDS goes to every task, which looks through each different word of its texts once.  A
+larger one is met piece by piece.
 
 A keyword can occur only where each of its pieces of four characters does.  So for each keyword the piece is chosen that
 the fewest texts hold (of the whole table of texts), and a text is compared with those keywords alone whose chosen piece
@@ -8,14 +11,19 @@ ten does, where a condition for each keyword would cost a thousand times more.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusmill.plans.scratch import materialize
 
 PIECE = 4
 BLOCK = 20_000  # pieces that a text is held against at once
 BROADCAST_KEYWORDS = 100_000
+KNOWN_WORDS, LONG_WORD = 100_000, 64  # words of texts, of so many characters at most, whose keywords a task remembers
 
 
 def _pieces(chars: Column, size: int) -> Column:
@@ -51,16 +59,55 @@ def _held(texts: DataFrame, pieces: DataFrame, sizes: list[int], keep: list[str]
     return _text_pieces(texts, sizes).join(blocks).select(*keep, F.explode(F.array_intersect("own", "wanted")).alias("piece"))
 
 
+def _looked_up(id_col: str, words: list[str]):
+    """Rows of (id, keyword) from (text_id, low): each different word of a text is looked through once a task, as texts share most of them.
+
+    Keywords without blanks lie inside a word; those with blanks are looked for at every place of the text.
+    """
+    whole = {w for w in words if w.split() == [w]}
+    spaced = set(words) - whole
+
+    def held(text: str, table: set[str], sizes: list[int]) -> set[str]:
+        return {cut for n in sizes for i in range(len(text) - n + 1) if (cut := text[i : i + n]) in table}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, spaced_sizes = sorted({len(w) for w in whole}), sorted({len(w) for w in spaced})
+        known: dict[str, tuple] = {}
+        for batch in batches:
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                at, hits = [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    found = held(text, spaced, spaced_sizes)
+                    for word in set(text.split()):
+                        inside = known.get(word)
+                        if inside is None:
+                            inside = tuple(held(word, whole, sizes))
+                            if len(word) <= LONG_WORD:
+                                if len(known) >= KNOWN_WORDS:
+                                    known.clear()
+                                known[word] = inside
+                        found.update(inside)
+                    at += [i] * len(found)
+                    hits += found
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(hits, pa.string())], names=[id_col, "keyword"])
+
+    return rows
+
+
 def keyword_hits(texts: DataFrame, keywords: DataFrame, id_col: str, text_col: str, keyword_col: str = "keyword") -> DataFrame:
     """(id, keyword), once for each row of ``texts`` and each different keyword that its lower-cased text contains.
 
     Null and empty keywords, and those that hold upper case, occur nowhere; null texts hold none; rows with equal ids
-    stay apart.  The keywords' pieces are written and counted when it is called, the hits are lazy.
+    stay apart.  The keywords (of a large table, their pieces) are read when it is called, the hits are lazy.
     """
     words = keywords.select(F.col(keyword_col).alias("keyword")).filter("keyword <> '' and keyword = lower(keyword)").distinct()
+    low = texts.select(F.col(id_col).alias("text_id"), F.lower(text_col).alias("low")).filter("low is not null")
+    table = words.limit(BROADCAST_KEYWORDS + 1).collect()  # a table this small goes to every task
+    if len(table) <= BROADCAST_KEYWORDS:
+        kind = StructType([StructField(id_col, texts.schema[id_col].dataType), StructField("keyword", StringType())])
+        return low.mapInArrow(_looked_up(id_col, [r.keyword for r in table]), kind)
     pieces = materialize(_keyword_pieces(words), "keyword-pieces")
     sizes = sorted(r["size"] for r in pieces.select("size").distinct().collect())  # four at most
-    low = texts.select(F.col(id_col).alias("text_id"), F.lower(text_col).alias("low")).filter("low is not null")
     if not sizes:
         return low.select(F.col("text_id").alias(id_col), F.lit("").alias("keyword")).filter("false")
     # pieces are counted without their texts; whether the keywords' pieces are broadcast follows from their written size

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -207,9 +208,13 @@ def _trainable() -> Column:
 
 def _sample_rows(batch: pa.RecordBatch, at: list[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Padded panels, question vectors and mask of some rows of (.., panels, question_vector) at columns 2 and 3."""
-    sets, asked = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-    panels, empty = pad_sets([sets[i] or [] for i in at], width)
-    return panels, np.array([asked[i] for i in at], np.float64).reshape(len(at), width), empty
+    part = batch.take(pa.array(at, pa.int64()))
+    counts = pc.fill_null(pc.list_value_length(part.column(2)), 0).to_numpy(zero_copy_only=False)
+    flat = part.column(2).flatten().flatten().to_numpy(zero_copy_only=False)
+    empty = np.arange(max(counts.max(initial=0), 1)) >= counts[:, None]
+    panels = np.zeros((*empty.shape, width))
+    panels[~empty] = flat.reshape(-1, width)
+    return panels, part.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), width), empty
 
 
 def gradient_sums(train: DataFrame, network: Network, width: int, groups: int = 16) -> tuple[float, int, dict]:

@@ -212,6 +212,10 @@ def pane_revisions(rows: DataFrame, batches: int = BATCHES, salts: int = SALTS)
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # small states would reserve megabytes each
+    # every start has stores of its own, so none of an ended start may stay open beside the next one's
+    session.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")
     session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))  # a new session has the default
     for batch in range(batches):

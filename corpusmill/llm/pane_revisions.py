@@ -1,21 +1,20 @@
-"""Hourly panes with revisions: two stateful operators against skew.
+"""Hourly panes with revisions: salted shards against skew before a stateful merger.
 
 Rows come in batches.  A streaming query is started anew for every batch on one
 checkpoint and counts rows by pane, an event hour of one kind.  Each Arrow
-batch is summed by pane before the shuffle.  The first operator is keyed by pane
-and salt: its shards add partial sums to their state and forward none of them
-while rows arrive.  The punctuation of a batch is the timer that every live key
-keeps: it comes after the batch's rows, also for keys without any, and then a
-shard forwards its delta and forgets it.  The second operator is keyed by pane
-alone.  It combines the deltas, and at its own punctuation decides what is
-published: totals when they are due, retractions and replacements of published
-totals, and the end of the pane.  A hot pane thus meets in one task only as one
-row for each salt.
+batch is summed by pane before the shuffle.  Shards are dealt by pane and salt:
+they add up partial sums and forward none of them while rows arrive, but once
+the batch's rows are through.  So nothing of a shard outlives a batch, and it
+needs no state store.  The merger is keyed by pane alone and keeps the totals in
+state.  It combines the deltas and decides what is published: totals when they
+are due, retractions and replacements of published totals, and the end of the
+pane.  A hot pane thus meets in one task only as one row for each salt.  A pane
+without rows in a batch is called by the timeout that every live pane keeps.
 
 Time is W, the greatest event time of all earlier batches.  A pane is due when W
 is at its end plus 12 hours or beyond, and closed at its end plus 2 days.  W is
 one number for each batch, the only thing that reaches the driver; whether a row
-is late follows from W alone, so late rows pass both operators without touching
+is late follows from W alone, so late rows pass shards and merger without touching
 state, spread over the salts.
 
 Each start takes one micro-batch: its rows are moved into the source's folder as
@@ -37,11 +36,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusmill.plans.scratch import move, scratch_folder
 
@@ -54,9 +55,9 @@ SALTS = 4
 
 ROWS = "click_id long, event_us long, kind string, cents long, punctuation boolean"
 PARTIAL = pa.schema([("hour", pa.int64()), ("kind", pa.string()), ("salt", pa.int64()), ("late", pa.bool_()), ("click_id", pa.int64()), ("n_rows", pa.int64()), ("cents", pa.int64())])
-DELTA = "hour long, kind string, lane long, late boolean, click_id long, n_rows long, cents long"
+DELTA = pa.schema([("hour", pa.int64()), ("kind", pa.string()), ("lane", pa.int64()), ("click_id", pa.string()), ("n_rows", pa.int64()), ("cents", pa.int64())])
 RECORDS = "batch long, hour long, click_id long, n_rows long, cents long, record string, kind string"
-TOTALS = "n_rows long, cents long, new_rows long, new_cents long, emitted boolean"
+TOTALS = "n_rows long, cents long, emitted boolean"
 
 
 def _micros(column: str) -> Column:
@@ -89,106 +90,81 @@ def click_batches(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
     )
 
 
+def _sums(table: pa.Table, keys: list[str], sums: list[str]) -> pa.Table:
+    return table.group_by(keys).aggregate([(c, "sum") for c in sums]).rename_columns([*keys, *sums])
+
+
 def _partial_sums(salts: int):
-    """Sums of an Arrow batch by pane, and its late rows one by one."""
+    """Sums of an Arrow batch by pane, each with a salt, and its late rows one by one."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            late = batch.column("late")
-            timely = pa.Table.from_batches([batch.filter(pc.invert(late))]).group_by(["hour", "kind"]).aggregate([("click_id", "max"), ("cents", "count"), ("cents", "sum")])
-            n, at = timely.num_rows, batch.filter(late)
+            ids = batch.column("click_id")
+            counted = pa.Table.from_batches([batch]).append_column("n_rows", pa.array([1] * batch.num_rows, pa.int64()))
+            timely = counted.filter(pc.invert(batch.column("late"))).group_by(["hour", "kind"]).aggregate([("click_id", "max"), ("n_rows", "sum"), ("cents", "sum")])
+            n = timely.num_rows
             salt = [(i or 0) % salts for i in timely["click_id_max"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [timely["hour"].combine_chunks(), timely["kind"].combine_chunks(), pa.array(salt, pa.int64()), pa.array([False] * n), pa.array([-1] * n, pa.int64()), timely["cents_count"].combine_chunks(), timely["cents_sum"].combine_chunks()], schema=PARTIAL
-            )
-            ids = at.column("click_id")
-            yield pa.RecordBatch.from_arrays(
-                [at.column("hour"), at.column("kind"), pa.array([(i or 0) % salts for i in ids.to_pylist()], pa.int64()), at.column("late"), ids, pa.array([1] * at.num_rows, pa.int64()), at.column("cents")], schema=PARTIAL
-            )
+            sums = [timely["hour"], timely["kind"], pa.array(salt, pa.int64()), pa.array([False] * n, pa.bool_()), pa.array([-1] * n, pa.int64()), timely["n_rows_sum"], timely["cents_sum"]]
+            yield from pa.Table.from_arrays(sums, schema=PARTIAL).to_batches()
+            salt = pa.array([(i or 0) % salts for i in ids.to_pylist()], pa.int64())
+            yield from counted.append_column("salt", salt).filter(batch.column("late")).select(PARTIAL.names).cast(PARTIAL).to_batches()
 
     return rows
 
 
-class Shard(StatefulProcessor):
-    """Keyed by (hour, kind, salt): holds the sums of a batch until its punctuation."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.delta = handle, handle.getValueState("delta", "n_rows long, cents long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        n = cents = 0
-        for r in rows:
-            if r.late:
-                # a lane of its own: late rows of a hot pane stay spread
-                yield Row(hour=key[0], kind=key[1], lane=1 + key[2], late=True, click_id=r.click_id, n_rows=r.n_rows, cents=r.cents)
-            else:
-                n, cents = n + r.n_rows, cents + r.cents
-        if n:
-            held = self.delta.get()
-            if held is None:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs())
-            else:
-                n, cents = n + held[0], cents + held[1]
-            self.delta.update((n, cents))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        n, cents = self.delta.get()
-        self.delta.clear()
-        yield Row(hour=key[0], kind=key[1], lane=0, late=False, click_id=-1, n_rows=n, cents=cents)
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One shard's panes: deltas are held until the batch's rows are through, late rows pass.
 
-    def close(self) -> None:
-        pass
-
-
-class Merger(StatefulProcessor):
-    """Keyed by pane: combines the shards' deltas and publishes at the punctuation of the batch.
-
-    Every pane keeps one timer, which fires in the next batch whether or not it has rows; a closed pane keeps nothing.
+    Late rows go to lanes of their own, so those of a hot pane stay spread.
+    """
+    keys, held = ["hour", "kind"], None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        late = part.filter(part["late"])
+        yield from pa.Table.from_arrays([late["hour"], late["kind"], pc.add(late["salt"], 1), late["click_id"].cast(pa.string()), late["n_rows"], late["cents"]], schema=DELTA).to_batches()
+        delta = _sums(part.filter(pc.invert(part["late"])), keys, ["n_rows", "cents"])
+        held = delta if held is None else _sums(pa.concat_tables([held, delta]), keys, ["n_rows", "cents"])
+    if held is not None:
+        n = held.num_rows
+        yield from pa.Table.from_arrays([held["hour"], held["kind"], pa.array([0] * n, pa.int64()), pa.array(["-1"] * n, pa.string()), held["n_rows"], held["cents"]], schema=DELTA).to_batches()
+
+
+class Merger:
+    """Keyed by pane: combines the shards' deltas and publishes once in a batch.
+
+    Every pane keeps a timeout, which calls it in a batch without rows of its own; a closed pane keeps nothing.
     """
 
     def __init__(self, batch: int, now_us: int | None, last: bool):
         self.batch, self.now_us, self.last = batch, now_us, last
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.totals = handle, handle.getValueState("totals", TOTALS)
-
-    def _row(self, key, record: str, n: int, cents: int, click_id: int = -1) -> Row:
-        return Row(batch=self.batch, hour=key[0], click_id=click_id, n_rows=n, cents=cents, record=record, kind=key[1])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        n = cents = 0
-        for r in rows:
-            if r.late:
-                yield self._row(key, "late", r.n_rows, r.cents, r.click_id)
-            else:
-                n, cents = n + r.n_rows, cents + r.cents
-        if n:
-            held = self.totals.get()
-            if held is None:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs())
-                held = (0, 0, 0, 0, False)
-            self.totals.update((held[0], held[1], held[2] + n, held[3] + cents, held[4]))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        old_n, old_cents, new_n, new_cents, emitted = self.totals.get()
-        n, cents = old_n + new_n, old_cents + new_cents
-        end = (key[0] + 1) * HOUR_US
-        if emitted and new_n:
-            yield self._row(key, "retract", old_n, old_cents)
-            yield self._row(key, "replace", n, cents)
-        elif not emitted and _reached(self.now_us, end + DUE_US):
+    def __call__(self, key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        hour, kind, lane = key
+        if lane:
+            for part in parts:
+                yield pd.DataFrame({"batch": self.batch, "hour": hour, "click_id": part.click_id, "n_rows": part.n_rows, "cents": part.cents, "record": "late", "kind": kind})
+            return
+        old_n, old_cents, emitted = state.get if state.exists else (0, 0, False)
+        n, cents, new = old_n, old_cents, False
+        if not state.hasTimedOut:
+            for part in parts:
+                n, cents, new = n + int(part.n_rows.sum()), cents + int(part.cents.sum()), True
+        due, closed = (_reached(self.now_us, (hour + 1) * HOUR_US + wait) for wait in (DUE_US, CLOSED_US))
+        out = []
+        if emitted and new:
+            out = [("retract", old_n, old_cents), ("replace", n, cents)]
+        elif not emitted and due:
             emitted = True
-            yield self._row(key, "emit", n, cents)
+            out = [("emit", n, cents)]
         elif not emitted and self.last:
-            yield self._row(key, "final", n, cents)
-        if _reached(self.now_us, end + CLOSED_US):
-            self.totals.clear()
-        else:
-            self.totals.update((n, cents, 0, 0, emitted))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 1)
-
-    def close(self) -> None:
-        pass
+            out = [("final", n, cents)]
+        if out:
+            yield pd.DataFrame([(self.batch, hour, "-1", rows, sum_, record, kind) for record, rows, sum_ in out], columns=["batch", "hour", "click_id", "n_rows", "cents", "record", "kind"])
+        if not closed:
+            state.update((n, cents, emitted))
+            state.setTimeoutDuration(1)
+        elif state.exists:
+            state.remove()
 
 
 def _reached(now: int | None, time: int) -> bool:
@@ -209,13 +185,13 @@ def pane_revisions(rows: DataFrame, batches: int = BATCHES, salts: int = SALTS)
     by_batch = {r.batch: r.w for r in greatest}
 
     session = spark.newSession()
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # small states would reserve megabytes each
+    # a pane's state is three numbers; RocksDB would cost each store of each start its opening and native memory that Spark does not free
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
     # every start has stores of its own, so none of an ended start may stay open beside the next one's
     session.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")
+    if spark.sparkContext._jvm.java.net.URI(folder).getScheme() in (None, "file"):
+        # on a local file system the default starts processes for each file that it renames
+        session.conf.set("spark.sql.streaming.checkpointFileManagerClass", "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager")
     session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))  # a new session has the default
     for batch in range(batches):
@@ -231,9 +207,10 @@ def _run_batch(session: SparkSession, folder: str, merger: Merger, salts: int) -
     late = F.lit(False) if merger.now_us is None else F.lit(merger.now_us) >= (F.col("hour") + 1) * HOUR_US + CLOSED_US
     new = session.readStream.schema(ROWS).option("recursiveFileLookup", True).parquet(f"{folder}/source").filter("not punctuation")
     new = new.select(hour.alias("hour"), "kind", "click_id", "cents").withColumn("late", late)
-    partial = new.mapInArrow(_partial_sums(salts), "hour long, kind string, salt long, late boolean, click_id long, n_rows long, cents long")
-    deltas = partial.groupBy("hour", "kind", "salt").transformWithState(Shard(), DELTA, "Append", "ProcessingTime")
-    records = deltas.groupBy("hour", "kind", "lane").transformWithState(merger, RECORDS, "Append", "ProcessingTime")
+    partial = new.mapInArrow(_partial_sums(salts), from_arrow_schema(PARTIAL))
+    deltas = partial.repartition("hour", "kind", "salt").mapInArrow(_shards, from_arrow_schema(DELTA))
+    records = deltas.groupBy("hour", "kind", "lane").applyInPandasWithState(merger, RECORDS.replace("click_id long", "click_id string"), TOTALS, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    records = records.withColumn("click_id", F.col("click_id").cast("long"))  # pandas would make floats of ids beside a null one
     query = records.writeStream.format("parquet").option("path", f"{folder}/records").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
 

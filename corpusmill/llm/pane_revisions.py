@@ -15,7 +15,7 @@ Time is W, the greatest event time of all earlier batches.  A pane is due when W
 is at its end plus 12 hours or beyond, and closed at its end plus 2 days.  W is
 one number for each batch, the only thing that reaches the driver; whether a row
 is late follows from W alone, so late rows pass shards and merger without touching
-state, spread over the salts.
+state, spread over lanes by their ids.
 
 Each start takes one micro-batch: its rows are moved into the source's folder as
 a whole, with a punctuation row that makes the batch exist when it has no other.
@@ -52,10 +52,11 @@ BATCHES = 10
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 DUE_US, CLOSED_US = 12 * HOUR_US, 2 * DAY_US
 SALTS = 4
+LATE_LANES = 1024  # a power of two
 
 ROWS = "click_id long, event_us long, kind string, cents long, punctuation boolean"
 PARTIAL = pa.schema([("hour", pa.int64()), ("kind", pa.string()), ("salt", pa.int64()), ("late", pa.bool_()), ("click_id", pa.int64()), ("n_rows", pa.int64()), ("cents", pa.int64())])
-DELTA = pa.schema([("hour", pa.int64()), ("kind", pa.string()), ("lane", pa.int64()), ("click_id", pa.string()), ("n_rows", pa.int64()), ("cents", pa.int64())])
+DELTA = pa.schema([("pane_hour", pa.int64()), ("pane_kind", pa.string()), ("lane", pa.int64()), ("hour", pa.int64()), ("kind", pa.string()), ("click_id", pa.string()), ("n_rows", pa.int64()), ("cents", pa.int64())])
 RECORDS = "batch long, hour long, click_id long, n_rows long, cents long, record string, kind string"
 TOTALS = "n_rows long, cents long, emitted boolean"
 
@@ -115,18 +116,20 @@ def _partial_sums(salts: int):
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One shard's panes: deltas are held until the batch's rows are through, late rows pass.
 
-    Late rows go to lanes of their own, so those of a hot pane stay spread.
+    Late rows go to lanes by id and not by pane: those of a hot pane stay spread, and many panes of few late rows make no groups of their own.
     """
     keys, held = ["hour", "kind"], None
     for batch in batches:
         part = pa.Table.from_batches([batch])
         late = part.filter(part["late"])
-        yield from pa.Table.from_arrays([late["hour"], late["kind"], pc.add(late["salt"], 1), late["click_id"].cast(pa.string()), late["n_rows"], late["cents"]], schema=DELTA).to_batches()
+        n = late.num_rows
+        lane = pc.add(pc.bit_wise_and(pc.fill_null(late["click_id"], 0), LATE_LANES - 1), 1)
+        yield from pa.Table.from_arrays([pa.array([0] * n, pa.int64()), pa.array([""] * n, pa.string()), lane, late["hour"], late["kind"], late["click_id"].cast(pa.string()), late["n_rows"], late["cents"]], schema=DELTA).to_batches()
         delta = _sums(part.filter(pc.invert(part["late"])), keys, ["n_rows", "cents"])
         held = delta if held is None else _sums(pa.concat_tables([held, delta]), keys, ["n_rows", "cents"])
     if held is not None:
         n = held.num_rows
-        yield from pa.Table.from_arrays([held["hour"], held["kind"], pa.array([0] * n, pa.int64()), pa.array(["-1"] * n, pa.string()), held["n_rows"], held["cents"]], schema=DELTA).to_batches()
+        yield from pa.Table.from_arrays([held["hour"], held["kind"], pa.array([0] * n, pa.int64()), held["hour"], held["kind"], pa.array(["-1"] * n, pa.string()), held["n_rows"], held["cents"]], schema=DELTA).to_batches()
 
 
 class Merger:
@@ -142,7 +145,7 @@ class Merger:
         hour, kind, lane = key
         if lane:
             for part in parts:
-                yield pd.DataFrame({"batch": self.batch, "hour": hour, "click_id": part.click_id, "n_rows": part.n_rows, "cents": part.cents, "record": "late", "kind": kind})
+                yield pd.DataFrame({"batch": self.batch, "hour": part.hour, "click_id": part.click_id, "n_rows": part.n_rows, "cents": part.cents, "record": "late", "kind": part.kind})
             return
         old_n, old_cents, emitted = state.get if state.exists else (0, 0, False)
         n, cents, new = old_n, old_cents, False
@@ -209,7 +212,7 @@ def _run_batch(session: SparkSession, folder: str, merger: Merger, salts: int) -
     new = new.select(hour.alias("hour"), "kind", "click_id", "cents").withColumn("late", late)
     partial = new.mapInArrow(_partial_sums(salts), from_arrow_schema(PARTIAL))
     deltas = partial.repartition("hour", "kind", "salt").mapInArrow(_shards, from_arrow_schema(DELTA))
-    records = deltas.groupBy("hour", "kind", "lane").applyInPandasWithState(merger, RECORDS.replace("click_id long", "click_id string"), TOTALS, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    records = deltas.groupBy("pane_hour", "pane_kind", "lane").applyInPandasWithState(merger, RECORDS.replace("click_id long", "click_id string"), TOTALS, "append", GroupStateTimeout.ProcessingTimeTimeout)
     records = records.withColumn("click_id", F.col("click_id").cast("long"))  # pandas would make floats of ids beside a null one
     query = records.writeStream.format("parquet").option("path", f"{folder}/records").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
